@@ -119,8 +119,8 @@ def rate_of(city: Column) -> Column:
 
 
 def expand_trend(dim: DataFrame, years: range, city: str = "city", base: str = "base",
-                 value: str = "grid_co2e_per_mwh") -> DataFrame:
-    """One row per (city, year) of ``years``."""
+                 value: str = "grid_co2e_per_mwh", keep=()) -> DataFrame:
+    """One row per row of ``dim`` and year of ``years``."""
     out = dim.withColumn("year", F.explode(F.sequence(F.lit(years.start), F.lit(years.stop - 1))))
-    return out.select(city, F.col("year"),
+    return out.select(*keep, city, F.col("year"),
                       F.round(trend(F.col(base), rate_of(F.col(city)), F.col("year")), 4).alias(value))

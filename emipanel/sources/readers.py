@@ -19,8 +19,8 @@ def read_latin1(spark: SparkSession, path) -> DataFrame:
 
 
 def with_file_year(df: DataFrame, pattern: str = r"([0-9]{4})", name: str = "file_year") -> DataFrame:
-    """Year found in the name of the file each row came from."""
-    return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).try_cast("long"))
+    """Year found in the path of the file each row came from."""
+    return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("long"))
 
 
 def read_yearly_files(spark: SparkSession, paths, pattern: str, fmt: str = "csv") -> DataFrame:
@@ -125,10 +125,11 @@ def explode_daily(df: DataFrame, json_col, keep=()) -> DataFrame:
                     "value"))
 
 
-def read_shards(spark: SparkSession, path, fmt: str = "parquet") -> DataFrame:
-    """Directory of shards; each row keeps the name of its shard and its place in it."""
-    df = spark.read.format(fmt).load(path)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[a-z.]+$", "")
+def read_shards(spark: SparkSession, path, pattern: str = r"([^/]+?)(?:\.[a-z.]+)?$") -> DataFrame:
+    """Directory of Parquet shards; each row keeps the name of its shard (found in the file path) and its
+    place in the file."""
+    df = spark.read.parquet(path)
+    name = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
     return df.withColumn("shard", name).withColumn("shard_row", F.col("_metadata.row_index"))
 
 
