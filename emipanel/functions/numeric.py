@@ -155,6 +155,7 @@ def cyclic(c, period: float) -> tuple[Column, Column]:
 
 
 def format_magnitude(c, unit: str = "tCO2e") -> Column:
+    """Display text with a G/M/K suffix (ties round half up, as the JVM formats numbers)."""
     c = as_col(c)
     out = F.format_string(f"%.2f {unit}", c)
     for limit, letter in ((1e3, "K"), (1e6, "M"), (1e9, "G")):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +61,12 @@ def two_point_trend(lag1: str = "lag1", lag2: str = "lag2") -> Column:
 
 
 def ols_trend(df: DataFrame, entity: str, year: str, y: str, target_year: int, pred: str = "pred") -> DataFrame:
-    """Least-squares line through each entity's history, extended to ``target_year``; one point stays level."""
-    return df.where(F.col(year) < target_year).groupBy(entity).agg(
-        F.coalesce(F.regr_slope(y, year) * F.lit(target_year) + F.regr_intercept(y, year), F.avg(y)).alias(pred))
+    """Least-squares line through each entity's history, extended to ``target_year``; one point stays level.
+
+    Years are counted back from the target year, so the forecast is the intercept and no precision is
+    lost to large year numbers."""
+    ahead = F.col(year) - F.lit(target_year)
+    return df.where(ahead < 0).groupBy(entity).agg(F.coalesce(F.regr_intercept(F.col(y), ahead), F.avg(y)).alias(pred))
 
 
 def wide_growth(wide: DataFrame, years) -> Column:
@@ -97,16 +102,17 @@ def ar1(lag_cols, log_space: bool = True) -> Column:
     """
     s = [F.log1p(F.greatest(F.col(c), F.lit(0.0))) if log_space else F.col(c).cast("double") for c in lag_cols]
     s = [F.when(F.col(c).isNotNull(), v) for c, v in zip(lag_cols, s)]
-    pairs = F.filter(F.array(*[F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("x"), b.alias("y")))
-                               for a, b in zip(s[:-1], s[1:])]), lambda p: p.isNotNull())
+    both = [a.isNotNull() & b.isNotNull() for a, b in zip(s[:-1], s[1:])]
 
     def mean(f):
-        total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + f(p))
-        return F.try_divide(total, F.size(pairs))
-
-    mx, my = mean(lambda p: p.x), mean(lambda p: p.y)
-    var = mean(lambda p: p.x * p.x) - mx * mx
-    cov = mean(lambda p: p.x * p.y) - mx * my
+        total, n = F.lit(0.0), F.lit(0)
+        for ok, x, y in zip(both, s[:-1], s[1:]):
+            total, n = total + F.when(ok, f(x, y)).otherwise(0.0), n + ok.cast("int")
+        return F.try_divide(total, n)
+
+    mx, my = mean(lambda x, y: x), mean(lambda x, y: y)
+    var = mean(lambda x, y: x * x) - mx * mx
+    cov = mean(lambda x, y: x * y) - mx * my
     phi = F.when(var > 1e-6, F.greatest(F.least(F.try_divide(cov, var), F.lit(0.99)), F.lit(-0.99))).otherwise(0.0)
     last = F.coalesce(*reversed(s))
     yhat = F.coalesce(my - phi * mx + phi * last, last, F.lit(0.0))
@@ -118,34 +124,48 @@ HOLT_BETA = (0.0, 0.2, 0.4, 0.6, 0.8)
 HOLT_PHI = (0.8, 0.9, 0.98)
 
 
+def holt_block(s: np.ndarray, length: np.ndarray, damped: bool) -> np.ndarray:
+    """One-step forecasts of the rows of ``s`` (left-aligned, ``length`` values each), all rows and all
+    smoothing settings at once; rows need at least two values."""
+    grid = np.array([(a, b, p) for a in HOLT_ALPHA for b in HOLT_BETA for p in (HOLT_PHI if damped else (1.0,))])
+    a, b, p = (grid[:, i][None, :] for i in range(3))
+    level = np.repeat(s[:, :1], len(grid), axis=1)
+    trend = np.repeat(s[:, 1:2] - s[:, :1], len(grid), axis=1)
+    sse = np.zeros_like(level)
+    for i in range(1, s.shape[1]):
+        live = (length > i)[:, None]
+        v = s[:, i:i + 1]
+        guess = level + p * trend
+        new = a * v + (1 - a) * guess
+        slope = b * (new - level) + (1 - b) * p * trend
+        sse = np.where(live, sse + (v - guess) ** 2, sse)
+        level, trend = np.where(live, new, level), np.where(live, slope, trend)
+    best = np.argmin(np.round(sse, 12), axis=1)
+    rows = np.arange(len(s))
+    return (level + p * trend)[rows, best]
+
+
 def holt(history: Column | str, damped: bool = False, log_space: bool = True) -> Column:
     """One-step Holt forecast of an oldest-to-newest array, the smoothing constants chosen from a small
-    grid by squared one-step error. One value: itself; none: 0; a negative forecast: the last value."""
-    raw = F.col(history) if isinstance(history, str) else history
-    kept = F.filter(raw, lambda v: v.isNotNull())
-    s = F.transform(kept, lambda v: F.log1p(F.greatest(v, F.lit(0.0)))) if log_space else kept
-    grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(p).alias("p"))
-                     for a in HOLT_ALPHA for b in HOLT_BETA for p in (HOLT_PHI if damped else (1.0,))])
-    n = F.size(s)
-
-    def run(g):
-        first = F.try_element_at(s, F.lit(1))
-        start = F.struct(first.alias("l"), (F.try_element_at(s, F.lit(2)) - first).alias("t"), F.lit(0.0).alias("e"))
-
-        def step(st, v):
-            guess = st.l + g.p * st.t
-            level = g.a * v + (1 - g.a) * guess
-            trend = g.b * (level - st.l) + (1 - g.b) * g.p * st.t
-            return F.struct(level.alias("l"), trend.alias("t"), (st.e + (v - guess) * (v - guess)).alias("e"))
-
-        return F.aggregate(F.slice(s, F.lit(2), F.greatest(n - 1, F.lit(0))), start, step,
-                           lambda st: F.struct(F.round(st.e, 12).alias("e"), (st.l + g.p * st.t).alias("f")))
-
-    best = F.array_min(F.transform(grid, run)).getField("f")
-    last = F.try_element_at(kept, F.lit(-1))
-    out = F.expm1(best) if log_space else best
-    return (F.when(n == 0, 0.0).when(n == 1, F.greatest(last, F.lit(0.0)))
-            .when(out >= 0, out).otherwise(F.greatest(last, F.lit(0.0))))
+    grid by squared one-step error. One value: itself; none: 0; a negative forecast: the last value.
+
+    The recursion has no built-in form, so Arrow batches of histories go through one array computation.
+    """
+    @F.pandas_udf("double")
+    def forecast(values: pd.Series) -> pd.Series:
+        kept = [[] if v is None else [x for x in v if x is not None and x == x] for v in values]
+        length = np.array([len(k) for k in kept])
+        out = np.array([max(k[-1], 0.0) if k else 0.0 for k in kept])
+        many = np.flatnonzero(length >= 2)
+        if len(many):
+            width = length.max()
+            block = np.array([kept[i] + [0.0] * (width - length[i]) for i in many])
+            pred = holt_block(np.log1p(np.maximum(block, 0)) if log_space else block, length[many], damped)
+            pred = np.expm1(pred) if log_space else pred
+            out[many] = np.where(pred >= 0, pred, out[many])
+        return pd.Series(out)
+
+    return forecast(F.col(history) if isinstance(history, str) else history)
 
 
 def ar_diff(cols) -> tuple[Column, Column]:

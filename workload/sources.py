@@ -93,15 +93,15 @@ def scan_json_cache(spark, sf):
             .select("id", "record.*"))
 
 
-@query("scan_json_panel", """SELECT o_custkey AS id, CAST(year(o_orderdate) AS BIGINT) AS year,
-  round(sum(o_totalprice), 2) AS revenue_usd, count(*) AS n_orders FROM orders GROUP BY 1, 2""")
+@query("scan_json_panel", f"""SELECT o_custkey AS id, CAST(year(o_orderdate) AS BIGINT) AS year,
+  round(round(sum(o_totalprice), 2) * {S.SCALE}::DOUBLE, 4) AS revenue_usd, count(*) AS n_orders FROM orders GROUP BY 1, 2""")
 def scan_json_panel(spark, sf):
     per_year = S.panel(spark, sf).select(F.col("building_id").alias("id"), "year", "target", "n_orders")
     entry = F.struct(F.col("year").cast("string"),
                      F.struct(F.col("target").alias("revenue_usd"), F.col("n_orders")))
     doc = per_year.groupBy("id").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("doc"))
     parsed = doc.withColumn("panel", F.from_json("doc", "map<string,struct<revenue_usd:double,n_orders:bigint>>"))
-    return readers.explode_panel(parsed, "id")
+    return readers.explode_panel(parsed, "id").withColumn("revenue_usd", r("revenue_usd"))
 
 
 @query("scan_json_summary", """SELECT c_custkey AS ticker, c_mktsegment AS summary FROM customer
@@ -249,14 +249,14 @@ def sink_replace_groups(spark, sf):
 
 
 @query("sink_overwrite_partitions", f"""WITH {S.PANEL}
-  SELECT city, count(*) AS n, round(sum(CASE WHEN region = 1 THEN 0 ELSE target END), 2) AS total
+  SELECT city, count(*) AS n, round(sum(CASE WHEN region = 1 THEN 0 ELSE target END), 1) AS total
   FROM panel GROUP BY 1""")
 def sink_overwrite_partitions(spark, sf):
     path = scratch_dir(spark, "parts")
     p = S.panel(spark, sf).select("building_id", "region", "target", "city")
     sinks.write_table(p, path, ["city"])
     sinks.overwrite_partitions(p.where("region = 1").withColumn("target", F.lit(0.0)), path, "city")
-    return spark.read.parquet(path).groupBy("city").agg(F.count(F.lit(1)).alias("n"), r(F.sum("target"), 2).alias("total"))
+    return spark.read.parquet(path).groupBy("city").agg(F.count(F.lit(1)).alias("n"), r(F.sum("target"), 1).alias("total"))
 
 
 _STATUS = ["ok", "no_images", "err:Too Many Requests", "err:Internal Error", "other"]
