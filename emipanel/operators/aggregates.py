@@ -194,7 +194,7 @@ def ratio_quality(df: DataFrame, pred: str, actual: str) -> DataFrame:
         "__lp": F.log10(pred), "__la": F.log10(actual),
         "__ape": F.abs(F.col(pred) - F.col(actual)) / F.col(actual)})
     ok = ok.withColumn("__d", F.abs(F.col("__lp") - F.col("__la")))
-    base = ok.agg(_n().alias("n"), F.corr("__lp", "__la").alias("pearson_log"))
+    base = ok.agg(_n().alias("n"), F.try_divide(F.covar_pop("__lp", "__la"), F.stddev_pop("__lp") * F.stddev_pop("__la")).alias("pearson_log"))
     return attach_row(attach_row(base, exact_median(ok, [], "__d", "median_abs_log_ratio")),
                       exact_median(ok, [], "__ape", "median_ape"))
 

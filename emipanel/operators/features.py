@@ -63,9 +63,9 @@ def load_panel(panel: DataFrame, climate: DataFrame, tier: str,
 def fit_medians(train: DataFrame, cols, by=()) -> DataFrame:
     """Exact medians of all columns in one pass over long rows; a column without values gets 0."""
     cols, by = list(cols), list(by)
-    long = train.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(by, cols, "__c", "__x")
-    med = exact_median(long, [*by, "__c"], "__x", "__m")
-    wide = [F.max(F.when(F.col("__c") == c, F.col("__m"))).alias(c) for c in cols]
+    long = train.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(by, cols, "column_name", "x")
+    med = exact_median(long, [*by, "column_name"], "x", "med")
+    wide = [F.max(F.when(F.col("column_name") == c, F.col("med"))).alias(c) for c in cols]
     if not by:
         return med.agg(*wide).fillna(0.0)
     return join_null_safe(train.select(*by).distinct(), med.groupBy(*by).agg(*wide), by).fillna(0.0, subset=cols)

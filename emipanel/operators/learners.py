@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import RandomForestClassifier
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from emipanel.functions.core import hash32
 from emipanel.functions.numeric import clip_pred, log_target
-from emipanel.operators.features import (apply_means, apply_scaler, assemble, fit_index, fit_means, fit_scaler)
+from emipanel.operators.features import assemble, fit_index
 from emipanel.operators.metrics import HIGHER_IS_BETTER, all_metrics, metric_columns
 from emipanel.operators.skew import attach_row, rank_in_group
 
@@ -26,27 +27,54 @@ BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0
 SECTOR_FOREST = {"numTrees": 100, "maxDepth": 8, "seed": 42}
 
 
+@contextmanager
+def persisted(*frames: DataFrame):
+    """Keep frames that several fits read; their storage is given back afterwards."""
+    kept = [f.persist() for f in frames]
+    try:
+        yield kept if len(kept) > 1 else kept[0]
+    finally:
+        for f in kept:
+            f.unpersist()
+
+
 class Fitted:
-    """A fitted regressor with the preparation it was fitted with: frame -> frame with ``pred``."""
+    """A fitted regressor with the preparation it was fitted with: frame -> frame with ``pred``.
 
-    def __init__(self, model, cols, means, scaler, log_space, upper, features="features"):
-        self.model, self.cols, self.means, self.scaler = model, list(cols), means, scaler
-        self.log_space, self.upper, self.features = log_space, upper, features
+    The preparation is a few numbers per feature (mean, deviation) and the largest training target, so
+    prediction is a projection without joins.
+    """
+
+    def __init__(self, cols, stats: dict, scale: bool, log_space: bool, features: str = "features"):
+        self.model, self.cols, self.stats, self.scale = None, list(cols), stats, scale
+        self.log_space, self.features = log_space, features
 
     def prepare(self, df: DataFrame) -> DataFrame:
         names = {c: f"__x_{c}" for c in self.cols}
-        out = df.withColumns({n: F.col(c).cast("double") for c, n in names.items()})
-        out = apply_means(out, self.means, list(names.values()))
-        if self.scaler is not None:
-            out = apply_scaler(out, self.scaler, list(names.values()))
-        return assemble(out, names.values(), self.features).drop(*names.values())
+        new = {}
+        for c, n in names.items():
+            x = F.coalesce(F.col(c).cast("double"), F.lit(self.stats[c][0]))
+            new[n] = (x - F.lit(self.stats[c][0])) / F.lit(self.stats[c][1]) if self.scale else x
+        return assemble(df.withColumns(new), names.values(), self.features).drop(*names.values())
 
     def predict(self, df: DataFrame, pred: str = "pred") -> DataFrame:
         out = self.model.transform(self.prepare(df))
-        value = F.expm1("prediction") if self.log_space else F.col("prediction")
-        out = attach_row(out, self.upper)
-        return out.withColumn(pred, clip_pred(value, "__upper") if self.log_space else value).drop(
-            "prediction", self.features, "__upper")
+        value = clip_pred(F.expm1("prediction"), F.lit(self.stats["__top"])) if self.log_space else F.col("prediction")
+        return out.withColumn(pred, value).drop("prediction", self.features)
+
+
+def _training_stats(rows: DataFrame, cols, y: str) -> dict:
+    """Mean and population deviation (after mean imputation, 0 becomes 1) per feature, largest target: one pass."""
+    aggs = [F.max(F.col(y).cast("double")).alias("__top"), F.count(F.lit(1)).alias("__n")]
+    for c in cols:
+        x = F.col(c).cast("double")
+        aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_pop(x).alias(f"s_{c}"), F.count(x).alias(f"n_{c}")]
+    row = rows.agg(*aggs).first()
+    stats = {"__top": row["__top"]}
+    for c in cols:
+        share = row[f"n_{c}"] / row["__n"] if row["__n"] else 0.0
+        stats[c] = (row[f"m_{c}"] or 0.0, ((row[f"s_{c}"] or 0.0) * share ** 0.5) or 1.0)
+    return stats
 
 
 def fit_regressor(make, train: DataFrame, cols, y: str, log_space: bool = True, scale: bool = False,
@@ -55,24 +83,17 @@ def fit_regressor(make, train: DataFrame, cols, y: str, log_space: bool = True,
 
     With ``val`` its rows join the training frame marked as validation, for early stopping.
     """
-    names = {c: f"__x_{c}" for c in cols}
-    src = train.where(F.col(y).isNotNull()).withColumns({n: F.col(c).cast("double") for c, n in names.items()})
-    means = fit_means(src, names.values()).persist()
-    filled = apply_means(src, means, list(names.values()))
-    scaler = fit_scaler(filled, list(names.values())).persist() if scale else None
-    upper = train.agg(F.max(y).alias("__upper"))
-    fitted = Fitted(None, cols, means, scaler, log_space, upper)
-    rows = train.where(F.col(y).isNotNull())
-    if val is not None:
-        rows = (rows.withColumn("__val", F.lit(False))
-                .unionByName(val.where(F.col(y).isNotNull()).withColumn("__val", F.lit(True))))
-    data = fitted.prepare(rows).withColumn("label", log_target(y) if log_space else F.col(y).cast("double"))
-    data = data.select("features", "label", *(["__val"] if val is not None else [])).persist()
-    try:
-        estimator = make(data)
-        fitted.model = estimator.fit(data)
-    finally:
-        data.unpersist()
+    cols = list(cols)
+    need = [c for c in dict.fromkeys([*cols, y])]
+    rows = train.where(F.col(y).isNotNull()).select(*need)
+    with persisted(rows) as rows:
+        fitted = Fitted(cols, _training_stats(rows, cols, y), scale, log_space)
+        full = rows.withColumn("__val", F.lit(False))
+        if val is not None:
+            full = full.unionByName(val.where(F.col(y).isNotNull()).select(*need).withColumn("__val", F.lit(True)))
+        data = fitted.prepare(full).withColumn("label", log_target(y) if log_space else F.col(y).cast("double"))
+        with persisted(data.select("features", "label", "__val")) as data:
+            fitted.model = make(data).fit(data)
     return fitted
 
 
@@ -121,21 +142,22 @@ def classify_then_regress(train: DataFrame, test: DataFrame, cols, sector: str,
     """Predict the sector, then the target with that sector's forest; sectors under ``min_rows`` training
     rows use a forest of all rows. ``oracle`` takes the true sector instead of the predicted one."""
     params = {**SECTOR_FOREST, **(params or {})}
-    fallback = random_forest(train, cols, y, **params)
-    known = train.where(F.col(sector).isNotNull())
-    if oracle:
-        routed = test.withColumn("sector_pred", F.col(sector))
-    else:
-        index = fit_index(known, sector, "label")
-        ready = fallback.prepare(index.transform(known))
-        clf = RandomForestClassifier(**params).fit(ready.select("features", "label"))
-        back = IndexToString(inputCol="prediction", outputCol="sector_pred", labels=index.labels)
-        routed = back.transform(clf.transform(fallback.prepare(test))).drop(
-            "features", "rawPrediction", "probability", "prediction")
-    sizes = known.groupBy(sector).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
-    names = [r[0] for r in sizes.orderBy(sector).collect()]
-    with ThreadPoolExecutor(4) as pool:
-        models = list(pool.map(lambda s: random_forest(known.where(F.col(sector) == s), cols, y, **params), names))
+    with persisted(train.select(*dict.fromkeys([*cols, sector, y]))) as train:
+        fallback = random_forest(train, cols, y, **params)
+        known = train.where(F.col(sector).isNotNull())
+        if oracle:
+            routed = test.withColumn("sector_pred", F.col(sector))
+        else:
+            index = fit_index(known, sector, "label")
+            with persisted(fallback.prepare(index.transform(known)).select("features", "label")) as ready:
+                clf = RandomForestClassifier(**params).fit(ready)
+            back = IndexToString(inputCol="prediction", outputCol="sector_pred", labels=index.labels)
+            routed = back.transform(clf.transform(fallback.prepare(test))).drop(
+                "features", "rawPrediction", "probability", "prediction")
+        sizes = known.groupBy(sector).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
+        names = [r[0] for r in sizes.orderBy(sector).collect()]
+        with ThreadPoolExecutor(4) as pool:
+            models = list(pool.map(lambda s: random_forest(known.where(F.col(sector) == s), cols, y, **params), names))
     parts = [m.predict(routed.where(F.col("sector_pred") == s)) for s, m in zip(names, models)]
     parts.append(fallback.predict(routed.where(F.col("sector_pred").isNull() | ~F.col("sector_pred").isin(names))))
     out = parts[0]
@@ -160,9 +182,10 @@ def run_multi_horizon(learner, train: DataFrame, test: DataFrame, cols, targets:
                       **params) -> DataFrame:
     """One model per horizon: (model, horizon, metrics). ``targets``: horizon -> target column."""
     out = None
+    with persisted(train.select(*dict.fromkeys([*cols, *targets.values()]))) as train:
+        models = {h: learner(train, cols, y, **params) for h, y in targets.items()}
     for horizon, y in targets.items():
-        fitted = learner(train, cols, y, **params)
-        s = all_metrics(fitted.predict(test.where(F.col(y).isNotNull())), [], y, "pred").select(
+        s = all_metrics(models[horizon].predict(test.where(F.col(y).isNotNull())), [], y, "pred").select(
             F.lit(model).alias("model"), F.lit(int(horizon)).alias("horizon"), "*")
         out = s if out is None else out.unionByName(s)
     return out
@@ -184,20 +207,21 @@ def random_search(learner, space: dict, n: int, train: DataFrame, val: DataFrame
     """(trials, best setting, model refitted on train + val). Fits run a few at a time from the driver;
     each is a distributed job."""
     configs = sample_configs(space, n, seed)
-
-    def trial(cfg):
-        fitted = learner(train, cols, y, **cfg)
-        row = fitted.predict(val).where(F.col(y).isNotNull()).agg(*metric_columns(y, "pred")).first()
-        return row.asDict()
-
-    with ThreadPoolExecutor(2) as pool:
-        scores = list(pool.map(trial, configs))
-    sign = -1 if metric in HIGHER_IS_BETTER else 1
-    order = sorted(range(n), key=lambda i: (scores[i][metric] is None, sign * (scores[i][metric] or 0.0), i))
-    best = configs[order[0]]
+    need = list(dict.fromkeys([*cols, y]))
+    with persisted(train.select(*need), val.select(*need)) as (train, val):
+        def trial(cfg):
+            fitted = learner(train, cols, y, **cfg)
+            return fitted.predict(val).where(F.col(y).isNotNull()).agg(*metric_columns(y, "pred")).first().asDict()
+
+        with ThreadPoolExecutor(2) as pool:
+            scores = list(pool.map(trial, configs))
+        sign = -1 if metric in HIGHER_IS_BETTER else 1
+        order = sorted(range(n), key=lambda i: (scores[i][metric] is None, sign * (scores[i][metric] or 0.0), i))
+        best = configs[order[0]]
+        final = learner(train.unionByName(val), cols, y, **best)
     rows = [(i, str(configs[i]), scores[i][metric], i == order[0]) for i in range(n)]
     trials = train.sparkSession.createDataFrame(rows, "trial int, config string, score double, is_best boolean")
-    return trials, best, learner(train.unionByName(val), cols, y, **best)
+    return trials, best, final
 
 
 def residual_stage(train: DataFrame, test: DataFrame, base_cols, extra_cols, y: str, base=None, extra=None,
@@ -207,9 +231,8 @@ def residual_stage(train: DataFrame, test: DataFrame, base_cols, extra_cols, y:
     fitted = first.predict(train, "__base").withColumn("__resid", F.col(y) - F.col("__base"))
     second = (extra or ridge)(fitted, extra_cols, "__resid", log_space=False)
     out = second.predict(first.predict(test, "__base"), "__corr")
-    upper = train.agg(F.max(y).alias("__top"))
-    return attach_row(out, upper).withColumn(pred, clip_pred(F.col("__base") + F.col("__corr"), "__top")).drop(
-        "__top", "__base", "__corr")
+    value = clip_pred(F.col("__base") + F.col("__corr"), F.lit(first.stats["__top"]))
+    return out.withColumn(pred, value).drop("__base", "__corr")
 
 
 def shuffle_column(df: DataFrame, col: str, key, seed) -> DataFrame:

@@ -89,8 +89,8 @@ def macro(scores: DataFrame, keys=(), names=METRICS) -> DataFrame:
 
 
 def safe_corr(x: str, y: str) -> Column:
-    ok = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return F.when(ok, F.corr(x, y)).otherwise(0.0)
+    """Correlation, 0 when either side is constant (the built-in one fails there under ANSI rules)."""
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
 
 def log_suite(df: DataFrame, keys, y_log: str, p_log: str) -> DataFrame:

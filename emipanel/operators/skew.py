@@ -31,8 +31,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "left") -
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row (a scalar subquery, no join)."""
     value = one_row.select(F.struct(*[F.col(c) for c in one_row.columns])).scalar()
-    return (df.withColumn("__s", value)
-            .select(*[F.col(c) for c in df.columns], *[F.col(f"__s.{c}").alias(c) for c in one_row.columns]))
+    return (df.withColumn("__one_row", value)
+            .select(*[F.col(c) for c in df.columns], *[F.col(f"__one_row.{c}").alias(c) for c in one_row.columns]))
 
 
 def first_per_key(df: DataFrame, keys, order: list[Column]) -> DataFrame:

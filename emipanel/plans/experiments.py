@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emipanel.operators.forecasts import ar1, holt, moving_average, persistence, two_point_trend
-from emipanel.operators.learners import LEARNERS
+from emipanel.operators.learners import LEARNERS, persisted
 from emipanel.operators.metrics import METRICS, all_metrics, macro, metric_columns, to_long
 from emipanel.operators.windows import history_array, lag_features
 
@@ -46,21 +46,23 @@ def run_grid(tiers: dict, models: dict, train: DataFrame, test: DataFrame, y: st
     distributed jobs; the scores of a cell are one lazy frame.
     """
     out = None
-    for tier, cols in tiers.items():
-        for name, (learner, params) in models.items():
-            if done and (tier, name) in done:
-                continue
-            pred = LEARNERS[learner](train, cols, y, **params).predict(test)
-            overall = to_long(all_metrics(pred, [], y, "pred").drop("n"), []).select(
-                F.lit("overall").alias("scope"), F.lit("all").alias("scope_value"), "metric", "value")
-            cities = all_metrics(pred, [city], y, "pred")
-            by_city = to_long(cities.drop("n"), [city]).select(
-                F.lit("city").alias("scope"), F.col(city).cast("string").alias("scope_value"), "metric", "value")
-            mac = macro(cities.where(F.col("n") >= 5)).select(*[F.col(f"macro_{m}").alias(m) for m in METRICS])
-            mac = to_long(mac, []).select(F.lit("macro").alias("scope"), F.lit("all").alias("scope_value"),
-                                          "metric", "value")
-            cell = overall.unionByName(by_city).unionByName(mac).select(
-                F.lit(task).alias("task"), F.lit(tier).alias("feature_set"), F.lit(name).alias("model"),
-                F.lit(seed).cast("long").alias("seed"), F.lit(split_type).alias("split_type"), "*")
-            out = cell if out is None else out.unionByName(cell)
+    need = dict.fromkeys([y, *[c for cols in tiers.values() for c in cols]])
+    with persisted(train.select(*need)) as kept:
+        for tier, cols in tiers.items():
+            for name, (learner, params) in models.items():
+                if done and (tier, name) in done:
+                    continue
+                pred = LEARNERS[learner](kept, cols, y, **params).predict(test)
+                overall = to_long(all_metrics(pred, [], y, "pred").drop("n"), []).select(
+                    F.lit("overall").alias("scope"), F.lit("all").alias("scope_value"), "metric", "value")
+                cities = all_metrics(pred, [city], y, "pred")
+                by_city = to_long(cities.drop("n"), [city]).select(
+                    F.lit("city").alias("scope"), F.col(city).cast("string").alias("scope_value"), "metric", "value")
+                mac = macro(cities.where(F.col("n") >= 5)).select(*[F.col(f"macro_{m}").alias(m) for m in METRICS])
+                mac = to_long(mac, []).select(F.lit("macro").alias("scope"), F.lit("all").alias("scope_value"),
+                                              "metric", "value")
+                cell = overall.unionByName(by_city).unionByName(mac).select(
+                    F.lit(task).alias("task"), F.lit(tier).alias("feature_set"), F.lit(name).alias("model"),
+                    F.lit(seed).cast("long").alias("seed"), F.lit(split_type).alias("split_type"), "*")
+                out = cell if out is None else out.unionByName(cell)
     return out
