@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emipanel.operators.forecasts import ar1, holt, moving_average, persistence, two_point_trend
 from emipanel.operators.learners import LEARNERS, persisted
-from emipanel.operators.metrics import METRICS, all_metrics, macro, metric_columns, to_long
+from emipanel.operators.metrics import METRICS, all_metrics, macro, to_long
 from emipanel.operators.windows import history_array, lag_features
 
 FORECASTERS = ("persistence", "moving_average", "two_point_trend", "ar1", "holt")
@@ -24,11 +24,15 @@ def forecast_frame(panel: DataFrame, entity: str, year: str, y: str, n_lags: int
 
 
 def score_wide(df: DataFrame, keys, y: str, preds, names=METRICS) -> DataFrame:
-    """Scores of several prediction columns: one pass whatever their number; (keys, model, n, metrics)."""
+    """Scores of several prediction columns: (keys, model, n, metrics).
+
+    Each row is unrolled to one pair per model inside the scan stage and combined there, so the shuffle
+    carries one partial result per (keys, model) and task.
+    """
     keys = list(keys)
-    aggs = [F.struct(F.lit(p).alias("model"), F.count(p).alias("n"), *metric_columns(y, p, names)) for p in preds]
-    out = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.array(*aggs).alias("__s"))
-    return out.select(*keys, F.explode("__s").alias("s")).select(*keys, "s.*")
+    pair = F.explode(F.array(*[F.struct(F.lit(p).alias("model"), F.col(p).cast("double").alias("p")) for p in preds]))
+    long = df.where(F.col(y).isNotNull()).select(*keys, F.col(y), pair.alias("__e")).select(*keys, y, "__e.*")
+    return all_metrics(long, [*keys, "model"], y, "p", names=names)
 
 
 def forecast_report(panel: DataFrame, entity: str, year: str, y: str, city: str, min_n: int = 5) -> DataFrame:
