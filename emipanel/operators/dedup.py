@@ -47,8 +47,8 @@ def embedding_ranks(status: str = "status", source: str = "img_source", images:
 def collapse_duplicates(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per key: median of numbers, smallest mode of labels; null keys are kept.
 
-    Ordinary keys need a single aggregation. A key with more than ``hot_rows`` rows is reduced
-    column by column with the distributed median and mode.
+    Ordinary keys need a single aggregation. The rows of keys with more than ``hot_rows`` rows are
+    unrolled to (key, field, value) and reduced by the distributed median and mode.
     """
     keys = list(keys)
     rest = [f for f in df.schema.fields if f.name not in keys]
@@ -57,12 +57,23 @@ def collapse_duplicates(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFr
     cool, hot = split_hot(df, keys, hot_rows)
     out = cool.groupBy(*keys).agg(*[F.median(c).alias(c) for c in numeric],
                                   *[F.mode(c, deterministic=True).alias(c) for c in labels])
+    if hot is None:
+        return out.select(*df.columns)
     big = hot.select(*keys).distinct()
-    for c in numeric:
-        big = join_null_safe(big, exact_median(hot, keys, c, c, hot_rows=0), keys)
-    for c in labels:
-        big = join_null_safe(big, smallest_mode(hot, keys, c), keys)
-    return out.unionByName(big).select(*df.columns)
+    if numeric:
+        long = hot.select(*keys, *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(keys, numeric, "field", "x")
+        med = exact_median(long, [*keys, "field"], "x", "x", hot_rows=0)
+        big = join_null_safe(big, _wide(med, keys, numeric, {}), keys)
+    if labels:
+        long = hot.select(*keys, *[F.col(c).cast("string").alias(c) for c in labels]).unpivot(keys, labels, "field", "x")
+        kinds = {f.name: f.dataType for f in rest if f.name in labels}
+        big = join_null_safe(big, _wide(smallest_mode(long, [*keys, "field"], "x"), keys, labels, kinds), keys)
+    return out.unionByName(big.select(*df.columns)).select(*df.columns)
+
+
+def _wide(long: DataFrame, keys, fields, kinds: dict) -> DataFrame:
+    return long.groupBy(*keys).agg(*[F.max(F.when(F.col("field") == c, F.col("x"))).cast(kinds.get(c, "double")).alias(c)
+                                     for c in fields])
 
 
 def collapse_report(df: DataFrame, keys) -> DataFrame:

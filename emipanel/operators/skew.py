@@ -52,9 +52,17 @@ def hot_keys(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame:
             .where(F.col("__n") > hot_rows).select(*keys))
 
 
-def split_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys)."""
-    hot = hot_keys(df, keys, hot_rows)
+def split_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys or None).
+
+    The keys are counted right away, combined map-side; only the hot ones, a short list, are kept in
+    reliable storage. Without any, ``df`` comes back untouched and the caller's plan stays plain.
+    """
+    from emipanel.session import stable
+
+    hot = stable(hot_keys(df, keys, hot_rows))
+    if hot.isEmpty():
+        return df, None
     return join_null_safe(df, hot, keys, "left_anti"), join_null_safe(df, hot, keys, "left_semi")
 
 
@@ -121,6 +129,7 @@ def _distributed_quantiles(src: DataFrame, keys, probs, names) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, keys, value, probs, names=None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact interpolated quantiles per group; null values are skipped, all-null groups are absent.
+    ``value``: a column name or expression.
 
     Ordinary groups use the built-in aggregate, hot ones (and a global quantile) the histogram
     refinement above, whose tasks stay small whatever the group's size.
@@ -133,6 +142,8 @@ def exact_quantiles(df: DataFrame, keys, value, probs, names=None, hot_rows: int
     cool, hot = split_hot(src, keys, hot_rows)
     native = cool.groupBy(*keys).agg(*[F.percentile("__v", F.lit(float(p))).alias(n)
                                        for p, n in zip(probs, names)])
+    if hot is None:
+        return native
     return native.unionByName(_distributed_quantiles(hot, keys, probs, names))
 
 

@@ -187,12 +187,12 @@ ACCOUNTS = """accounts AS (
 
 def daily(spark, sf) -> DataFrame:
     return (t(spark, sf, "events").groupBy(F.pmod("user_id", F.lit(5)).alias("grid"), F.to_date("ts").alias("day"))
-            .agg((F.round(F.avg("value"), 6) - 2.0).alias("temp"), F.round(F.max("value"), 6).alias("humidity")))
+            .agg((F.avg("value") * SCALE - 2.0).alias("temp"), (F.max("value") * SCALE).alias("humidity")))
 
 
-DAILY = """daily AS (
-  SELECT user_id % 5 AS grid, CAST(ts AS DATE) AS day, round(avg(value), 6) - 2.0::DOUBLE AS temp,
-         round(max(value), 6) AS humidity FROM events GROUP BY 1, 2)"""
+DAILY = f"""daily AS (
+  SELECT user_id % 5 AS grid, CAST(ts AS DATE) AS day, avg(value) * {SCALE}::DOUBLE - 2.0::DOUBLE AS temp,
+         max(value) * {SCALE}::DOUBLE AS humidity FROM events GROUP BY 1, 2)"""
 
 
 # ---- results of "models" (brands) over "seeds" (years) and "cities" (return flags), long form
