@@ -122,6 +122,7 @@ def ar1(lag_cols, log_space: bool = True) -> Column:
 HOLT_ALPHA = (0.2, 0.4, 0.6, 0.8, 1.0)
 HOLT_BETA = (0.0, 0.2, 0.4, 0.6, 0.8)
 HOLT_PHI = (0.8, 0.9, 0.98)
+HOLT_TIE = 1e-9
 
 
 def holt_block(s: np.ndarray, length: np.ndarray, damped: bool) -> np.ndarray:
@@ -140,7 +141,8 @@ def holt_block(s: np.ndarray, length: np.ndarray, damped: bool) -> np.ndarray:
         slope = b * (new - level) + (1 - b) * p * trend
         sse = np.where(live, sse + (v - guess) ** 2, sse)
         level, trend = np.where(live, new, level), np.where(live, slope, trend)
-    best = np.argmin(np.round(sse, 12), axis=1)
+    # short histories fit many settings equally well; the first of them is taken
+    best = np.argmax(sse <= sse.min(axis=1, keepdims=True) + HOLT_TIE, axis=1)
     rows = np.arange(len(s))
     return (level + p * trend)[rows, best]
 

@@ -91,27 +91,28 @@ def _cumulate(df: DataFrame, part, order: str, n: str, base=None) -> DataFrame:
 
 
 def _distributed_quantiles(src: DataFrame, keys, probs, names) -> DataFrame:
-    """Histogram refinement: coarse bins, then fine bins, then single values.
+    """Histogram refinement: coarse bins, then fine bins inside the bins hit, then their single values.
 
-    Only bin counts are ever gathered per group (at most some 10^4 coarse and 65,536 fine bins);
-    equal values are merged before the first shuffle.
+    Three narrow passes over the column. Only bin counts are shuffled (at most some 10^4 coarse and
+    65,536 fine bins per group, combined map-side) and the bins hit are a handful of rows, so neither a
+    group nor the column as a whole is ever gathered or shuffled.
     """
     if not keys:
         src, keys, dropped = src.withColumn("__all", F.lit(1)), ["__all"], ["__all"]
     else:
         dropped = []
     y = _stretch(F.col("__v"))
-    counts = (src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-              .withColumn("__b1", F.floor(y * 16)).withColumn("__b2", F.floor(y * (1 << 20))))
-    coarse = counts.groupBy(*keys, "__b1").agg(F.sum("__c").alias("__n"))
+    src = src.withColumn("__b1", F.floor(y * 16)).withColumn("__b2", F.floor(y * (1 << 20)))
+    coarse = src.groupBy(*keys, "__b1").agg(F.count(F.lit(1)).alias("__n"))
     coarse = _cumulate(coarse, keys, "__b1", "__n").withColumn(
         "__tot", F.sum("__n").over(Window.partitionBy(*keys)))
     hit1 = coarse.where(_holds_rank(probs)).select(*keys, "__b1", F.col("__start").alias("__base"), "__tot")
-    near = join_null_safe(counts, hit1, [*keys, "__b1"], "inner")
-    fine = near.groupBy(*keys, "__b1", "__b2", "__base", "__tot").agg(F.sum("__c").alias("__n"))
+    near = join_null_safe(src, hit1, [*keys, "__b1"], "inner")
+    fine = near.groupBy(*keys, "__b1", "__b2", "__base", "__tot").agg(F.count(F.lit(1)).alias("__n"))
     fine = _cumulate(fine, [*keys, "__b1"], "__b2", "__n", "__base")
-    hit2 = fine.where(_holds_rank(probs)).select(*keys, "__b2", F.col("__start").alias("__base2"))
-    last = join_null_safe(near, hit2, [*keys, "__b2"], "inner")
+    hit2 = fine.where(_holds_rank(probs)).select(*keys, "__b2", F.col("__start").alias("__base2"), "__tot")
+    last = join_null_safe(src, hit2, [*keys, "__b2"], "inner")
+    last = last.groupBy(*keys, "__b2", "__v", "__base2", "__tot").agg(F.count(F.lit(1)).alias("__c"))
     last = _cumulate(last, [*keys, "__b2"], "__v", "__c", "__base2")
     picks = []
     for i, p in enumerate(probs):

@@ -13,7 +13,7 @@ def holt_reference(s, damped):
     if len(s) == 1:
         return max(s[0], 0.0)
     z = [np.log1p(max(v, 0)) for v in s]
-    best = None
+    runs = []
     for a in forecasts.HOLT_ALPHA:
         for b in forecasts.HOLT_BETA:
             for p in (forecasts.HOLT_PHI if damped else (1.0,)):
@@ -24,10 +24,9 @@ def holt_reference(s, damped):
                     new = a * v + (1 - a) * guess
                     trend = b * (new - level) + (1 - b) * p * trend
                     level = new
-                cand = (round(sse, 12), level + p * trend)
-                if best is None or cand[0] < best[0]:
-                    best = cand
-    out = np.expm1(best[1])
+                runs.append((sse, level + p * trend))
+    least = min(e for e, _ in runs)
+    out = np.expm1(next(f for e, f in runs if e <= least + forecasts.HOLT_TIE))
     return out if out >= 0 else max(s[-1], 0.0)
 
 

@@ -29,6 +29,35 @@ SCORES = """avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse,
     ELSE 1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0) END AS r2,
   sqrt(avg((y - p) * (y - p))) / nullif(avg(abs(y)), 0) AS nrmse,
   avg(abs(ln(greatest(y, 0) + 1) - ln(greatest(p, 0) + 1))) AS log_mae"""
+AR1_SQL = """ar_s AS (SELECT building_id, year, ln(1 + lag3) AS a, ln(1 + lag2) AS b, ln(1 + lag1) AS c FROM lagged WHERE lag1 IS NOT NULL),
+  ar_m AS (SELECT *, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT AS n FROM ar_s),
+  ar_q AS (SELECT *, (coalesce(a, 0) + coalesce(b, 0)) / nullif(n, 0) AS mx, (CASE WHEN a IS NOT NULL THEN b ELSE 0 END
+    + CASE WHEN b IS NOT NULL THEN c ELSE 0 END) / nullif(n, 0) AS my, (coalesce(a * a, 0) + coalesce(b * b, 0)) / nullif(n, 0) AS sxx,
+    (coalesce(a * b, 0) + coalesce(b * c, 0)) / nullif(n, 0) AS sxy FROM ar_m),
+  ar_z AS (SELECT *, CASE WHEN sxx - mx * mx > 1e-6 THEN greatest(least((sxy - mx * my) / (sxx - mx * mx), 0.99), -0.99) ELSE 0 END AS phi FROM ar_q),
+  ar1 AS (SELECT building_id, year, greatest(exp(coalesce(my - phi * mx + phi * c, c)) - 1, 0) AS p FROM ar_z)"""
+
+
+def holt_sql(name: str, phis) -> str:
+    """Holt over up to three lags, unrolled: the first two values start level and trend, each later one updates them."""
+    grid = [(a, b, p) for a in M.HOLT_ALPHA for b in M.HOLT_BETA for p in phis]
+    values = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {p}::DOUBLE)" for i, (a, b, p) in enumerate(grid))
+    return f"""{name}_g(i, al, be, ph) AS (VALUES {values}),
+  {name}_s AS (SELECT building_id, year, lag1, ln(1 + coalesce(lag3, lag2)) AS z1, ln(1 + CASE WHEN lag3 IS NULL THEN lag1 ELSE lag2 END) AS z2,
+    CASE WHEN lag3 IS NOT NULL THEN ln(1 + lag1) END AS z3 FROM lagged WHERE lag1 IS NOT NULL),
+  {name}_1 AS (SELECT *, z1 + ph * (z2 - z1) AS g1 FROM {name}_s, {name}_g WHERE z1 IS NOT NULL),
+  {name}_2 AS (SELECT *, al * z2 + (1 - al) * g1 AS l1 FROM {name}_1),
+  {name}_3 AS (SELECT *, be * (l1 - z1) + (1 - be) * ph * (z2 - z1) AS t1, (z2 - g1) * (z2 - g1) AS e1 FROM {name}_2),
+  {name}_4 AS (SELECT *, l1 + ph * t1 AS g2 FROM {name}_3),
+  {name}_5 AS (SELECT *, al * z3 + (1 - al) * g2 AS l2 FROM {name}_4),
+  {name}_6 AS (SELECT *, be * (l2 - l1) + (1 - be) * ph * t1 AS t2, e1 + (z3 - g2) * (z3 - g2) AS e2 FROM {name}_5),
+  {name}_7 AS (SELECT building_id, year, arg_min(f, i) AS f FROM (SELECT building_id, year, i, coalesce(e2, e1) AS e,
+    CASE WHEN z3 IS NULL THEN g2 ELSE l2 + ph * t2 END AS f, min(coalesce(e2, e1)) OVER (PARTITION BY building_id, year) AS least_e FROM {name}_6)
+    WHERE e <= least_e + 1e-9 GROUP BY 1, 2),
+  {name} AS (SELECT building_id, year, CASE WHEN f IS NULL OR exp(f) - 1 < 0 THEN lag1 ELSE exp(f) - 1 END AS p
+    FROM {name}_s LEFT JOIN {name}_7 USING (building_id, year))"""
+
+
 _FORECAST_SQL = f"""{S.PANEL}, {S.LAGGED}, h AS (SELECT * FROM lagged WHERE lag1 IS NOT NULL),
   f AS (SELECT 'persistence' AS model, city, target AS y, lag1 AS p FROM h
     UNION ALL SELECT 'moving_average', city, target, mean_hist FROM h
@@ -46,11 +75,15 @@ def forecast_city_scores(spark, sf):
     return out.select("model", "city", "n", *[r(m, 4 if m in ("mae", "rmse", "mape") else 5).alias(m) for m in METRICS])
 
 
-@query("forecast_macro")
+@query("forecast_macro", f"""WITH {_FORECAST_SQL}, {AR1_SQL}, {holt_sql('hl', (1.0,))}, f5 AS (SELECT * FROM f
+    UNION ALL SELECT 'ar1', city, target, p FROM h JOIN ar1 USING (building_id, year)
+    UNION ALL SELECT 'holt', city, target, p FROM h JOIN hl USING (building_id, year)),
+  c AS (SELECT model, city, count(*) AS n, {SCORES} FROM f5 GROUP BY 1, 2)
+  SELECT model, count(*) AS n_groups, {_METRIC_SQL} FROM c WHERE n >= 5 GROUP BY 1""")
 def forecast_macro(spark, sf):
     """Flagship: panel, history features, five closed-form forecasts, city scores, macro average."""
     out = forecast_report(_panel(spark, sf), *_P, "target", "city")
-    return out.select("model", "n_groups", *[r(f"macro_{m}", 4).alias(f"macro_{m}") for m in METRICS])
+    return out.select("model", "n_groups", *[r(f"macro_{m}", 4 if m in ("mae", "rmse", "mape") else 5).alias(f"macro_{m}") for m in METRICS])
 
 
 @query("forecast_macro_simple", f"""WITH {_FORECAST_SQL}, c AS (SELECT model, city, count(*) AS n, {SCORES} FROM f GROUP BY 1, 2)
@@ -307,24 +340,18 @@ def model_growth_baselines(spark, sf):
     return out.select("building_id", *[r(c, 6).alias(c) for c in ("zero_change", "avg_past_growth", "last_growth", "sector_median_growth")])
 
 
-@query("model_ar1", f"""WITH {S.PANEL}, {S.LAGGED}, s AS (SELECT building_id, year, ln(1 + lag3) AS a, ln(1 + lag2) AS b, ln(1 + lag1) AS c
-    FROM lagged WHERE lag1 IS NOT NULL),
-  m AS (SELECT *, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT AS n FROM s),
-  q AS (SELECT *, (coalesce(a, 0) + coalesce(b, 0)) / nullif(n, 0) AS mx, (CASE WHEN a IS NOT NULL THEN b ELSE 0 END
-    + CASE WHEN b IS NOT NULL THEN c ELSE 0 END) / nullif(n, 0) AS my, (coalesce(a * a, 0) + coalesce(b * b, 0)) / nullif(n, 0) AS sxx,
-    (coalesce(a * b, 0) + coalesce(b * c, 0)) / nullif(n, 0) AS sxy FROM m),
-  z AS (SELECT *, CASE WHEN sxx - mx * mx > 1e-6 THEN greatest(least((sxy - mx * my) / (sxx - mx * mx), 0.99), -0.99) ELSE 0 END AS phi FROM q)
-  SELECT building_id, year, round(ln(1 + greatest(exp(coalesce(my - phi * mx + phi * c, c)) - 1, 0)), 6) AS pred_log FROM z""")
+@query("model_ar1", f"WITH {S.PANEL}, {S.LAGGED}, {AR1_SQL} SELECT building_id, year, round(ln(1 + p), 6) AS pred_log FROM ar1")
 def model_ar1(spark, sf):
     x = H.lags(_panel(spark, sf), *_P, "target", 3, "lag").where("lag1 is not null")
     return x.select(*_P, r(F.log1p(M.ar1(["lag3", "lag2", "lag1"])), 6).alias("pred_log"))
 
 
-@query("model_holt")
+@query("model_holt", f"""WITH {S.PANEL}, {S.LAGGED}, {holt_sql('hl', (1.0,))}, {holt_sql('hd', M.HOLT_PHI)}
+  SELECT building_id, year, round(ln(1 + hl.p), 6) AS linear, round(ln(1 + hd.p), 6) AS damped FROM hl JOIN hd USING (building_id, year)""")
 def model_holt(spark, sf):
     x = H.lags(_panel(spark, sf), *_P, "target", 3, "lag").where("lag1 is not null")
     x = x.withColumn("h", H.history_array(["lag3", "lag2", "lag1"]))
-    return x.select(*_P, r(M.holt("h"), 2).alias("linear"), r(M.holt("h", damped=True), 2).alias("damped"))
+    return x.select(*_P, r(F.log1p(M.holt("h")), 6).alias("linear"), r(F.log1p(M.holt("h", damped=True)), 6).alias("damped"))
 
 
 @query("model_ar_differences", f"""WITH {_LOGW}, d AS (SELECT building_id, l1999 AS last, l1997 - l1996 AS a, l1998 - l1997 AS b, l1999 - l1998 AS c FROM lw)

@@ -152,7 +152,7 @@ def join_fan_out(spark, sf):
                      lambda keys: keys.withColumn("cost", F.length("o_orderpriority").cast("long"))).select("o_orderkey", "cost")
 
 
-@query("join_attach_target", f"""WITH {S.PANEL} SELECT building_id, year, round(target, 2) AS target, price FROM panel JOIN
+@query("join_attach_target", f"""WITH {S.PANEL} SELECT building_id, year, target, price FROM panel JOIN
   (SELECT o_custkey, CAST(year(o_orderdate) AS BIGINT) AS y, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey,
     year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'F') o
   ON o_custkey = building_id AND y = year AND rn = 1""")

@@ -9,8 +9,9 @@ from emipanel.operators.metrics import METRICS, all_metrics
 from emipanel.operators.windows import lag_features, leads
 from emipanel.plans.experiments import run_grid
 from workload import stage as S
+from workload.history import SCORES
 from workload.registry import query
-from workload.stage import r, t
+from workload.stage import r, sql_hash, t
 
 _P = ("building_id", "year")
 _SPLIT = "CASE WHEN year <= 1998 THEN 'train' WHEN year = 1999 THEN 'val' ELSE 'test' END"
@@ -212,16 +213,31 @@ def learn_classify_then_regress(spark, sf):
     return _scored(a, "predicted_sector").unionByName(_scored(b, "true_sector"))
 
 
-@query("learn_next_year")
+_R4 = ", ".join(f"round({m}, 4) AS {m}" for m in METRICS)
+
+
+def line_sql(name: str, x: str, y: str, train: str, rows: str, src: str = "fr") -> str:
+    """Least squares of log1p(y) on one feature, clipped to [0, 2 x largest training target]: (rows..., p)."""
+    return f"""{name}_k AS (SELECT regr_slope(ln(1 + {y}), {x}) AS b, regr_intercept(ln(1 + {y}), {x}) AS a, max({y}) AS top FROM {src} WHERE {train}
+    AND {y} IS NOT NULL), {name} AS (SELECT {src}.*, least(greatest(exp(a + b * {x}) - 1, 0), 2 * top) AS p FROM {src}, {name}_k WHERE {rows})"""
+
+
+@query("learn_next_year", f"""WITH {_FRAME}, {line_sql('o', 'lag1', 'target', "split = 'train' AND lag1 IS NOT NULL", "split <> 'train' AND lag1 IS NOT NULL")},
+  s AS (SELECT split AS split_type, count(*) AS n, {SCORES} FROM (SELECT split, target AS y, p FROM o) GROUP BY 1)
+  SELECT 'ols' AS model, split_type, n, {_R4} FROM s""")
 def learn_next_year(spark, sf):
-    out = M.run_next_year(M.ridge, *_parts(spark, sf), _FEATS, "target", "ridge")
+    out = M.run_next_year(M.ols, *_parts(spark, sf), ["lag1"], "target", "ols")
     return out.select("model", "split_type", "n", *[r(m, 4).alias(m) for m in METRICS])
 
 
-@query("learn_multi_horizon")
+@query("learn_multi_horizon", f"""WITH {_FRAME}, ld AS (SELECT *, lead(target, 1) OVER {S.WIN} AS h1, lead(target, 2) OVER {S.WIN} AS h2 FROM fr),
+  {line_sql('a1', 'lag1', 'h1', 'year <= 1997 AND lag1 IS NOT NULL', 'year >= 1998 AND lag1 IS NOT NULL AND h1 IS NOT NULL', 'ld')},
+  {line_sql('a2', 'lag1', 'h2', 'year <= 1997 AND lag1 IS NOT NULL', 'year >= 1998 AND lag1 IS NOT NULL AND h2 IS NOT NULL', 'ld')},
+  s AS (SELECT CAST(horizon AS BIGINT) AS horizon, count(*) AS n, {SCORES} FROM (SELECT 1 AS horizon, h1 AS y, p FROM a1 UNION ALL SELECT 2, h2, p FROM a2) GROUP BY 1)
+  SELECT 'ols' AS model, horizon, n, {_R4} FROM s""")
 def learn_multi_horizon(spark, sf):
     x = leads(_frame(spark, sf), *_P, "target", (1, 2)).where("lag1 is not null")
-    out = M.run_multi_horizon(M.ridge, x.where("year <= 1997"), x.where("year >= 1998"), _FEATS, {1: "target_h1", 2: "target_h2"}, "ridge")
+    out = M.run_multi_horizon(M.ols, x.where("year <= 1997"), x.where("year >= 1998"), ["lag1"], {1: "target_h1", 2: "target_h2"}, "ols")
     return out.select("model", F.col("horizon").cast("long").alias("horizon"), "n", *[r(m, 4).alias(m) for m in METRICS])
 
 
@@ -232,23 +248,61 @@ def learn_random_search(spark, sf):
     return trials.select(F.col("trial").cast("long").alias("trial"), "config", r("score").alias("score"), "is_best")
 
 
-@query("learn_residual_stage")
+@query("learn_residual_stage", f"""WITH {_FRAME}, z AS (SELECT * FROM fr WHERE lag1 IS NOT NULL AND split <> 'val'),
+  {line_sql('b1', 'area', 'target', "split = 'train'", 'true', 'z')},
+  k2 AS (SELECT regr_slope(target - p, lag1) AS b, regr_intercept(target - p, lag1) AS a, max(target) AS top FROM b1 WHERE split = 'train'),
+  f AS (SELECT target AS y, least(greatest(p + a + b * lag1, 0), 2 * top) AS p FROM b1, k2 WHERE split = 'test'),
+  s AS (SELECT count(*) AS n, {SCORES} FROM f) SELECT 'residual' AS model, n, {_R4} FROM s""")
 def learn_residual_stage(spark, sf):
     train, _, test = _parts(spark, sf)
-    return _scored(M.residual_stage(train, test, ["area", "year"], ["lag1", "lag2"], "target"), "residual")
+    return _scored(M.residual_stage(train, test, ["area"], ["lag1"], "target", M.ols, M.ols), "residual")
+
+
+def _shuffled_sql(feature: str, rep: int) -> str:
+    ra, rb = (sql_hash(f"{feature}{rep}{side}", "building_id", "year") for side in "ab")
+    return f"""SELECT '{feature}' AS feature, {rep} AS rep, x.target AS y, least(greatest(exp(a + b * v.lag1) - 1, 0), 2 * top) AS p FROM
+    (SELECT *, row_number() OVER (ORDER BY {ra}, building_id, year) AS rk FROM te) x JOIN
+    (SELECT lag1, row_number() OVER (ORDER BY {rb}, building_id, year) AS rk FROM te) v USING (rk), o_k"""
 
 
-@query("learn_permutation_importance")
+_R2 = ("CASE WHEN var_pop(y) = 0 THEN CASE WHEN sum((y - p) * (y - p)) = 0 THEN 1.0 ELSE 0.0 END "
+       "ELSE 1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0) END")
+
+
+@query("learn_permutation_importance", f"""WITH {_FRAME}, te AS (SELECT * FROM fr WHERE split = 'test' AND lag1 IS NOT NULL),
+  {line_sql('o', 'lag1', 'target', "split = 'train' AND lag1 IS NOT NULL", "split = 'test' AND lag1 IS NOT NULL")},
+  base AS (SELECT {_R2} AS r0 FROM (SELECT target AS y, p FROM o)),
+  sh AS ({' UNION ALL '.join(_shuffled_sql('lag1', i) for i in range(3))}),
+  d AS (SELECT feature, rep, (SELECT r0 FROM base) - ({_R2}) AS d FROM sh GROUP BY 1, 2)
+  SELECT feature, round(avg(d), 5) AS r2_drop_mean, round(stddev_pop(d), 5) AS r2_drop_std FROM d GROUP BY 1""")
 def learn_permutation_importance(spark, sf):
     train, _, test = _parts(spark, sf)
-    fitted = M.ols(train, ["lag1", "area"], "target")
-    out = M.permutation_importance(fitted, test, list(_P), "target", repeats=2)
-    return out.select("feature", r("r2_drop_mean").alias("r2_drop_mean"), r("r2_drop_std").alias("r2_drop_std"))
+    out = M.permutation_importance(M.ols(train, ["lag1"], "target"), test, list(_P), "target", repeats=3)
+    return out.select("feature", r("r2_drop_mean", 5).alias("r2_drop_mean"), r("r2_drop_std", 5).alias("r2_drop_std"))
+
+
+_CELLS = {("history", "ols"): "lag1", ("area", "ols"): "area"}
+
+
+def _grid_sql() -> str:
+    made = ", ".join(line_sql(f"g{i}", x, "target", "split = 'train' AND lag1 IS NOT NULL", "split = 'test' AND lag1 IS NOT NULL")
+                     for i, x in enumerate(_CELLS.values()))
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS feature_set, city, target AS y, p FROM g{i}" for i, (t, _) in enumerate(_CELLS))
+    unp = " UNION ALL ".join(f"SELECT feature_set, scope, scope_value, '{m}' AS metric, {m} AS value FROM w" for m in METRICS)
+    avgs = ", ".join(f"avg({m})" for m in METRICS)
+    return f"""WITH {_FRAME}, {made}, rows_in AS ({rows}),
+  c AS (SELECT feature_set, city, count(*) AS n, {SCORES} FROM rows_in GROUP BY 1, 2),
+  a AS (SELECT feature_set, {SCORES} FROM rows_in GROUP BY 1),
+  w AS (SELECT feature_set, 'city' AS scope, city AS scope_value, {', '.join(METRICS)} FROM c
+    UNION ALL SELECT feature_set, 'overall', 'all', {', '.join(METRICS)} FROM a
+    UNION ALL SELECT feature_set, 'macro', 'all', {avgs} FROM c WHERE n >= 5 GROUP BY 1), u AS ({unp})
+  SELECT 'a' AS task, feature_set, 'ols' AS model, CAST(42 AS BIGINT) AS seed, 'grouped' AS split_type, scope, scope_value, metric,
+    round(value, 4) AS value FROM u"""
 
 
-@query("learn_grid")
+@query("learn_grid", _grid_sql())
 def learn_grid(spark, sf):
     train, _, test = _parts(spark, sf)
-    out = run_grid({"history": ["lag1", "lag2"], "history_area": _FEATS}, {"ridge": ("ridge", {}), "ols": ("ols", {})}, train, test,
-                   "target", "city", done={("history", "ols")})
+    out = run_grid({"history": ["lag1"], "area": ["area"]}, {"ols": ("ols", {}), "ridge": ("ridge", {})}, train, test, "target", "city",
+                   done={("history", "ridge"), ("area", "ridge")})
     return out.withColumn("value", r("value"))

@@ -92,8 +92,8 @@ def eval_stratified(spark, sf):
 _B = 10
 
 
-def _boot_sql(models: dict) -> str:
-    table = ", ".join(f"({b}, {a}::BIGINT, {c}::BIGINT)" for b, (a, c) in enumerate(N.replicate_table(_B)))
+def _boot_sql(models: dict, n_boot: int = _B) -> str:
+    table = ", ".join(f"({b}, {a}::BIGINT, {c}::BIGINT)" for b, (a, c) in enumerate(N.replicate_table(n_boot)))
     weight = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in N.POISSON_CDF)
     union = " UNION ALL ".join(f"SELECT '{m}' AS model, l_orderkey, l_linenumber, y, {col} AS p FROM pairs" for m, col in models.items())
     return f"""{S.PAIRS}, long AS ({union}), rep(b, ra, rc) AS (VALUES {table}),
@@ -115,14 +115,18 @@ def eval_bootstrap(spark, sf):
 _MODELS = {"factor": "p", "flat": "q", "scaled": "p * 1.5"}
 
 
-@query("eval_paired_bootstrap", f"""WITH {_boot_sql(_MODELS)}, m AS (SELECT a.model AS model_a, c.model AS model_b, a.b, a.r2 - c.r2 AS d_r2,
+def _pair_sql(models: dict, n_boot: int) -> str:
+    return f"""WITH {_boot_sql(models, n_boot)}, m AS (SELECT a.model AS model_a, c.model AS model_b, a.b, a.r2 - c.r2 AS d_r2,
     a.mae - c.mae AS d_mae, a.log_mae - c.log_mae AS d_log FROM sc a JOIN sc c ON a.b = c.b AND a.model < c.model),
   l AS (SELECT model_a, model_b, 'r2' AS metric, d_r2 AS d FROM m UNION ALL SELECT model_a, model_b, 'mae', d_mae FROM m
-    UNION ALL SELECT model_a, model_b, 'log_mae', d_log FROM m)
-  SELECT model_a, model_b, metric, round(avg(d), 5) AS delta_mean, round(quantile_cont(d, 0.025), 5) AS delta_lo,
+    UNION ALL SELECT model_a, model_b, 'log_mae', d_log FROM m),
+  p AS (SELECT model_a, model_b, metric, round(avg(d), 5) AS delta_mean, round(quantile_cont(d, 0.025), 5) AS delta_lo,
     round(quantile_cont(d, 0.975), 5) AS delta_hi, round(2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)), 6) AS p_two_sided,
     round(CASE WHEN metric = 'r2' THEN avg((d > 0)::INT) ELSE avg((d < 0)::INT) END, 6) AS a_wins_frac,
-    (SELECT count(*) FROM pairs) AS n_test FROM l GROUP BY 1, 2, 3""")
+    (SELECT count(*) FROM pairs) AS n_test FROM l GROUP BY 1, 2, 3)"""
+
+
+@query("eval_paired_bootstrap", _pair_sql(_MODELS, _B) + " SELECT * FROM p")
 def eval_paired_bootstrap(spark, sf):
     x = S.pairs(spark, sf).withColumn("scaled", F.col("p") * 1.5)
     out = N.all_pairs(x, ["l_orderkey", "l_linenumber"], "y", {"factor": "p", "flat": "q", "scaled": "scaled"}, _B)
@@ -130,12 +134,13 @@ def eval_paired_bootstrap(spark, sf):
                       r("p_two_sided", 6).alias("p_two_sided"), r("a_wins_frac", 6).alias("a_wins_frac"), "n_test")
 
 
-@query("eval_bootstrap_200")
+@query("eval_bootstrap_200", _pair_sql({"a": "p", "b": "q"}, 200) + """ SELECT metric, delta_mean, delta_lo, delta_hi, p_two_sided,
+  a_wins_frac, n_test FROM p""")
 def eval_bootstrap_200(spark, sf):
-    """The usual 200 replicates (too many for a SQL cross join)."""
-    x = S.pairs(spark, sf)
-    out = N.paired_bootstrap(x, ["l_orderkey", "l_linenumber"], "y", "p", "q", 200)
-    return out.select("metric", *[r(c, 4).alias(c) for c in ("delta_mean", "delta_lo", "delta_hi", "p_two_sided", "a_wins_frac")])
+    """The usual number of replicates."""
+    out = N.paired_bootstrap(S.pairs(spark, sf), ["l_orderkey", "l_linenumber"], "y", "p", "q", 200)
+    return out.select("metric", *[r(c, 5).alias(c) for c in ("delta_mean", "delta_lo", "delta_hi")],
+                      r("p_two_sided", 6).alias("p_two_sided"), r("a_wins_frac", 6).alias("a_wins_frac"), "n_test")
 
 
 @query("eval_sector_accuracy", """WITH x AS (SELECT CASE WHEN p_size < 20 THEN p_type END AS tr, p_type AS s, CASE WHEN p_partkey % 3 = 0 THEN 'SMALL' ELSE p_type END AS pr
