@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from emipanel.functions.core import as_col
 
 HOT_ROWS = 1_000_000
-RANK_BITS = 12
+RANK_BITS = 16
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
@@ -162,14 +162,9 @@ def smallest_mode(df: DataFrame, keys, col: str, name: str | None = None) -> Dat
     return counts.groupBy(*keys).agg(F.min_by(col, F.struct(-F.col("__n"), F.col(col))).alias(name or col))
 
 
-def rank_in_group(df: DataFrame, group, h: Column, tie, rank: str = "rank_in_group",
-                  size: str = "group_size") -> DataFrame:
-    """Exact 1-based rank by (h, tie) inside each group, ``h`` being a uniform 32-bit hash.
-
-    A group is cut into 2^12 hash buckets, so its rows are sorted in that many tasks; the
-    buckets' offsets come from a count of at most 4,096 rows per group.
-    """
-    group, tie = list(group), [as_col(t) for t in tie]
+def _bucket_ranks(df: DataFrame, group, h: Column, tie, rank: str, size: str) -> DataFrame:
+    """Exact ranks of groups too big for one task: each is cut into 2^16 hash buckets, which are sorted
+    independently; a bucket's offset comes from the bucket counts (at most 65,536 rows per group)."""
     label = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}) if group else F.lit("all")
     work = (df.withColumn("__g", label).withColumn("__h", h)
             .withColumn("__b", F.shiftright(F.col("__h"), 32 - RANK_BITS)))
@@ -182,6 +177,22 @@ def rank_in_group(df: DataFrame, group, h: Column, tie, rank: str = "rank_in_gro
             .select(*df.columns, rank, size))
 
 
+def rank_in_group(df: DataFrame, group, h: Column, tie, rank: str = "rank_in_group",
+                  size: str = "group_size", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact 1-based rank by (h, tie) inside each group, ``h`` being a uniform 32-bit hash.
+
+    Ordinary groups take one window; hot ones, and a ranking without groups, go by hash buckets.
+    """
+    group, tie = list(group), [as_col(t) for t in tie]
+    if not group:
+        return _bucket_ranks(df, group, h, tie, rank, size)
+    cool, hot = split_hot(df, group, hot_rows)
+    out = (cool.withColumn("__h", h)
+           .withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy("__h", *tie)).cast("long"))
+           .withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*group))).select(*df.columns, rank, size))
+    return out if hot is None else out.unionByName(_bucket_ranks(hot, group, h, tie, rank, size))
+
+
 def dense_ids(df: DataFrame, order, name: str = "row_id") -> DataFrame:
     """0-based ids in sort order without a single-task sort.
 

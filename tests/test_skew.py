@@ -1,5 +1,7 @@
 """The skew-safe primitives give what the plain definitions give."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -48,12 +50,15 @@ def test_first_per_key_ties_on_order(spark):
     assert first_per_key(df, ["k"], ["o", "v"]).first()["v"] == "q"
 
 
-def test_ranks_are_a_permutation_of_each_group(spark):
+@pytest.mark.parametrize("hot_rows", [100, 10**9])
+def test_ranks_are_a_permutation_of_each_group(spark, hot_rows):
     pdf = pd.DataFrame({"g": ["hot"] * 3000 + ["cold"] * 5 + [None] * 7, "id": range(3012)})
-    got = rank_in_group(spark.createDataFrame(pdf), ["g"], hash32(1, "id"), ["id"]).toPandas()
+    got = rank_in_group(spark.createDataFrame(pdf), ["g"], hash32(1, "id"), ["id"], hot_rows=hot_rows).toPandas()
     for _, part in got.groupby("g", dropna=False):
         assert sorted(part.rank_in_group) == list(range(1, len(part) + 1))
         assert set(part.group_size) == {len(part)}
+        order = part.id.map(lambda i: int(hashlib.md5(f"1|{i}".encode()).hexdigest()[:8], 16)).rank()
+        assert list(part.rank_in_group) == list(order.astype(int))
 
 
 def test_dense_ids_follow_the_sort(spark):
