@@ -161,7 +161,7 @@ def aggregate_seeds(long: DataFrame, keys, seed: str = "seed", metric: str = "me
     return long.groupBy(*keys, metric).agg(
         F.count_distinct(seed).alias("n_seeds"),
         F.array_join(F.sort_array(F.collect_set(seed)).cast("array<string>"), ",").alias("seeds"),
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
 
 
 def drop_city_summary(long: DataFrame, keys, city: str, drop: str, value: str = "value") -> DataFrame:

@@ -7,25 +7,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emipanel.functions.numeric import log_target
 from emipanel.operators.skew import attach_row, exact_median, join_null_safe
 
 
 def global_mean(train: DataFrame, test: DataFrame, y: str, pred: str = "pred") -> DataFrame:
     """expm1 of the training mean of log1p."""
-    return attach_row(test, train.agg(F.expm1(F.avg(F.log1p(y))).alias(pred)))
+    return attach_row(test, train.agg(F.expm1(F.avg(log_target(y))).alias(pred)))
 
 
 def group_mean(train: DataFrame, test: DataFrame, keys, y: str, pred: str = "pred") -> DataFrame:
     """Group mean in log1p space, the global one for unseen groups."""
-    per = train.groupBy(*keys).agg(F.avg(F.log1p(y)).alias("__m"))
-    out = attach_row(join_null_safe(test, per, keys), train.agg(F.avg(F.log1p(y)).alias("__g")))
+    per = train.groupBy(*keys).agg(F.avg(log_target(y)).alias("__m"))
+    out = attach_row(join_null_safe(test, per, keys), train.agg(F.avg(log_target(y)).alias("__g")))
     return out.withColumn(pred, F.expm1(F.coalesce("__m", "__g"))).drop("__m", "__g")
 
 
 def sector_stat(train: DataFrame, test: DataFrame, sector: str, y: str, stat: str = "mean",
                 pred: str = "pred") -> DataFrame:
-    """Mean or median of positive raw targets per sector, the global one elsewhere."""
-    pos = train.where(F.col(y) > 0)
+    """Mean or median of positive raw targets per known sector, the one over all known sectors elsewhere."""
+    pos = train.where((F.col(y) > 0) & F.col(sector).isNotNull())
     if stat == "median":
         per, overall = exact_median(pos, [sector], y, "__m"), exact_median(pos, [], y, "__g")
     else:

@@ -140,24 +140,25 @@ def estimator_fit(estimator: Estimator, train: DataFrame, cols, y: str, **kw) ->
 def classify_then_regress(train: DataFrame, test: DataFrame, cols, sector: str, y: str, oracle: bool = False,
                           min_rows: int = 5, params: dict | None = None) -> DataFrame:
     """Predict the sector, then the target with that sector's forest; sectors under ``min_rows`` training
-    rows use a forest of all rows. ``oracle`` takes the true sector instead of the predicted one."""
+    rows use a forest of all rows. ``oracle`` takes the true sector instead of the predicted one. Only rows
+    with a sector and a positive target are trained on."""
+    train = train.where((F.col(y) > 0) & F.col(sector).isNotNull())
     params = {**SECTOR_FOREST, **(params or {})}
     with persisted(train.select(*dict.fromkeys([*cols, sector, y]))) as train:
         fallback = random_forest(train, cols, y, **params)
-        known = train.where(F.col(sector).isNotNull())
         if oracle:
             routed = test.withColumn("sector_pred", F.col(sector))
         else:
-            index = fit_index(known, sector, "label")
-            with persisted(fallback.prepare(index.transform(known)).select("features", "label")) as ready:
+            index = fit_index(train, sector, "label")
+            with persisted(fallback.prepare(index.transform(train)).select("features", "label")) as ready:
                 clf = RandomForestClassifier(**params).fit(ready)
             back = IndexToString(inputCol="prediction", outputCol="sector_pred", labels=index.labels)
             routed = back.transform(clf.transform(fallback.prepare(test))).drop(
                 "features", "rawPrediction", "probability", "prediction")
-        sizes = known.groupBy(sector).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
+        sizes = train.groupBy(sector).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
         names = [r[0] for r in sizes.orderBy(sector).collect()]
         with ThreadPoolExecutor(4) as pool:
-            models = list(pool.map(lambda s: random_forest(known.where(F.col(sector) == s), cols, y, **params), names))
+            models = list(pool.map(lambda s: random_forest(train.where(F.col(sector) == s), cols, y, **params), names))
     parts = [m.predict(routed.where(F.col("sector_pred") == s)) for s, m in zip(names, models)]
     parts.append(fallback.predict(routed.where(F.col("sector_pred").isNull() | ~F.col("sector_pred").isin(names))))
     out = parts[0]

@@ -105,27 +105,38 @@ def log_suite(df: DataFrame, keys, y_log: str, p_log: str) -> DataFrame:
     return join_null_safe(base, med, keys) if keys else attach_row(base, med)
 
 
-def stratified_metrics(df: DataFrame, y: str, p: str, city: str, kind: str, probs=(0.25, 0.5, 0.75),
-                       min_n: int = 50) -> DataFrame:
-    """Scores by city, by type (null is 'unknown') and by target quartile, in one grouping-sets pass."""
+ZONES = ("q1", "q2", "q3", "q4")
+
+
+def stratified_metrics(df: DataFrame, y: str, p: str, city: str, kind: str, zone: str, names=ZONES,
+                       probs=(0.25, 0.5, 0.75), min_n: int = 50) -> DataFrame:
+    """Scores by city, by type (null is 'unknown') and by quartile zone of a third column, in one
+    grouping-sets pass.
+
+    Zones are cut at the table's own quartiles, a value on a cut going up, and labelled with their
+    range, ``q1 [12-340]``. Strata under ``min_n`` rows are left out, all zones when the column has
+    fewer than ``4 * min_n`` values.
+    """
     cuts = [f"__cut{i}" for i in range(len(probs))]
     src = _pairs(df, y, p)
-    src = attach_row(src, exact_quantiles(src, [], y, list(probs), cuts))
-    zone = F.lit(1)
+    src = attach_row(src, exact_quantiles(src, [], zone, list(probs), cuts))
+    place = F.lit(0)
     for c in cuts:
-        zone = zone + F.when(F.col(y) >= F.col(c), 1).otherwise(0)
-    src = src.select(F.col(y), F.col(p), F.col(city).cast("string").alias("__city"),
-                     F.coalesce(F.col(kind).cast("string"), F.lit("unknown")).alias("__kind"),
-                     F.concat(F.lit("Q"), zone.cast("string")).alias("__zone"))
+        place = place + F.when(F.col(zone) >= F.col(c), 1).otherwise(0)
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), place + 1)
+    src = src.select(F.col(y), F.col(p), F.col(zone).cast("double").alias("__x"), F.col(city).cast("string").alias("__city"),
+                     F.trim(F.coalesce(F.col(kind).cast("string"), F.lit("unknown"))).alias("__kind"),
+                     F.when(F.col(zone).isNotNull(), label).alias("__zone"))
     out = src.groupingSets([[F.col("__city")], [F.col("__kind")], [F.col("__zone")]],
                            "__city", "__kind", "__zone").agg(
-        F.grouping_id().alias("__g"), F.count(F.lit(1)).alias("n"), F.min(y).alias("y_min"), F.max(y).alias("y_max"),
+        F.grouping_id().alias("__g"), F.count(F.lit(1)).alias("n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"),
         *metric_columns(y, p))
+    out = attach_row(out, src.agg(F.count("__x").alias("__known")))
     stratum = F.when(F.col("__g") == 3, "city").when(F.col("__g") == 5, "property_type").otherwise("zone")
-    label = (F.when(F.col("__g") == 3, F.col("__city")).when(F.col("__g") == 5, F.col("__kind"))
-             .otherwise(F.col("__zone")))
-    return out.select(stratum.alias("stratum"), label.alias("label"), "n", "y_min", "y_max", *METRICS).where(
-        F.col("n") >= min_n)
+    name = (F.when(F.col("__g") == 3, F.col("__city")).when(F.col("__g") == 5, F.col("__kind"))
+            .otherwise(F.concat("__zone", F.format_string(" [%.0f-%.0f]", "__lo", "__hi"))))
+    enough = (F.col("n") >= min_n) & ((F.col("__g") != 6) | (F.col("__known") >= 4 * min_n))
+    return out.where(enough & name.isNotNull()).select(stratum.alias("stratum"), name.alias("label"), "n", *METRICS)
 
 
 # ---------------------------------------------------------------- bootstrap

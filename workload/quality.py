@@ -155,7 +155,7 @@ def agg_annual_climate(spark, sf):
 
 
 @query("agg_seed_summary", f"""WITH {S.RESULTS} SELECT feature_set, model, metric, count(DISTINCT seed) AS n_seeds,
-  array_to_string(list_sort(list_distinct(list(seed))), ',') AS seeds, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS std
+  array_to_string(list_sort(list_distinct(list(seed))), ',') AS seeds, count(value) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS std
   FROM results WHERE city = 'A' GROUP BY 1, 2, 3""")
 def agg_seed_summary(spark, sf):
     out = G.aggregate_seeds(S.results(spark, sf).where("city = 'A'"), ["feature_set", "model"])

@@ -76,15 +76,16 @@ def eval_macro(spark, sf):
     return out.select("year", "n_groups", *[r(f"macro_{m}", n).alias(f"macro_{m}") for m, n in _ROUND.items()])
 
 
-@query("eval_stratified", f"""WITH {S.PAIRS}, q AS (SELECT quantile_cont(y, 0.25) AS a, median(y) AS b, quantile_cont(y, 0.75) AS c FROM pairs),
+@query("eval_stratified", f"""WITH {S.PAIRS}, q AS (SELECT quantile_cont(p, 0.25) AS a, median(p) AS b, quantile_cont(p, 0.75) AS c FROM pairs),
   z AS (SELECT y, p, p_brand, CASE WHEN p_type = 'PROMO' THEN 'unknown' ELSE p_type END AS kind,
-    'Q' || (1 + (y >= a)::INT + (y >= b)::INT + (y >= c)::INT) AS zone FROM pairs, q),
-  u AS (SELECT 'city' AS stratum, p_brand AS label, y, p FROM z UNION ALL SELECT 'property_type', kind, y, p FROM z UNION ALL SELECT 'zone', zone, y, p FROM z),
-  s AS (SELECT stratum, label, count(*) AS n, min(y) AS y_min, max(y) AS y_max, {SCORES} FROM u GROUP BY 1, 2)
-  SELECT stratum, label, n, y_min, y_max, {_OUT} FROM s WHERE n >= 50""")
+    'q' || (1 + (p >= a)::INT + (p >= b)::INT + (p >= c)::INT) AS zone FROM pairs, q),
+  u AS (SELECT 'city' AS stratum, p_brand AS label, y, p FROM z UNION ALL SELECT 'property_type', kind, y, p FROM z UNION ALL
+    SELECT 'zone', zone || printf(' [%.0f-%.0f]', min(p) OVER (PARTITION BY zone), max(p) OVER (PARTITION BY zone)), y, p FROM z),
+  s AS (SELECT stratum, label, count(*) AS n, {SCORES} FROM u GROUP BY 1, 2)
+  SELECT stratum, label, n, {_OUT} FROM s WHERE n >= 50""")
 def eval_stratified(spark, sf):
     x = S.pairs(spark, sf).withColumn("kind", F.when(F.col("p_type") != "PROMO", F.col("p_type")))
-    return _rounded(N.stratified_metrics(x, "y", "p", "p_brand", "kind"), "stratum", "label", "n", "y_min", "y_max")
+    return _rounded(N.stratified_metrics(x, "y", "p", "p_brand", "kind", "p"), "stratum", "label", "n")
 
 
 # ---- bootstrap: the SQL twin draws the same Poisson weights from the same hashes, with few replicates
