@@ -152,6 +152,33 @@ def replicate_table(n_boot: int, seed: int = 0) -> list[tuple[int, int]]:
             for b in range(n_boot)]
 
 
+def _cut_points() -> np.ndarray:
+    """Smallest residue r with r / MODULUS at or above each cumulative probability."""
+    cuts = []
+    for c in POISSON_CDF:
+        k = int(np.ceil(c * MODULUS))
+        while k > 0 and (k - 1) / MODULUS >= c:
+            k -= 1
+        while k / MODULUS < c:
+            k += 1
+        cuts.append(k)
+    return np.array(cuts, dtype=np.int64)
+
+
+def poisson_weights(h: np.ndarray, a: np.ndarray, c: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Rows x replicates block of weights. The remainder by 2^31-1 is taken by folding the high bits; the
+    five common cut points are compared on the whole block, the rare rest only where they can apply."""
+    z = h[:, None] * a + c
+    z = (z & MODULUS) + (z >> 31)
+    z = np.where(z >= MODULUS, z - MODULUS, z)
+    w = np.zeros(z.shape)
+    for k in cuts[:5]:
+        w += z >= k
+    rare = np.nonzero(z >= cuts[4])
+    w[rare] += np.searchsorted(cuts[5:], z[rare], side="right")
+    return w
+
+
 def row_hash28(*keys) -> Column:
     text = F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
@@ -166,7 +193,7 @@ def bootstrap_sums(df: DataFrame, key, y: str, preds: dict, n_boot: int, seed: i
     table = replicate_table(n_boot, seed)
     a = np.array([t[0] for t in table], dtype=np.int64)
     c = np.array([t[1] for t in table], dtype=np.int64)
-    cdf = np.array(POISSON_CDF)
+    cuts = _cut_points()
     models = list(preds)
 
     def partial(batches):
@@ -175,8 +202,7 @@ def bootstrap_sums(df: DataFrame, key, y: str, preds: dict, n_boot: int, seed: i
             for lo in range(0, len(batch), 4096):
                 part = batch.iloc[lo:lo + 4096]
                 h = part["h"].to_numpy(np.int64)
-                u = ((h[:, None] * a + c) % MODULUS) / MODULUS
-                w = np.searchsorted(cdf, u, side="right").astype(float)
+                w = poisson_weights(h, a, c, cuts)
                 yv = part["y"].to_numpy(float)
                 yc = part["yc"].to_numpy(float)
                 for i in range(len(models)):
