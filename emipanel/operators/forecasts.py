@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emipanel.functions.numeric import log_target
 from emipanel.operators.skew import attach_row, exact_median, join_null_safe
+from emipanel.tasks import HOLT_ALPHA, HOLT_BETA, HOLT_PHI, HOLT_TIE, holt_block  # noqa: F401
 
 
 def global_mean(train: DataFrame, test: DataFrame, y: str, pred: str = "pred") -> DataFrame:
@@ -120,34 +121,6 @@ def ar1(lag_cols, log_space: bool = True) -> Column:
     return F.greatest(F.expm1(yhat) if log_space else yhat, F.lit(0.0))
 
 
-HOLT_ALPHA = (0.2, 0.4, 0.6, 0.8, 1.0)
-HOLT_BETA = (0.0, 0.2, 0.4, 0.6, 0.8)
-HOLT_PHI = (0.8, 0.9, 0.98)
-HOLT_TIE = 1e-9
-
-
-def holt_block(s: np.ndarray, length: np.ndarray, damped: bool) -> np.ndarray:
-    """One-step forecasts of the rows of ``s`` (left-aligned, ``length`` values each), all rows and all
-    smoothing settings at once; rows need at least two values."""
-    grid = np.array([(a, b, p) for a in HOLT_ALPHA for b in HOLT_BETA for p in (HOLT_PHI if damped else (1.0,))])
-    a, b, p = (grid[:, i][None, :] for i in range(3))
-    level = np.repeat(s[:, :1], len(grid), axis=1)
-    trend = np.repeat(s[:, 1:2] - s[:, :1], len(grid), axis=1)
-    sse = np.zeros_like(level)
-    for i in range(1, s.shape[1]):
-        live = (length > i)[:, None]
-        v = s[:, i:i + 1]
-        guess = level + p * trend
-        new = a * v + (1 - a) * guess
-        slope = b * (new - level) + (1 - b) * p * trend
-        sse = np.where(live, sse + (v - guess) ** 2, sse)
-        level, trend = np.where(live, new, level), np.where(live, slope, trend)
-    # short histories fit many settings equally well; the first of them is taken
-    best = np.argmax(sse <= sse.min(axis=1, keepdims=True) + HOLT_TIE, axis=1)
-    rows = np.arange(len(s))
-    return (level + p * trend)[rows, best]
-
-
 def holt(history: Column | str, damped: bool = False, log_space: bool = True) -> Column:
     """One-step Holt forecast of an oldest-to-newest array, the smoothing constants chosen from a small
     grid by squared one-step error. One value: itself; none: 0; a negative forecast: the last value.

@@ -38,6 +38,15 @@ def persisted(*frames: DataFrame):
             f.unpersist()
 
 
+def sized(df: DataFrame, n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
+    """Merge partitions (no shuffle) to about 64 MB, but not below one per core: iterative training runs
+    many passes, and each pays for every task."""
+    n_rows = df.count() if n_rows is None else n_rows
+    n_cols = len(df.columns) if n_cols is None else n_cols
+    wanted = -(-n_rows * n_cols * 8 // (64 << 20))
+    return df.coalesce(int(max(wanted, df.sparkSession.sparkContext.defaultParallelism)))
+
+
 class Fitted:
     """A fitted regressor with the preparation it was fitted with: frame -> frame with ``pred``.
 
@@ -70,7 +79,7 @@ def _training_stats(rows: DataFrame, cols, y: str) -> dict:
         x = F.col(c).cast("double")
         aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_pop(x).alias(f"s_{c}"), F.count(x).alias(f"n_{c}")]
     row = rows.agg(*aggs).first()
-    stats = {"__top": row["__top"]}
+    stats = {"__top": row["__top"], "__n": row["__n"]}
     for c in cols:
         share = row[f"n_{c}"] / row["__n"] if row["__n"] else 0.0
         stats[c] = (row[f"m_{c}"] or 0.0, ((row[f"s_{c}"] or 0.0) * share ** 0.5) or 1.0)
@@ -92,7 +101,8 @@ def fit_regressor(make, train: DataFrame, cols, y: str, log_space: bool = True,
         if val is not None:
             full = full.unionByName(val.where(F.col(y).isNotNull()).select(*need).withColumn("__val", F.lit(True)))
         data = fitted.prepare(full).withColumn("label", log_target(y) if log_space else F.col(y).cast("double"))
-        with persisted(data.select("features", "label", "__val")) as data:
+        data = sized(data.select("features", "label", "__val"), fitted.stats["__n"], len(cols) + 2)
+        with persisted(data) as data:
             fitted.model = make(data).fit(data)
     return fitted
 
@@ -145,6 +155,7 @@ def classify_then_regress(train: DataFrame, test: DataFrame, cols, sector: str,
     train = train.where((F.col(y) > 0) & F.col(sector).isNotNull())
     params = {**SECTOR_FOREST, **(params or {})}
     with persisted(train.select(*dict.fromkeys([*cols, sector, y]))) as train:
+        train = sized(train)
         fallback = random_forest(train, cols, y, **params)
         if oracle:
             routed = test.withColumn("sector_pred", F.col(sector))
@@ -184,6 +195,7 @@ def run_multi_horizon(learner, train: DataFrame, test: DataFrame, cols, targets:
     """One model per horizon: (model, horizon, metrics). ``targets``: horizon -> target column."""
     out = None
     with persisted(train.select(*dict.fromkeys([*cols, *targets.values()]))) as train:
+        train = sized(train)
         models = {h: learner(train, cols, y, **params) for h, y in targets.items()}
     for horizon, y in targets.items():
         s = all_metrics(models[horizon].predict(test.where(F.col(y).isNotNull())), [], y, "pred").select(
@@ -210,6 +222,7 @@ def random_search(learner, space: dict, n: int, train: DataFrame, val: DataFrame
     configs = sample_configs(space, n, seed)
     need = list(dict.fromkeys([*cols, y]))
     with persisted(train.select(*need), val.select(*need)) as (train, val):
+        train, val = sized(train), sized(val)
         def trial(cfg):
             fitted = learner(train, cols, y, **cfg)
             return fitted.predict(val).where(F.col(y).isNotNull()).agg(*metric_columns(y, "pred")).first().asDict()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from emipanel.functions.numeric import pow10
 from emipanel.operators.skew import attach_row, exact_median, exact_quantiles, join_null_safe
+from emipanel.tasks import MODULUS, POISSON_CDF, cut_points, poisson_weights  # noqa: F401
 
 METRICS = ("mae", "rmse", "mape", "r2", "nrmse", "log_mae")
 HIGHER_IS_BETTER = {"r2", "r2_log", "pearson_r", "accuracy"}
@@ -141,44 +142,12 @@ def stratified_metrics(df: DataFrame, y: str, p: str, city: str, kind: str, zone
 
 # ---------------------------------------------------------------- bootstrap
 
-MODULUS = (1 << 31) - 1
-# Cumulative Poisson(1) probabilities: the weight is the number of cut points at or below u.
-POISSON_CDF = [float(c) for c in np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(12)])]
-
-
 def replicate_table(n_boot: int, seed: int = 0) -> list[tuple[int, int]]:
     """(a, c) of the congruential hash of every replicate, from powers of two primitive roots."""
     return [(pow(48271, b + 1 + seed * n_boot, MODULUS), pow(69621, b + 1 + seed * n_boot, MODULUS))
             for b in range(n_boot)]
 
 
-def _cut_points() -> np.ndarray:
-    """Smallest residue r with r / MODULUS at or above each cumulative probability."""
-    cuts = []
-    for c in POISSON_CDF:
-        k = int(np.ceil(c * MODULUS))
-        while k > 0 and (k - 1) / MODULUS >= c:
-            k -= 1
-        while k / MODULUS < c:
-            k += 1
-        cuts.append(k)
-    return np.array(cuts, dtype=np.int64)
-
-
-def poisson_weights(h: np.ndarray, a: np.ndarray, c: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Rows x replicates block of weights. The remainder by 2^31-1 is taken by folding the high bits; the
-    five common cut points are compared on the whole block, the rare rest only where they can apply."""
-    z = h[:, None] * a + c
-    z = (z & MODULUS) + (z >> 31)
-    z = np.where(z >= MODULUS, z - MODULUS, z)
-    w = np.zeros(z.shape)
-    for k in cuts[:5]:
-        w += z >= k
-    rare = np.nonzero(z >= cuts[4])
-    w[rare] += np.searchsorted(cuts[5:], z[rare], side="right")
-    return w
-
-
 def row_hash28(*keys) -> Column:
     text = F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
@@ -193,7 +162,7 @@ def bootstrap_sums(df: DataFrame, key, y: str, preds: dict, n_boot: int, seed: i
     table = replicate_table(n_boot, seed)
     a = np.array([t[0] for t in table], dtype=np.int64)
     c = np.array([t[1] for t in table], dtype=np.int64)
-    cuts = _cut_points()
+    cuts = cut_points()
     models = list(preds)
 
     def partial(batches):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emipanel.operators.forecasts import ar1, holt, moving_average, persistence, two_point_trend
-from emipanel.operators.learners import LEARNERS, persisted
+from emipanel.operators.learners import LEARNERS, persisted, sized
 from emipanel.operators.metrics import METRICS, all_metrics, macro, to_long
 from emipanel.operators.windows import history_array, lag_features
 
@@ -52,6 +52,7 @@ def run_grid(tiers: dict, models: dict, train: DataFrame, test: DataFrame, y: st
     out = None
     need = dict.fromkeys([y, *[c for cols in tiers.values() for c in cols]])
     with persisted(train.select(*need)) as kept:
+        kept = sized(kept)
         for tier, cols in tiers.items():
             for name, (learner, params) in models.items():
                 if done and (tier, name) in done:
