@@ -384,16 +384,14 @@ STRATA = """cells AS (SELECT *, count(*) OVER (PARTITION BY a, b) AS n1 FROM row
   strata AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY l) >= 5 THEN l ELSE '_global' END AS stratum FROM wide)"""
 
 
-@query("clean_strata", f"""WITH rows_in AS (SELECT s_suppkey AS id, {sql_pick('s_suppkey', ['x', 'y', 'z'])} AS a,
-    CAST(s_nationkey AS VARCHAR) AS b FROM supplier UNION ALL SELECT 100000000 + c_custkey, c_mktsegment,
-    CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey % 7 = 0), {STRATA}
+@query("clean_strata", f"""WITH rows_in AS (SELECT c_custkey AS id, c_mktsegment || '_' || CAST(floor(c_acctbal / 500) AS BIGINT) AS a,
+    CAST(c_nationkey AS VARCHAR) AS b FROM customer), {STRATA}
   SELECT id, stratum FROM strata""")
 def clean_strata(spark, sf):
-    a = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), pick(F.col("s_suppkey"), ["x", "y", "z"]).alias("a"),
-                                        F.col("s_nationkey").cast("string").alias("b"))
-    b = t(spark, sf, "customer").where("c_custkey % 7 = 0").select(
-        (F.col("c_custkey") + 100000000).alias("id"), F.col("c_mktsegment").alias("a"), F.col("c_nationkey").cast("string").alias("b"))
-    return stratum_label(a.unionByName(b), "a", "b").select("id", "stratum")
+    c = t(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.concat_ws("_", "c_mktsegment", F.floor(F.col("c_acctbal") / 500)).alias("a"),
+        F.col("c_nationkey").cast("string").alias("b"))
+    return stratum_label(c, "a", "b").select("id", "stratum")
 
 
 @query("clean_flags", f"""WITH {S.COMPANIES} SELECT nz_id, (nz_id % 3 <> 0 AND coalesce(revenue > 0, false)) AS subset_strict,

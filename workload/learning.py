@@ -98,11 +98,11 @@ def prep_mean_impute(spark, sf):
     return out.select(*_P, r("lag1", 3).alias("lag1"), r("lag3", 3).alias("lag3"))
 
 
-_CLIMATE = """cl AS (SELECT city, building_id, year, n_orders * 1.5::DOUBLE AS hdd, n_orders + 0.25::DOUBLE AS cdd FROM panel WHERE building_id % 3 <> 0)"""
+_CLIMATE = """cl AS (SELECT city, building_id, year, n_orders * 1.5::DOUBLE AS hdd, n_orders + 0.25::DOUBLE AS cdd FROM panel WHERE property_type <> 'MACHINERY')"""
 
 
 def _climate(spark, sf):
-    return S.panel(spark, sf).where("building_id % 3 <> 0").select(
+    return S.panel(spark, sf).where("property_type <> 'MACHINERY'").select(
         "city", *_P, (F.col("n_orders") * 1.5).alias("hdd_18c"), (F.col("n_orders") + 0.25).alias("cdd_18c"),
         *[F.lit(1.0).alias(c) for c in L.CLIMATE_PLUS])
 
@@ -133,7 +133,7 @@ def prep_city_weights(spark, sf):
 
 def _emb(spark, sf):
     return t(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("y"),
-                                             F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train").alias("split"))
+                                             F.when(F.col("label") >= 8, "test").otherwise("train").alias("split"))
 
 
 @query("prep_pca")
