@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emipanel.llm import jaccard, mixing, packing, pii, quality
+from emipanel.llm import jaccard, mixing, packing, pii, quality, substring
 from emipanel.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -43,3 +43,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(table(spark, sf_dir, "documents"))
