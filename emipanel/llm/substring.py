@@ -31,80 +31,85 @@ LONGEST = 24
 
 
 class Parse:
-    """Symbols of one text after each round, with where they start and which symbols of the next level they lie in."""
-
-    def __init__(self, words: np.ndarray):
-        self.symbols = [words]
-        self.starts = [np.arange(len(words), dtype=np.int64)]
-        self.sizes = [np.ones(len(words), np.int64)]
-        self.first: list[np.ndarray] = []   # of a symbol that begins what is certain: the certain beginning one level up
-        self.last: list[np.ndarray] = []    # of an exclusive end of what is certain: the same one level up
-        for level, kind in enumerate(ROUNDS):
-            (self._runs if kind == "R" else self._pairs)(level + 1)
+    """Symbols of some texts in a row after each round, with where they start and how bounds move one level up.
+
+    ``fresh`` marks the words that begin a text; no symbol reaches over such a place. ``first[k][i]`` is the symbol that begins
+    what is certain at level k + 1 if symbol i does at level k; ``last[k][j]`` is the same for exclusive ends.
+    """
 
-    def _add(self, heads, symbols, sizes):
+    def __init__(self, words: np.ndarray, fresh: np.ndarray):
+        self.symbols, self.fresh = [words], fresh
+        self.starts = [np.arange(len(words), dtype=np.int32)]
+        self.sizes = [np.ones(len(words), np.int32)]
+        self.first: list[np.ndarray] = []
+        self.last: list[np.ndarray] = []
+        for level, kind in enumerate(ROUNDS):
+            (self._runs if kind == "R" else self._pairs)(np.uint64((level + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
+
+    def _add(self, head, symbols, sizes, first, last):
+        up = np.cumsum(head, dtype=np.int32)  # one more than the symbol of the next level
+        heads = np.flatnonzero(head)
+        ends = np.empty(len(head) + 1, np.int32)
+        ends[:-1], ends[-1] = up - 1, len(heads)
+        self.first.append(np.append(ends[first], np.int32(len(heads))))
+        self.last.append(np.concatenate([np.zeros(1, np.int32), last(up)]))
         self.symbols.append(symbols[heads])
-        self.sizes.append(sizes)
+        self.sizes.append(sizes[heads])
         self.starts.append(self.starts[-1][heads])
+        self.fresh = self.fresh[heads]
 
-    def _runs(self, level):
-        salt = np.uint64(level * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)
+    def _runs(self, salt):
         s, size = self.symbols[-1], self.sizes[-1]
-        m = len(s)
-        new = np.r_[True, s[1:] != s[:-1]]
-        run_start = np.nonzero(new)[0]
-        run_end = np.r_[run_start[1:], m]
-        run = np.cumsum(new) - 1
-        named = (run_end - run_start > 1) & ((run_end - run_start) * size[run_start] <= LONGEST)
-        heads = np.nonzero(new | ~named[run])[0]
-        up = np.cumsum(new | ~named[run]) - 1  # symbol -> symbol of the next level
-        length = (run_end - run_start)[run[heads]]
-        whole = named[run[heads]]
-        symbols = s.copy()
-        symbols[heads] = np.where(whole, mix64(s[heads] ^ (length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt)), s[heads])
-        sizes = np.where(whole, size[heads] * length, size[heads])
-        up_end = np.r_[up, len(heads)]
-        self.first.append(np.r_[up_end[run_end[run]], len(heads)])  # the run at the beginning may go on outside
-        self.last.append(np.r_[0, up[run_start[run]]])              # and so may the one at the end
-        self._add(heads, symbols, sizes)
-
-    def _pairs(self, level):
-        salt = np.uint64(level * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)
+        new = self.fresh.copy()
+        new[1:] |= s[1:] != s[:-1]
+        begin = np.flatnonzero(new).astype(np.int32)
+        length = np.diff(begin, append=np.int32(len(s)))
+        run = np.cumsum(new, dtype=np.int32) - 1
+        short = (length > 1) & (length * size[begin] <= LONGEST)
+        symbols, sizes = s.copy(), size.copy()
+        at = begin[short]
+        symbols[at] = mix64(s[at] ^ (length[short].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt))
+        sizes[at] *= length[short]
+        # the run at the beginning may go on outside, and so may the one at the end
+        self._add(new | ~short[run], symbols, sizes, (begin + length)[run], lambda up: up[begin[run]] - 1)
+
+    def _pairs(self, salt):
         s, size = self.symbols[-1], self.sizes[-1]
-        m = len(s)
         right = (mix64(s + salt) & np.uint64(1)).astype(bool)
-        joined = np.r_[~right[:-1] & right[1:] & (size[:-1] + size[1:] <= LONGEST), False] if m else np.zeros(0, bool)
-        head = ~np.r_[False, joined[:-1]] if m else joined
-        heads = np.nonzero(head)[0]
-        up = np.cumsum(head) - 1
-        pair = joined[heads]
-        after = np.minimum(heads + 1, m - 1)
-        symbols = s.copy()
-        symbols[heads] = np.where(pair, mix64(s[heads] * np.uint64(0x9E3779B97F4A7C15) + mix64(s[after] + salt)), s[heads])
-        sizes = size[heads] + np.where(pair, size[after], 0)
-        up_end = np.r_[up, len(heads)]
+        joined = np.zeros(len(s), bool)
+        joined[:-1] = ~right[:-1] & right[1:] & ~self.fresh[1:] & (size[:-1] + size[1:] <= LONGEST)
+        head = np.ones(len(s), bool)
+        head[1:] = ~joined[:-1]
+        symbols, sizes = s.copy(), size.copy()
+        at = np.flatnonzero(joined)
+        symbols[at] = mix64(s[at] * np.uint64(0x9E3779B97F4A7C15) + mix64(s[at + 1] + salt))
+        sizes[at] += size[at + 1]
         # a right symbol at the beginning may belong to one outside, a left symbol at the end likewise
-        self.first.append(np.r_[np.where(right, up_end[1:] if m else up_end[:0], up), len(heads)])
-        self.last.append(np.r_[0, np.where(right, up + 1, up)])
-        self._add(heads, symbols, sizes)
+        place = np.arange(len(s), dtype=np.int32)
+        self._add(head, symbols, sizes, place + right, lambda up: np.where(right, up, up - 1))
 
 
-def anchors(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """For the windows of a text in order, grouped by the anchor they share: arrays of the anchor's symbol, its first word, the
-    first window's start and the number of windows."""
-    count = len(words) - window + 1
-    if count <= 0:
+def anchors(words: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """For the windows of texts that stand in a row, grouped by the anchor they share: arrays of the anchor's symbol, its first
+    word, the first window's start (both counted over all texts) and the number of windows."""
+    stop = np.cumsum(lengths)
+    left = np.repeat(stop, lengths) - np.arange(len(words))
+    starts = np.flatnonzero(left >= window)
+    if not len(starts):
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
-    parse = Parse(words)
+    fresh = np.zeros(len(words), bool)
+    fresh[(stop - lengths)[lengths > 0]] = True
+    parse, count = Parse(words, fresh), len(starts)
     symbol, place = np.zeros(count, np.uint64), np.full(count, -1, np.int64)
-    lo, hi = np.arange(count), np.arange(count) + window
+    lo, hi = starts, starts + window
     bounds = {0: (lo, hi)}
     for level in range(len(ROUNDS)):
         lo, hi = parse.first[level][lo], parse.last[level][hi]
-        bounds[level + 1] = (lo, hi)
+        if level + 1 in LEVELS:
+            bounds[level + 1] = (lo, hi)
     for level in LEVELS:
         lo, hi = bounds[level]
-        todo = np.nonzero((place < 0) & (lo < hi))[0]
+        todo = np.flatnonzero((place < 0) & (lo < hi))
         if not len(todo):
             continue
         lo, hi = lo[todo], hi[todo]
@@ -125,8 +130,8 @@ def anchors(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
             best = np.where(key[b] > key[a], b, a)
             step *= 2
         symbol[todo], place[todo] = s[choice] + np.uint64(level), parse.starts[level][choice]
-    new = np.nonzero(np.r_[True, (place[1:] != place[:-1]) | (symbol[1:] != symbol[:-1])])[0]
-    return symbol[new], place[new], new, np.diff(np.r_[new, count])
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (symbol[1:] != symbol[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    return symbol[new], place[new], starts[new], np.diff(new, append=count)
 
 
 def _joined(words: list[bytes]) -> tuple[bytes, np.ndarray]:
@@ -145,23 +150,19 @@ def anchor_rows(texts: DataFrame, window: int, id_type: str) -> DataFrame:
         for batch in batches:
             schema = pa.schema([("symbol", pa.int64()), ("span", pa.binary()), batch.schema.field("doc_id"), ("at", pa.int64()), ("n", pa.int64())])
             for part in pieces(batch):
-                symbols, spans, docs, ats, ns = [], [], [], [], []
-                for doc, text in zip(part["doc_id"], part["text"]):
-                    words = split_words(text)
-                    if len(words) < window or doc is None:
-                        continue
-                    symbol, place, at, n = anchors(memo.ids(words), window)
-                    whole, begins = _joined(words)
-                    # what the windows span, and where in it they stand
-                    spans += [d + int(p - a).to_bytes(4, "little", signed=True) for d, p, a in
-                              zip(_digests(whole, begins, at, at + n + window - 1), place, at)]
-                    symbols.append(symbol)
-                    ats.append(at)
-                    ns.append(n)
-                    docs += [doc] * len(symbol)
-                if docs:
-                    yield rows(schema, symbol=np.concatenate(symbols).view(np.int64), span=spans, doc_id=docs,
-                               at=np.concatenate(ats), n=np.concatenate(ns))
+                texts_words = [split_words(t) if d is not None else [] for d, t in zip(part["doc_id"], part["text"])]
+                lengths = np.array([len(w) for w in texts_words], np.int64)
+                flat = [w for words in texts_words for w in words]
+                symbol, place, at, n = anchors(memo.ids(flat), lengths, window)
+                if not len(symbol):
+                    continue
+                whole, begins = _joined(flat)
+                owner = np.searchsorted(np.cumsum(lengths), at, side="right")
+                # what the windows span, and where in it their anchor stands
+                spans = [d + p for d, p in zip(_digests(whole, begins, at, at + n + window - 1),
+                                               map(bytes, (place - at).astype("<i4").view("u1").reshape(-1, 4)))]
+                yield rows(schema, symbol=symbol.view(np.int64), span=spans, doc_id=[part["doc_id"][i] for i in owner.tolist()],
+                           at=at - (np.cumsum(lengths) - lengths)[owner], n=n)
 
     return texts.mapInArrow(run, f"symbol bigint, span binary, doc_id {id_type}, at bigint, n bigint")
 
