@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,21 +45,34 @@ def split_words(text: bytes | None) -> list[bytes]:
 
 
 class Memo(dict):
-    """word -> make(word), computed once per word; emptied when it has grown to MEMO_WORDS."""
+    """word -> make(word), computed once per word. Beyond ``most`` entries the memo becomes the older of two generations, which
+    bounds memory, not results."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int = MEMO_WORDS):
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, word):
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
         return value
 
     def ids(self, words: list[bytes], dtype=np.uint64) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=dtype, count=len(words))
 
 
+def kept_in_worker(key, make):
+    """What make() gives, kept for the tasks that follow in the same Python worker: for memos, never for results."""
+    kept = vars(sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker")))
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def word_memo() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emipanel.llm.common import Memo, keyed_text, pieces, rows, split_words, stored
+from emipanel.llm.common import Memo, kept_in_worker, keyed_text, pieces, rows, split_words, stored
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -31,12 +31,23 @@ _SQL = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequen
 
 
 def word_tokens(path: str) -> Memo:
-    """word -> its ids as little-endian 32-bit bytes. The tokenizer cuts at white space and drops it, and nothing of its
-    normalising reaches across it, so a text's ids are its words' ids in a row."""
+    """word -> its ids as little-endian 32-bit bytes. The tokenizer lower-cases, cuts at white space and drops it, and nothing of
+    its normalising reaches across it, so a text's ids are its words' ids in a row. A single full stop or comma after a letter is
+    a token of its own, so it is looked up apart and more words are met again."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return Memo(lambda w: np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+
+    def make(word: bytes) -> bytes:
+        lower = word.lower()  # ASCII letters only; the tokenizer does the others
+        if lower != word and b"<|" not in word:
+            return memo[lower]
+        if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
+            return memo[word[:-1]] + memo[word[-1:]]
+        return np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    memo = Memo(make, 500_000)
+    return memo
 
 
 class Packer:
@@ -126,7 +137,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     id_field = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        memo, task, schema = word_tokens(path), TaskContext.get().partitionId(), None
+        memo, task, schema = kept_in_worker(("tokens", path), lambda: word_tokens(path)), TaskContext.get().partitionId(), None
         packer = Packer(window, open_windows, lambda n: (task << 32) + n)
         for batch in batches:
             schema = schema or pa.schema([batch.schema.field("doc_id"), *[pa.field(*f) for f in _FIELDS], pa.field("task", pa.int64())])
