@@ -4,9 +4,10 @@ The incidence matrix is cut by columns (n-grams), which a shuffle deals out, and
 of a set of n n-grams in one global order, rarest first, two sets with Jaccard similarity t or more share one among the first
 n - ceil(t n) + 1 of either. The product runs column by column. A first product multiplies by centres only (the smallest
 document of each column), which is linear in the entries; each document keeps the centre with the highest accumulated count
-and the exact similarity to it. What these links connect needs no more products. A second product takes every pair of a column
-whose documents are not connected yet, accumulates the pairs' overlap counts, and discards pairs below the bounds that their
-sizes, and the distances to a centre they share, imply; what is left is compared exactly. So no pair of documents that could
+and the exact similarity to it. What these links connect needs no more products. Where a column still holds several components,
+its documents are compared with the components' centres. A second product takes every pair of a column that is not connected
+then, accumulates the pairs' overlap counts, and discards pairs below the bounds that their sizes, and their distances to a
+centre, imply; what is left is compared exactly. So no pair of documents that could
 join two components is left out, and no group of copies is multiplied with itself.
 """
 
@@ -25,6 +26,8 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Most entries of the table of frequent n-grams; it only orders n-grams, results do not depend on it.
 FREQUENT = 1 << 16
+#: A centre with at least so many documents serves to rule out pairs by distance; only cost depends on it.
+PIVOT_MEMBERS = 8
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -243,24 +246,44 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = components(linked, id_type)
 
     # second product: columns whose documents are still in two components or more
-    to_centre = first.select(F.col("b").alias("doc_id"), F.col("a").alias("star"),
-                             (1 - F.col("common") / F.col("either")).alias("far"))
-    placed = (cells.select("gram", "doc_id", "n").join(joined, "doc_id", "left")
-              .withColumn("component_id", F.coalesce("component_id", "doc_id")).join(to_centre, "doc_id", "left")
+    to_centre = first.select(F.col("b").alias("doc_id"), F.col("a").alias("star"), (1 - F.col("common") / F.col("either")).alias("far"))
+    placed = (cells.select("gram", "doc_id", "n").join(to_centre, "doc_id", "left")
               .withColumn("star", F.coalesce("star", "doc_id")).withColumn("far", F.coalesce("far", F.lit(0.0))))
-    open_columns = placed.groupBy("gram").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo < hi")
-    rest = stored(placed.join(open_columns.select("gram"), "gram"), "open")
-    other = rest.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "component_id", "star", "far")])
-    pairs = (rest.join(other, "gram").filter(F.col("component_id") < F.col("component_id_b")).filter(near("n", "n_b"))
-             # Jaccard distance is a metric: documents too unlike in their distance to one centre cannot link
-             .filter((F.col("star") != F.col("star_b")) | (F.abs(F.col("far") - F.col("far_b")) * den <= den - num + 1e-6))
+    rest = stored(_open_columns(placed, joined), "open")
+
+    # documents are compared with the centres of the components that they meet: what is near joins there, and of what is not the
+    # exact distance rules out most of the component's members, for Jaccard distance is a metric
+    members = rest.select("star", "doc_id").distinct().groupBy("star").agg(F.count(F.lit(1)).alias("m"))
+    pivots = members.filter(F.col("m") >= PIVOT_MEMBERS).select("star")
+    met = rest.join(pivots, "star").groupBy("gram", "star").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
+    with_centres = (rest.select("gram", "doc_id", "component_id", F.col("star").alias("own")).join(met, "gram")
+                    .filter((F.col("own") != F.col("star")) & (F.col("doc_id") != F.col("star"))
+                            & ((F.col("lo") != F.col("component_id")) | (F.col("hi") != F.col("component_id"))))
+                    .select(F.col("star").alias("a"), F.col("doc_id").alias("b")).distinct())
+    pivoted = stored(overlaps(stored(with_centres, "pivot-pairs"), held, words, id_type), "pivoted")
+    linked = stored(linked.unionByName(pivoted.filter(F.col("common") * den >= F.col("either") * num).select("a", "b")), "linked")
+    joined = components(linked, id_type)
+    rest = stored(_open_columns(rest.drop("component_id"), joined).join(pivots.withColumn("pivot", F.lit(True)), "star", "left")
+                  .withColumn("pivot", F.coalesce("pivot", F.lit(False))), "open")
+    known = (first.unionByName(pivoted).select(F.col("b").alias("doc_id"), F.col("a").alias("to"), (1 - F.col("common") / F.col("either")).alias("away"))
+             .unionByName(rest.filter("doc_id = star").select("doc_id", F.col("star").alias("to"), F.lit(0.0).alias("away")).distinct()))
+    other = rest.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "component_id", "star", "far", "pivot")])
+    reach = (den - num) / den + 1e-9
+    by_pivot = (rest.join(known.join(pivots, F.col("to") == F.col("star")).select("doc_id", "to", "away"), "doc_id")
+                .join(other.filter("pivot_b"), (rest["gram"] == other["gram"]) & (F.col("to") == F.col("star_b"))
+                      & (F.col("component_id") != F.col("component_id_b")) & (~F.col("pivot") | (F.col("component_id") < F.col("component_id_b")))
+                      & (F.abs(F.col("away") - F.col("far_b")) <= reach) & near("n", "n_b")))
+    plain = (rest.filter(~F.col("pivot")).join(other.filter(~F.col("pivot_b")), (rest["gram"] == other["gram"])
+             & (F.col("component_id") < F.col("component_id_b")) & near("n", "n_b")))
+    ends = ["doc_id", "n", "doc_id_b", "n_b"]
+    pairs = (by_pivot.select(ends).unionByName(plain.select(ends))
              .groupBy(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b"),
                       F.least("n", "n_b").alias("small"), F.greatest("n", "n_b").alias("large")).agg(F.count(F.lit(1)).alias("c")))
     # shared entries, plus all that can follow the deciding ones, must reach ceil(t / (1 + t) (n_a + n_b))
     needed = F.ceil(F.expr(f"(small + large) * {num} / {num + den}D") - 1e-9)
     possible = F.col("c") + F.ceil(F.expr(f"large * {num} / {den}D") - 1e-9) - 1
-    open_pairs = pairs.filter(possible >= needed).select("a", "b").join(
-        first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    tested = first.unionByName(pivoted).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_pairs = pairs.filter(possible >= needed).select("a", "b").join(tested, ["a", "b"], "left_anti")
     second = overlaps(stored(open_pairs, "open-pairs"), held, words, id_type)
     more = second.filter(F.col("common") * den >= F.col("either") * num).select("a", "b")
     final = components(stored(linked.unionByName(more), "links"), id_type)
@@ -269,3 +292,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return (sizes.join(final, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
+
+def _open_columns(cells: DataFrame, joined: DataFrame) -> DataFrame:
+    """Entries with their component_id, of columns that hold more than one component."""
+    placed = cells.join(joined, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    several = placed.groupBy("gram").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo < hi")
+    return placed.join(several.select("gram"), "gram")
