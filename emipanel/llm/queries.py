@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emipanel.llm import jaccard, mixing, packing, pii, quality, substring
+from emipanel.llm import fagin, jaccard, langid, mixing, packing, pii, quality, substring, urls, vptree
 from emipanel.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -48,3 +48,40 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs.filter(crc_mod("doc_id", 4) != 2)))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query
+def op10_fagin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return fagin.top_scores(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+_USABLE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+ORACLES["op10_fagin"] = f"""WITH {_USABLE},
+w AS (SELECT vec_id, list_transform(v, lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+  CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM w q JOIN w c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
