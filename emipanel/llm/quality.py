@@ -22,10 +22,11 @@ from emipanel.llm.common import Memo, keyed_text, mix64, pieces, rows, split_wor
 BUCKETS = 1 << 18
 #: Most labelled documents that a fit reads; with fewer labels all are used.
 SAMPLE = 12_000
-SHARDS = 8
+#: Documents of the sample per shard that is trained on its own; a small sample is one shard.
+PER_SHARD = 3000
 THRESHOLD = 0.3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.2
-EPOCHS = 3
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 0.001, 0.01
+EPOCHS = 6
 
 _PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
@@ -81,7 +82,7 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        sample: int = SAMPLE, shards: int = SHARDS, buckets: int = BUCKETS, seed: int = 7) -> QualityModel:
+        sample: int = SAMPLE, per_shard: int = PER_SHARD, buckets: int = BUCKETS, seed: int = 7) -> QualityModel:
     """Fit on at most ``sample`` labelled documents, drawn by a hash of the key.
 
     Rows of ``labels`` with a null key or label are left out; of repeated keys the lowest label counts. Without any labelled
@@ -95,6 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rate = min(1.0, 1.2 * sample / total)
     drawn = (known.withColumn("draw", draw).filter(F.pmod("draw", F.lit(1 << 20)) < int(np.ceil(rate * (1 << 20))))
              .orderBy("draw", "doc_id").limit(sample))
+    shards = -(-min(sample, total) // per_shard)
     texts = keyed_text(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -72,7 +72,8 @@ class TreeSearch:
                 continue
             begin, end, vantage, in0, in1, out0, out1, left, right = nodes[at]
             if vantage < 0:
-                scores = (laid[begin:end] * query).sum(axis=1)
+                # products added in order, as a plain loop would
+                scores = np.cumsum(laid[begin:end] * query, axis=1)[:, -1]
                 own = laid_ids[begin:end]
                 fit = np.flatnonzero((own != query_id) & (scores >= (best_s[-1] if len(best_s) >= k else -np.inf)))
                 if len(fit):
