@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from emipanel.llm.common import stored
 from emipanel.llm.vectors import QUERY_BLOCK, SHARD, packed, search, top, usable
 
-LEAF = 128
+LEAF = 256
 #: Pruning factor of the registered query: one, which is exact.
 FACTOR = 1.0
 
@@ -62,6 +62,7 @@ class TreeSearch:
         matrix, ids, points, order, nodes, laid, laid_ids = prepared
         length = float(query @ query)
         q = np.append(query, 0.0)
+        slack = 1e-12 * (1 + np.sqrt(length) * self.longest)
         shift = length + self.longest ** 2  # squared distance = shift - 2 inner product
         best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
         worst = np.inf
@@ -72,12 +73,14 @@ class TreeSearch:
                 continue
             begin, end, vantage, in0, in1, out0, out1, left, right = nodes[at]
             if vantage < 0:
-                # products added in order, as a plain loop would
-                scores = np.cumsum(laid[begin:end] * query, axis=1)[:, -1]
-                own = laid_ids[begin:end]
-                fit = np.flatnonzero((own != query_id) & (scores >= (best_s[-1] if len(best_s) >= k else -np.inf)))
+                own, rough = laid_ids[begin:end], laid[begin:end] @ query
+                rough[own == query_id] = -np.inf
+                cut = best_s[-1] if len(best_s) >= k else np.partition(rough, len(rough) - min(k, len(rough)))[len(rough) - min(k, len(rough))]
+                fit = np.flatnonzero((rough >= cut - slack) & (own != query_id))
                 if len(fit):
-                    s, i = np.concatenate([best_s, scores[fit]]), np.concatenate([best_i, own[fit]])
+                    # of those that may enter: products added in order, as a plain loop would
+                    exact = np.cumsum(laid[begin:end][fit] * query, axis=1)[:, -1]
+                    s, i = np.concatenate([best_s, exact]), np.concatenate([best_i, own[fit]])
                     keep = top(s, i, k)
                     best_s, best_i = s[keep], i[keep]
                     if len(best_s) >= k:
