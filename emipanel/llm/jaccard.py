@@ -27,7 +27,7 @@ NUM, DEN = 75, 100
 #: Most entries of the table of frequent n-grams; it only orders n-grams, results do not depend on it.
 FREQUENT = 1 << 16
 #: A centre with at least so many documents serves to rule out pairs by distance; only cost depends on it.
-PIVOT_MEMBERS = 8
+PIVOT_MEMBERS = 32
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -251,15 +251,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
               .withColumn("star", F.coalesce("star", "doc_id")).withColumn("far", F.coalesce("far", F.lit(0.0))))
     rest = stored(_open_columns(placed, joined), "open")
 
-    # documents are compared with the centres of the components that they meet: what is near joins there, and of what is not the
-    # exact distance rules out most of the component's members, for Jaccard distance is a metric
-    members = rest.select("star", "doc_id").distinct().groupBy("star").agg(F.count(F.lit(1)).alias("m"))
-    pivots = members.filter(F.col("m") >= PIVOT_MEMBERS).select("star")
+    # documents are compared with the centres of the large groups that they meet in enough columns (with those that they meet in
+    # fewer none can link): what is near joins there, and of what is not the exact distance rules out most of the group's members,
+    # for Jaccard distance is a metric
+    members = rest.select("star", "doc_id", "n").distinct().groupBy("star").agg(
+        F.count(F.lit(1)).alias("m"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    groups = members.filter(F.col("m") >= PIVOT_MEMBERS)
+    pivots = groups.select("star")
     met = rest.join(pivots, "star").groupBy("gram", "star").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
-    with_centres = (rest.select("gram", "doc_id", "component_id", F.col("star").alias("own")).join(met, "gram")
+    with_centres = (rest.select("gram", "doc_id", "n", "component_id", F.col("star").alias("own")).join(met, "gram")
                     .filter((F.col("own") != F.col("star")) & (F.col("doc_id") != F.col("star"))
                             & ((F.col("lo") != F.col("component_id")) | (F.col("hi") != F.col("component_id"))))
-                    .select(F.col("star").alias("a"), F.col("doc_id").alias("b")).distinct())
+                    .groupBy("star", "doc_id", "n").agg(F.count(F.lit(1)).alias("c")).join(groups, "star")
+                    # fewer columns met with the whole group than any member of a size that can link would need
+                    .withColumn("n_lo", F.greatest("n_lo", F.ceil(F.col("n") * num / den)))
+                    .withColumn("n_hi", F.least("n_hi", F.floor(F.col("n") * den / num))).filter("n_lo <= n_hi")
+                    .filter(F.col("c") + 2 >= F.least(*[F.floor((F.col("n") + F.col(m)) * num / (num + den))
+                                                        - F.ceil(F.greatest("n", m) * num / den) + 1 for m in ("n_lo", "n_hi")]))
+                    .select(F.col("star").alias("a"), F.col("doc_id").alias("b")))
     pivoted = stored(overlaps(stored(with_centres, "pivot-pairs"), held, words, id_type), "pivoted")
     linked = stored(linked.unionByName(pivoted.filter(F.col("common") * den >= F.col("either") * num).select("a", "b")), "linked")
     joined = components(linked, id_type)
