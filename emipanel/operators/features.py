@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,14 +165,18 @@ def concat_features(df: DataFrame, tabular, embedding: str, out: str = "features
 
 
 def fit_pca(train: DataFrame, embedding: str, k: int, out: str = "embedding_pca"):
-    """Principal components of the training rows only. Returns a function frame -> frame."""
+    """Principal components of the training rows only; scores are centred on the training mean. Returns a function frame -> frame."""
     def vec(d):
         return d.withColumn("__e", array_to_vector(F.col(embedding).cast("array<double>")))
 
-    model = PCA(k=k, inputCol="__e", outputCol="__p").fit(vec(train))
+    rows = vec(train)
+    model = PCA(k=k, inputCol="__e", outputCol="__p").fit(rows)
+    mean = rows.select(Summarizer.mean(F.col("__e")).alias("m")).first()["m"].toArray()
+    centre = F.array(*[F.lit(float(x)) for x in mean @ model.pc.toArray()])  # one number per component
 
     def apply(df: DataFrame) -> DataFrame:
-        return model.transform(vec(df)).withColumn(out, vector_to_array("__p")).drop("__e", "__p")
+        scores = F.zip_with(vector_to_array("__p"), centre, lambda x, m: x - m)
+        return model.transform(vec(df)).withColumn(out, scores).drop("__e", "__p")
 
     apply.model = model
     return apply

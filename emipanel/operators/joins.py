@@ -146,9 +146,12 @@ def merge_with_provenance(df: DataFrame, side: DataFrame, keys, order, centres:
 
 def location_or_fallback(df: DataFrame, centres: DataFrame, city: str = "city", year: str = "year",
                          source: str = "climate_source") -> DataFrame:
-    """Own coordinates when valid, else the city centre, on the climate grid, with the query key."""
+    """Own coordinates when valid, else the city centre, on the climate grid, with the query key. A city without a centre is
+    refused with an error, so no row is lost."""
     c = centres.withColumnRenamed("city", "__city")
-    out = df.join(c, F.col(city) == F.col("__city")).drop("__city")
+    unknown = F.raise_error(F.concat(F.lit("no centre for city "), F.coalesce(F.col(city), F.lit("null"))))
+    out = df.join(c, F.col(city) == F.col("__city"), "left")
+    out = out.withColumn("centre_lat", F.when(F.col("__city").isNull(), unknown.cast("double")).otherwise(F.col("centre_lat"))).drop("__city")
     ok = valid_coord("latitude", "longitude", "centre_lat", "centre_lon")
     return (out.withColumn(source, F.when(ok, "building_grid").otherwise("city_fallback"))
             .withColumn("grid_lat", snap(F.when(ok, F.col("latitude")).otherwise(F.col("centre_lat"))))

@@ -182,7 +182,7 @@ def entity_holdout(df: DataFrame, entity: str, frac: float = 0.5, seed: int = 42
     ids = df.select(entity).distinct()
     ranked = rank_in_group(ids, [], hash32(seed, entity), [entity], "__rank", "__size")
     label = F.when(F.col("__rank") <= F.round(F.col("__size") * F.lit(1 - frac)), "train").otherwise("test")
-    return df.join(ranked.select(entity, label.alias(name)), entity)
+    return join_null_safe(df, ranked.select(entity, label.alias(name)), [entity])
 
 
 def carve_validation(df: DataFrame, entity: str, frac: float = 0.15, min_entities: int = 10,
@@ -191,7 +191,7 @@ def carve_validation(df: DataFrame, entity: str, frac: float = 0.15, min_entitie
     ids = df.select(entity).distinct()
     ranked = rank_in_group(ids, [], hash32(seed, entity), [entity], "__rank", "__size")
     take = (F.col("__size") >= min_entities) & (F.col("__rank") <= F.round(F.col("__size") * F.lit(frac)))
-    return df.join(ranked.select(entity, F.when(take, "val").otherwise("train").alias("split")), entity)
+    return join_null_safe(df, ranked.select(entity, F.when(take, "val").otherwise("train").alias("split")), [entity])
 
 
 def holdout(df: DataFrame, key, frac: float = 0.2, seed: int = 42, name: str = "split",
