@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import sys
 import types
 from collections.abc import Iterator
@@ -108,7 +107,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def crc_mod(column, n: int):
     """crc32(id as text) mod n, the split that the labelled operators hold out by."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
-
-
-def beside(path: str) -> str:
-    return os.path.join(os.path.dirname(os.path.abspath(__file__)), path)
