@@ -4,8 +4,9 @@ The incidence matrix is cut by columns (n-grams), which a shuffle deals out, and
 of a set of n n-grams in one global order, rarest first, two sets with Jaccard similarity t or more share one among the first
 n - ceil(t n) + 1 of either. The product runs column by column. A first product multiplies by centres only (the smallest
 document of each column), which is linear in the entries; each document keeps the centre with the highest accumulated count
-and the exact similarity to it. What these links connect needs no more products. A second product takes every pair of a column
-whose documents are not connected yet, accumulates the pairs' overlap counts, and discards pairs below the bounds that their
+and the exact similarity to it. What these links connect needs no more products. A few more products of that kind follow, each
+with other centres (a hash picks them) from components that share a column and are not connected yet, so that a large group of
+near copies becomes one component. The last product takes every pair of a column whose documents are not connected yet, accumulates the pairs' overlap counts, and discards pairs below the bounds that their
 sizes, and the distances to a centre they share, imply; what is left is compared exactly. So no pair of documents that could
 join two components is left out, and no group of copies is multiplied with itself.
 """
@@ -25,6 +26,8 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Most entries of the table of frequent n-grams; it only orders n-grams, results do not depend on it.
 FREQUENT = 1 << 16
+#: Products with other centres before the last one. They only make the last one smaller, results do not depend on it.
+TURNS = 2
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -213,6 +216,81 @@ def components(links: DataFrame, id_type: str) -> DataFrame:
             return labels.withColumnRenamed("label", "component_id")
 
 
+def near(a: str, b: str, num: int, den: int):
+    """Bound from sizes: t n_a <= n_b for n_b <= n_a."""
+    return F.least(F.col(a), F.col(b)) * den >= F.greatest(F.col(a), F.col(b)) * num
+
+
+def best_centres(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (doc_id, n, centre, centre_n), one per shared column -> (a, b): every document b with the centre a that it shares most
+    columns with. Too few of them give no row: half of what a link needs, as some shared columns have other centres."""
+    counted = met.groupBy("doc_id", "centre", "n", "centre_n").agg(F.count(F.lit(1)).alias("c"))
+    deciding = (F.col("n") + F.col("centre_n")) * num / (num + den) - F.greatest("n", "centre_n") * num / den
+    best = counted.filter(F.col("c") * 2 >= deciding).groupBy("doc_id").agg(
+        F.max_by("centre", F.struct("c", F.xxhash64("centre"))).alias("centre"))
+    return best.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+
+
+def open_columns(placed: DataFrame) -> DataFrame:
+    """Entries of columns whose documents are in two components or more."""
+    spread = placed.groupBy("gram").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo < hi")
+    return placed.join(spread.select("gram"), "gram")
+
+
+def other_centres(entries: DataFrame, turn: int) -> DataFrame:
+    """(doc_id, n, centre, centre_n): for each entry a document of the same column in another component. A column has two
+    centres, from the components that come first and last in the turn's hash order."""
+    order = F.xxhash64("component_id", F.lit(turn))
+    who = [F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id"), F.col("n"), F.col("component_id")]
+    two = entries.groupBy("gram").agg(F.min(F.struct(order.alias("o"), *who)).alias("lo"),
+                                      F.min(F.struct(F.bitwise_not(order).alias("o"), *who)).alias("hi"))
+    centre = F.when(F.col("component_id") == F.col("lo.component_id"), F.col("hi")).otherwise(F.col("lo"))
+    return (entries.join(two, "gram").withColumn("centre", centre)
+            .select("doc_id", "n", F.col("centre.doc_id").alias("centre"), F.col("centre.n").alias("centre_n")))
+
+
+def least_shared(a: str, b: str, num: int, den: int):
+    """Deciding entries that sets of sizes a and b must share to link: the overlap ceil(t / (1 + t) (a + b)), less all that can
+    follow the deciding ones of the larger set."""
+    overlap = F.ceil(F.expr(f"({a} + {b}) * {num} / {num + den}D") - 1e-9)
+    return F.greatest(overlap - F.ceil(F.expr(f"greatest({a}, {b}) * {num} / {den}D") - 1e-9) + 1, F.lit(1))
+
+
+def open_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """A row per document of open columns: its columns (m documents, gram), least filled first, and k, the fewest of them that
+    a partner can share. The sizes met in a column bound k (it is smallest at the ends of their range); a document with fewer
+    columns than that can link with none that is not connected yet, and has no row."""
+    spans = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = (entries.join(spans, "gram").withColumn("lo", F.greatest("lo", F.expr(f"ceil(n * {num} / {den}D - 1e-9)")))
+           .withColumn("hi", F.least("hi", F.expr(f"floor(n * {den} / {num}D + 1e-9)"))).filter("lo <= hi"))
+    return (met.withColumn("k", F.least(least_shared("n", "lo", num, den), least_shared("n", "hi", num, den)))
+            .groupBy("doc_id", "n", "component_id", "star", "far")
+            .agg(F.array_sort(F.collect_set(F.struct("m", "gram"))).alias("cells"), F.min("k").alias("k"))
+            .withColumn("cols", F.size("cells")).filter("cols >= k"))
+
+
+def possible_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of documents in different components that share enough columns to link.
+
+    A partner that shares k of a document's columns is met in any cols - k + 1 of them, so the document with fewer columns is
+    multiplied in its least filled ones only. The whole overlap of columns is counted for the distinct pairs that this gives.
+    """
+    entries = lists.select("doc_id", "n", "component_id", "star", "far", "cols", "k", F.posexplode("cells").alias("at", "cell")).withColumn("gram", F.col("cell.gram"))
+    keys = ["doc_id", "n", "component_id", "star", "far", "cols"]
+    probes = entries.filter("at <= cols - k").select("gram", "at", *keys)
+    other = entries.select("gram", *[F.col(c).alias(f"{c}_b") for c in keys])
+    pairs = (probes.join(other, "gram").filter(F.col("component_id") != F.col("component_id_b")).filter(near("n", "n_b", num, den))
+             .filter("cols < cols_b or (cols = cols_b and doc_id < doc_id_b)")
+             .filter(F.col("at") <= F.col("cols") - least_shared("n", "n_b", num, den))
+             # Jaccard distance is a metric: documents too unlike in their distance to one centre cannot link
+             .filter((F.col("star") != F.col("star_b")) | (F.abs(F.col("far") - F.col("far_b")) * den <= den - num + 1e-6))
+             .select(F.col("doc_id").alias("a"), "n", F.col("doc_id_b").alias("b"), "n_b").distinct())
+    columns = lists.select("doc_id", "n", F.col("cells.gram").alias("cells"))
+    both = pairs.join(columns.toDF("a", "n", "cells_a"), ["a", "n"]).join(columns.toDF("b", "n_b", "cells_b"), ["b", "n_b"])
+    shared = F.size(F.array_intersect("cells_a", "cells_b"))
+    return both.filter(shared >= least_shared("n", "n_b", num, den)).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM,
                       den: int = DEN) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
@@ -228,42 +306,42 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     order = frequent_grams(passed)
     cells = stored(columns_with_centres(entries(texts, order, words, num, den, id_type), id_type), "cells")
 
-    # bounds from sizes: t n_a <= n_b for n_b <= n_a
-    def near(a, b):
-        return (F.least(F.col(a), F.col(b)) * den >= F.greatest(F.col(a), F.col(b)) * num)
+    def linked(compared):
+        return compared.filter(F.col("common") * den >= F.col("either") * num).select("a", "b")
 
-    stars = cells.filter((F.col("doc_id") != F.col("centre")) & near("n", "centre_n"))
-    counted = stars.groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("c"))
-    best = counted.groupBy("doc_id").agg(F.max_by("centre", F.struct("c", F.xxhash64("centre"))).alias("centre"))
-    best = stored(best.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")), "stars")
+    stars = cells.filter((F.col("doc_id") != F.col("centre")) & near("n", "centre_n", num, den))
+    best = best_centres(stars.select("doc_id", "n", "centre", "centre_n"), num, den)
     # texts of documents that share a column with another: all that is compared from here on
     held = stored(texts.join(cells.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-    first = stored(overlaps(best, held, words, id_type), "first")
-    linked = first.filter(F.col("common") * den >= F.col("either") * num).select("a", "b")
-    joined = components(linked, id_type)
+    first = stored(overlaps(stored(best, "stars"), held, words, id_type), "first")
+    joined = components(linked(first), id_type)
 
-    # second product: columns whose documents are still in two components or more
+    # columns whose documents are still in two components or more
     to_centre = first.select(F.col("b").alias("doc_id"), F.col("a").alias("star"),
                              (1 - F.col("common") / F.col("either")).alias("far"))
     placed = (cells.select("gram", "doc_id", "n").join(joined, "doc_id", "left")
               .withColumn("component_id", F.coalesce("component_id", "doc_id")).join(to_centre, "doc_id", "left")
               .withColumn("star", F.coalesce("star", "doc_id")).withColumn("far", F.coalesce("far", F.lit(0.0))))
-    open_columns = placed.groupBy("gram").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo < hi")
-    rest = stored(placed.join(open_columns.select("gram"), "gram"), "open")
-    other = rest.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "component_id", "star", "far")])
-    pairs = (rest.join(other, "gram").filter(F.col("component_id") < F.col("component_id_b")).filter(near("n", "n_b"))
-             # Jaccard distance is a metric: documents too unlike in their distance to one centre cannot link
-             .filter((F.col("star") != F.col("star_b")) | (F.abs(F.col("far") - F.col("far_b")) * den <= den - num + 1e-6))
-             .groupBy(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b"),
-                      F.least("n", "n_b").alias("small"), F.greatest("n", "n_b").alias("large")).agg(F.count(F.lit(1)).alias("c")))
-    # shared entries, plus all that can follow the deciding ones, must reach ceil(t / (1 + t) (n_a + n_b))
-    needed = F.ceil(F.expr(f"(small + large) * {num} / {num + den}D") - 1e-9)
-    possible = F.col("c") + F.ceil(F.expr(f"large * {num} / {den}D") - 1e-9) - 1
-    open_pairs = pairs.filter(possible >= needed).select("a", "b").join(
-        first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = stored(open_columns(placed), "open")
+    compared = first
+    for turn in range(TURNS):
+        met = other_centres(rest, turn).filter((F.col("doc_id") != F.col("centre")) & near("n", "centre_n", num, den))
+        best = best_centres(met, num, den).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        more = stored(overlaps(stored(best, "stars"), held, words, id_type), "turn")
+        compared = compared.unionByName(more)
+        if linked(more).isEmpty():
+            break
+        at = rest.select("doc_id", "component_id").distinct()
+        edges = (linked(more).join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        moved = components(edges, id_type).toDF("component_id", "into")
+        rest = stored(open_columns(rest.join(moved, "component_id", "left")
+                                   .withColumn("component_id", F.coalesce("into", "component_id")).drop("into")), "open")
+
+    lists = stored(open_lists(rest, num, den), "lists")
+    open_pairs = possible_pairs(lists, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
+        compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second = overlaps(stored(open_pairs, "open-pairs"), held, words, id_type)
-    more = second.filter(F.col("common") * den >= F.col("either") * num).select("a", "b")
-    final = components(stored(linked.unionByName(more), "links"), id_type)
+    final = components(stored(linked(compared.unionByName(second)), "links"), id_type)
 
     sizes = passed.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     return (sizes.join(final, "doc_id", "left")
