@@ -263,25 +263,27 @@ def open_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
     spans = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     met = (entries.join(spans, "gram").withColumn("lo", F.greatest("lo", F.expr(f"ceil(n * {num} / {den}D - 1e-9)")))
            .withColumn("hi", F.least("hi", F.expr(f"floor(n * {den} / {num}D + 1e-9)"))).filter("lo <= hi"))
-    return (met.withColumn("k", F.least(least_shared("n", "lo", num, den), least_shared("n", "hi", num, den)))
-            .groupBy("doc_id", "n", "component_id", "star", "far")
-            .agg(F.array_sort(F.collect_set(F.struct("m", "gram"))).alias("cells"), F.min("k").alias("k"))
-            .withColumn("cols", F.size("cells")).filter("cols >= k"))
+    lists = (met.withColumn("k", F.least(least_shared("n", "lo", num, den), least_shared("n", "hi", num, den)))
+             .groupBy("doc_id", "n", "component_id", "star", "far").agg(F.array_sort(F.collect_set(F.struct("m", "gram", "k"))).alias("cells")))
+    for _ in range(2):  # a column whose partners would have to share more columns than there are leads to no link
+        lists = lists.withColumn("cells", F.expr("filter(cells, x -> x.k <= size(cells))"))
+    return lists.withColumn("cols", F.size("cells")).filter("cols > 0").withColumn("k", F.array_min("cells.k"))
 
 
 def possible_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of documents in different components that share enough columns to link.
 
-    A partner that shares k of a document's columns is met in any cols - k + 1 of them, so the document with fewer columns is
-    multiplied in its least filled ones only. The whole overlap of columns is counted for the distinct pairs that this gives.
+    Two documents that share k columns have the first of these, in an order common to all, among the first cols - k + 1 of
+    either, so they are multiplied in those, the least filled ones, only. The whole overlap of columns is counted for the
+    distinct pairs that this gives.
     """
     entries = lists.select("doc_id", "n", "component_id", "star", "far", "cols", "k", F.posexplode("cells").alias("at", "cell")).withColumn("gram", F.col("cell.gram"))
     keys = ["doc_id", "n", "component_id", "star", "far", "cols"]
     probes = entries.filter("at <= cols - k").select("gram", "at", *keys)
-    other = entries.select("gram", *[F.col(c).alias(f"{c}_b") for c in keys])
+    other = probes.select("gram", *[F.col(c).alias(f"{c}_b") for c in ["at", *keys]])
     pairs = (probes.join(other, "gram").filter(F.col("component_id") != F.col("component_id_b")).filter(near("n", "n_b", num, den))
              .filter("cols < cols_b or (cols = cols_b and doc_id < doc_id_b)")
-             .filter(F.col("at") <= F.col("cols") - least_shared("n", "n_b", num, den))
+             .filter(F.least(F.col("cols") - F.col("at"), F.col("cols_b") - F.col("at_b")) >= least_shared("n", "n_b", num, den))
              # Jaccard distance is a metric: documents too unlike in their distance to one centre cannot link
              .filter((F.col("star") != F.col("star_b")) | (F.abs(F.col("far") - F.col("far_b")) * den <= den - num + 1e-6))
              .select(F.col("doc_id").alias("a"), "n", F.col("doc_id_b").alias("b"), "n_b").distinct())

@@ -93,6 +93,28 @@ def test_jaccard_repeated_rows(spark):
     assert sorted(map(tuple, jaccard.similar_documents(df).collect())) == [(2, 36, 2), (5, 36, 2)]
 
 
+def test_jaccard_group_at_the_limit(spark):
+    """Copies of one text at similarities around the limit, to it and to each other: links must survive all products."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 6)):
+            w[at] = f"x{rng.randrange(60)}"
+        texts.append(w)
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) > 5
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in jaccard.similar_documents(df).collect()} == dict(enumerate(label))
+
+
 def test_mix(docs, empty):
     got = mixing.mix(docs, block=4, shard_words=1000).collect()
     size = {i: len(words(t)) for i, t in corpus()}
