@@ -67,11 +67,14 @@ def split_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> tuple[DataFrame,
 
 
 def _stretch(v: Column) -> Column:
-    """Monotone map of doubles onto about +-2300, close to a signed base-2 logarithm."""
+    """Monotone map of doubles onto about +-2300, close to a signed base-2 logarithm; infinities and NaN (the largest, as in
+    Spark's order) have bins of their own beyond."""
     size = F.abs(v)
     exponent = F.floor(F.log2(size)).cast("double")
     scaled = exponent + size / F.pow(F.lit(2.0), exponent) - 1.0 + 1250.0
-    return F.when(v > 0, scaled).when(v < 0, -scaled).otherwise(F.lit(0.0))
+    inf = float("inf")
+    return (F.when(F.isnan(v), 4000.0).when(v == inf, 3000.0).when(v == -inf, -3000.0)
+            .when(v > 0, scaled).when(v < 0, -scaled).otherwise(F.lit(0.0)))
 
 
 def _ranks(total: Column, probs) -> Column:
@@ -124,7 +127,9 @@ def _distributed_quantiles(src: DataFrame, keys, probs, names) -> DataFrame:
     for i, (p, name) in enumerate(zip(probs, names)):
         pos = (F.col("__tot") - 1) * F.lit(float(p))
         frac = pos - F.floor(pos)
-        out = out.withColumn(name, F.col(f"__lo{i}") * (1 - frac) + F.col(f"__hi{i}") * frac)
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        # equal ends need no arithmetic, which would make NaN of infinities
+        out = out.withColumn(name, F.when((frac == 0) | (lo == hi), lo).otherwise(lo * (1 - frac) + hi * frac))
     return out.select(*[k for k in keys if k not in dropped], *names)
 
 

@@ -32,6 +32,13 @@ def test_global_median_of_any_doubles(spark, values):
     assert got == pytest.approx(float(np.median(values)), rel=1e-9, abs=1e-300)
 
 
+@pytest.mark.parametrize("values", [[1, 2, "inf"], [1, "inf", "inf"], [1, 2, "nan"], ["-inf", "-inf", 5], ["-inf", 0, 1, "inf"]])
+def test_infinities_and_nan_agree_for_every_group_size(spark, values):
+    df = spark.createDataFrame([("a", float(v)) for v in values], "k string, v double")
+    hot, plain = (exact_quantiles(df, ["k"], "v", [0.25, 0.5, 1.0], hot_rows=n).first() for n in (0, 10**9))
+    np.testing.assert_array_equal(np.array(hot[1:]), np.array(plain[1:]))
+
+
 def test_null_keys_and_values(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("b", 2.0)], "k string, v double")
     got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", hot_rows=1).collect()}
