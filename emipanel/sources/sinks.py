@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emipanel.functions.numeric import safe
-from emipanel.operators.skew import first_per_key
+from emipanel.operators.skew import first_per_key, join_null_safe
 
 
 def write_table(df: DataFrame, path: str, partition_by=(), fmt: str = "parquet") -> None:
@@ -39,9 +39,9 @@ def split_with_audit(df: DataFrame, rules, reason: str = "outlier_reason") -> tu
 
 
 def replace_partitions(base: DataFrame, repl: DataFrame, col: str) -> DataFrame:
-    """Groups present in ``repl`` replace those of ``base`` whole."""
+    """Groups present in ``repl`` replace those of ``base`` whole, the null group too."""
     names = repl.select(col).distinct()
-    return base.join(names, col, "left_anti").unionByName(repl, allowMissingColumns=True)
+    return join_null_safe(base, names, [col], "left_anti").unionByName(repl, allowMissingColumns=True)
 
 
 def overwrite_partitions(df: DataFrame, path: str, col: str) -> None:
