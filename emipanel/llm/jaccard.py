@@ -2,12 +2,14 @@
 
 The incidence matrix is cut by columns (n-grams), which a shuffle deals out, and only the entries that can decide are built:
 of a set of n n-grams in one global order, rarest first, two sets with Jaccard similarity t or more share one among the first
-n - ceil(t n) + 1 of either. The product runs column by column. A first product multiplies by centres only (the smallest
+n - ceil(t n) + 1 of either. Documents with equal sets are linked by a digest beforehand, and only the smallest of them goes
+into the products. The product runs column by column. A first product multiplies by centres only (the smallest
 document of each column), which is linear in the entries; each document keeps the centre with the highest accumulated count
 and the exact similarity to it. What these links connect needs no more products. A few more products of that kind follow, each
 with other centres (a hash picks them) from components that share a column and are not connected yet, so that a large group of
-near copies becomes one component. The last product takes every pair of a column whose documents are not connected yet, accumulates the pairs' overlap counts, and discards pairs below the bounds that their
-sizes, and the distances to a centre they share, imply; what is left is compared exactly. So no pair of documents that could
+near copies becomes one component. The last product takes every pair of a column whose documents are not connected yet,
+accumulates the pairs' overlap counts, and discards pairs below the bounds that their sizes, and the distances to a centre they
+share, imply; what is left is compared exactly. So no pair of documents that could
 join two components is left out, and no group of copies is multiplied with itself.
 """
 
@@ -59,8 +61,8 @@ class Text:
 
 
 def sizes_and_frequent(texts: DataFrame, words: int, id_type: str) -> DataFrame:
-    """One pass: a row (doc_id, n_shingles) per document, and rows (gram, n) of the n-grams that a task has met in four
-    documents or more."""
+    """One pass: a row (doc_id, n_shingles, digest of the set) per document, and rows (gram, n) of the n-grams that a task has
+    met in four documents or more."""
     def run(batches):
         reader = Text(words)
         held: list[np.ndarray] = []
@@ -70,14 +72,17 @@ def sizes_and_frequent(texts: DataFrame, words: int, id_type: str) -> DataFrame:
             gram, n = np.unique(np.concatenate(held), return_counts=True)
             gram, n = gram[n >= 4], n[n >= 4]
             top = np.argsort(-n, kind="stable")[:4096]
-            return rows(schema, doc_id=[None] * len(top), n_shingles=[None] * len(top), gram=gram[top].view(np.int64), n=n[top])
+            return rows(schema, doc_id=[None] * len(top), n_shingles=[None] * len(top), digest=[None] * len(top),
+                        gram=gram[top].view(np.int64), n=n[top])
 
         for batch in batches:
-            schema = pa.schema([batch.schema.field("doc_id").with_nullable(True), ("n_shingles", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+            schema = pa.schema([batch.schema.field("doc_id").with_nullable(True), ("n_shingles", pa.int64()),
+                                ("digest", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
             for part in pieces(batch):
                 sets = [reader.grams(t) for t in part["text"]]
                 none = [None] * len(sets)
-                yield rows(schema, doc_id=part["doc_id"], n_shingles=[len(s) for s in sets], gram=none, n=none)
+                yield rows(schema, doc_id=part["doc_id"], n_shingles=[len(s) for s in sets],
+                           digest=[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], gram=none, n=none)
                 held += [s for s in sets if len(s)]
                 size += sum(map(len, sets))
                 if size > 4_000_000:
@@ -86,7 +91,15 @@ def sizes_and_frequent(texts: DataFrame, words: int, id_type: str) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, gram bigint, n bigint")
+    return texts.mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, digest binary, gram bigint, n bigint")
+
+
+def equal_sets(passed: DataFrame) -> DataFrame:
+    """Links (a, b): every document b of one text whose set is that of others, with the smallest doc_id of those."""
+    single = (passed.filter("doc_id is not null").groupBy("doc_id")
+              .agg(F.count(F.lit(1)).alias("texts"), F.max("digest").alias("digest")).filter("texts = 1 and digest is not null"))
+    firsts = single.groupBy("digest").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return single.join(firsts, "digest").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
 
 
 def frequent_grams(counts: DataFrame, most: int = FREQUENT) -> np.ndarray:
@@ -306,6 +319,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = keyed_text(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
     passed = stored(sizes_and_frequent(texts, words, id_type), "sizes")
     order = frequent_grams(passed)
+    copies = stored(equal_sets(passed), "copies")
+    texts = texts.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
     cells = stored(columns_with_centres(entries(texts, order, words, num, den, id_type), id_type), "cells")
 
     def linked(compared):
@@ -343,7 +358,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     open_pairs = possible_pairs(lists, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
         compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second = overlaps(stored(open_pairs, "open-pairs"), held, words, id_type)
-    final = components(stored(linked(compared.unionByName(second)), "links"), id_type)
+    final = components(stored(linked(compared.unionByName(second)).unionByName(copies), "links"), id_type)
 
     sizes = passed.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     return (sizes.join(final, "doc_id", "left")
