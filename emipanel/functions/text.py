@@ -84,9 +84,14 @@ def _word_test(label: Column, word: str) -> Column:
     return label.contains(word)
 
 
+def _strip(c) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def map_category(c, labels: dict | None = None, rules: list | None = None, default: str = "Other") -> Column:
     """Raw label to category: known label, else first matching word rule, else ``default``; null stays null."""
-    label = F.lower(F.trim(as_col(c)))
+    label = F.lower(_strip(as_col(c)))
     out = None
     for category, known in (labels or CATEGORY_LABELS).items():
         test = label.isin([k.lower() for k in known])
@@ -106,28 +111,28 @@ def clean_token(c, joiner: str = "_") -> Column:
 
 
 def slug(c) -> Column:
-    return F.regexp_replace(F.lower(F.trim(as_col(c))), "[^a-z0-9]+", "_")
+    return F.regexp_replace(F.lower(_strip(as_col(c))), "[^a-z0-9]+", "_")
 
 
 def clean_text(c) -> Column:
-    return F.regexp_replace(F.trim(F.coalesce(as_col(c), F.lit(""))), r"\s+", " ")
+    return F.regexp_replace(_strip(F.coalesce(as_col(c), F.lit(""))), r"\s+", " ")
 
 
 def norm_name(c) -> Column:
-    return F.lower(F.trim(as_col(c)))
+    return F.lower(_strip(as_col(c)))
 
 
 def make_id(prefix: str, c) -> Column:
-    return F.concat(F.lit(prefix), F.trim(as_col(c).cast("string")))
+    return F.concat(F.lit(prefix), _strip(as_col(c).cast("string")))
 
 
 def upper_id(prefix: str, c) -> Column:
     """Identifier from a name: upper case, blanks to underscores."""
-    return F.concat(F.lit(prefix), F.replace(F.upper(F.trim(as_col(c))), F.lit(" "), F.lit("_")))
+    return F.concat(F.lit(prefix), F.replace(F.upper(_strip(as_col(c))), F.lit(" "), F.lit("_")))
 
 
 def coalesce_id(geo, street, prefix: str = "aus_") -> Column:
-    geo = F.trim(as_col(geo).cast("string"))
+    geo = _strip(as_col(geo).cast("string"))
     usable = geo.isNotNull() & (geo != "") & (F.lower(geo) != "nan")
     return F.concat(F.lit(prefix), F.when(usable, geo).otherwise(slug(street)))
 

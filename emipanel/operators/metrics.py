@@ -31,7 +31,8 @@ def _sse(y, p):
 
 
 def rmse(y: str, p: str) -> Column:
-    return F.sqrt(_sse(y, p) / F.count(F.lit(1)))
+    """Over rows that have both values."""
+    return F.sqrt(F.try_divide(_sse(y, p), F.count(F.col(y) - F.col(p))))
 
 
 def mape(y: str, p: str, eps: float = 1.0) -> Column:
@@ -42,8 +43,8 @@ def mape(y: str, p: str, eps: float = 1.0) -> Column:
 
 def r2(y: str, p: str) -> Column:
     """1 - SSE/SST; for a constant target 1 when exact, else 0. The variance aggregate is centred, so
-    large means cost no precision."""
-    sst = F.var_pop(y) * F.count(F.lit(1))
+    large means cost no precision. Over rows that have both values."""
+    sst = F.var_pop(F.when(F.col(p).isNotNull(), F.col(y))) * F.count(F.col(y) - F.col(p))
     sse = _sse(y, p)
     return F.when(sst == 0, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(sse, sst))
 

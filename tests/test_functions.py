@@ -7,6 +7,7 @@ from emipanel import dims
 from emipanel.functions import (convert_by_header, extract_number, format_metric, grid_key, hash32, in_radius, is_retryable,
                                 map_category, mj_intensity, normalize_city, normalize_metro, null_out, nan_to_null, snap,
                                 strip_commas, sum_if_all, sum_unless_all_null, to_numeric_safe, utm_epsg, valid_coord, year_of)
+from emipanel.functions.text import clean_text, coalesce_id, make_id, norm_name, slug
 from emipanel.functions.numeric import BUILDING_RULES, clean_dash, clip_pred, safe
 from emipanel.operators.joins import fx_to_musd, map_region, resolve_with_source
 
@@ -93,6 +94,12 @@ def test_lookups_with_provenance(spark):
     assert len(dims.FX_PER_USD) == 47
 
 
+def test_all_white_space_is_trimmed(spark):
+    raw = ["\n a\tb \r\n", "\t", None]
+    assert column(spark, raw, "string", clean_text("v"), slug("v"), norm_name("v"), make_id("x_", "v"), coalesce_id("v", F.lit("St 1"))) == [
+        ("a b", "a_b", "a\tb", "x_a\tb", "aus_a\tb"), ("", "", "", "x_", "aus_st_1"), ("", None, None, None, "aus_st_1")]
+
+
 def test_hash_matches_md5(spark):
     import hashlib
     want = int(hashlib.md5(b"42|7").hexdigest()[:8], 16)

@@ -106,7 +106,7 @@ def clean_metro(spark, sf):
 
 @query("clean_text_tokens", """SELECT doc_id, regexp_replace(lower(trim(source)), '[^a-z0-9]+', '_', 'g') AS slug,
   CAST(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS BIGINT) AS clean_length,
-  md5(regexp_replace(trim(text, ' '), '\\s+', ' ', 'g')) AS clean_md5, lower(trim(source, ' ')) AS name FROM documents""")
+  md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS clean_md5, lower(trim(source, ' ')) AS name FROM documents""")
 def clean_text_tokens(spark, sf):
     d = t(spark, sf, "documents")
     one = clean_text("text")
