@@ -269,14 +269,22 @@ def least_shared(a: str, b: str, num: int, den: int):
     return F.greatest(overlap - F.ceil(F.expr(f"greatest({a}, {b}) * {num} / {den}D") - 1e-9) + 1, F.lit(1))
 
 
+def fewest_shared(n: str, lo: str, hi: str, num: int, den: int):
+    """The smallest least_shared(n, b) for lo <= b <= hi. Up to n it grows with b. Beyond, each of its two ceilings may step alone,
+    but s = ceil(1 / t) sizes further the first has stepped once at most and the second once at least, so the last s sizes hold
+    the smallest."""
+    last = [least_shared(n, f"greatest({hi} - {back}, {lo}, {n})", num, den) for back in range(-(-den // num))]
+    return F.least(least_shared(n, lo, num, den), *last)
+
+
 def open_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
     """A row per document of open columns: its columns (m documents, gram), least filled first, and k, the fewest of them that
-    a partner can share. The sizes met in a column bound k (it is smallest at the ends of their range); a document with fewer
-    columns than that can link with none that is not connected yet, and has no row."""
+    a partner can share. The sizes met in a column bound k (see fewest_shared); a document with fewer columns than that can link
+    with none that is not connected yet, and has no row."""
     spans = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     met = (entries.join(spans, "gram").withColumn("lo", F.greatest("lo", F.expr(f"ceil(n * {num} / {den}D - 1e-9)")))
            .withColumn("hi", F.least("hi", F.expr(f"floor(n * {den} / {num}D + 1e-9)"))).filter("lo <= hi"))
-    lists = (met.withColumn("k", F.least(least_shared("n", "lo", num, den), least_shared("n", "hi", num, den)))
+    lists = (met.withColumn("k", fewest_shared("n", "lo", "hi", num, den))
              .groupBy("doc_id", "n", "component_id", "star", "far").agg(F.array_sort(F.collect_set(F.struct("m", "gram", "k"))).alias("cells")))
     for _ in range(2):  # a column whose partners would have to share more columns than there are leads to no link
         lists = lists.withColumn("cells", F.expr("filter(cells, x -> x.k <= size(cells))"))

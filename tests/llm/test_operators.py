@@ -115,6 +115,29 @@ def test_jaccard_group_at_the_limit(spark):
     assert {r.doc_id: r.component_id for r in jaccard.similar_documents(df).collect()} == dict(enumerate(label))
 
 
+def test_jaccard_fewest_shared_columns(spark):
+    """The bound of a column's sizes is the smallest over all of them, also where only one of its ceilings steps."""
+    for num, den in ((75, 100), (3, 10)):
+        spans = [(n, lo, hi) for n in (5, 12, 30, 31, 57) for lo in range(-(-n * num // den), n * den // num + 1, 3) for hi in range(lo, n * den // num + 1)]
+        df = spark.createDataFrame(spans, "n long, lo long, hi long").select("*", jaccard.fewest_shared("n", "lo", "hi", num, den).alias("k"))
+
+        def least(n, b):
+            return max(-(-(n + b) * num // (num + den)) - -(-max(n, b) * num // den) + 1, 1)
+        assert [r for r in df.collect() if r.k != min(least(r.n, b) for b in range(r.lo, r.hi + 1))] == []
+
+
+def test_jaccard_keeps_links_beside_larger_partners(spark):
+    """Sizes 30 and 35 link by two deciding n-grams; the many of size 36 in the same columns would have to share three."""
+    passage = [f"p{i}" for i in range(32)]
+    own = {i: 8 for i in range(40)} | {40: 2, 41: 7}
+    texts = {i: passage + [f"d{i}-{k}" for k in range(n)] for i, n in own.items()}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert links == [(40, 41)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in jaccard.similar_documents(df).collect()} == {i: 40 if i == 41 else i for i in texts}
+
+
 def test_mix(docs, empty):
     got = mixing.mix(docs, block=4, shard_words=1000).collect()
     size = {i: len(words(t)) for i, t in corpus()}
