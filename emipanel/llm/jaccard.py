@@ -182,12 +182,12 @@ def overlaps(pairs: DataFrame, texts: DataFrame, words: int, id_type: str) -> Da
     def run(batches):
         reader, seen = Text(words), {}
 
-        def grams(doc, text):
-            if doc not in seen:
+        def grams(doc, text):  # rows of one document can hold different texts
+            if (doc, text) not in seen:
                 if len(seen) >= 64:
                     seen.clear()
-                seen[doc] = reader.grams(text)
-            return seen[doc]
+                seen[doc, text] = reader.grams(text)
+            return seen[doc, text]
 
         for batch in batches:
             field = batch.schema.field("a")

@@ -144,11 +144,17 @@ def _digests(text: bytes, place: np.ndarray, first: np.ndarray, stop: np.ndarray
     return [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(begins, ends)]
 
 
+def versioned_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Key and text, with ``version``, a hash that tells texts of one doc_id apart: places in a text hold for that text only."""
+    return keyed_text(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
+
+
 def anchor_rows(texts: DataFrame, window: int, id_type: str) -> DataFrame:
     def run(batches):
         memo = word_memo()
         for batch in batches:
-            schema = pa.schema([("symbol", pa.int64()), ("span", pa.binary()), batch.schema.field("doc_id"), ("at", pa.int64()), ("n", pa.int64())])
+            schema = pa.schema([("symbol", pa.int64()), ("span", pa.binary()), batch.schema.field("doc_id"), ("version", pa.int64()),
+                                ("at", pa.int64()), ("n", pa.int64())])
             for part in pieces(batch):
                 texts_words = [split_words(t) if d is not None else [] for d, t in zip(part["doc_id"], part["text"])]
                 lengths = np.array([len(w) for w in texts_words], np.int64)
@@ -162,44 +168,45 @@ def anchor_rows(texts: DataFrame, window: int, id_type: str) -> DataFrame:
                 spans = [d + p for d, p in zip(_digests(whole, begins, at, at + n + window - 1),
                                                map(bytes, (place - at).astype("<i4").view("u1").reshape(-1, 4)))]
                 yield rows(schema, symbol=symbol.view(np.int64), span=spans, doc_id=[part["doc_id"][i] for i in owner.tolist()],
-                           at=at - (np.cumsum(lengths) - lengths)[owner], n=n)
+                           version=[part["version"][i] for i in owner.tolist()], at=at - (np.cumsum(lengths) - lengths)[owner], n=n)
 
-    return texts.mapInArrow(run, f"symbol bigint, span binary, doc_id {id_type}, at bigint, n bigint")
+    return texts.mapInArrow(run, f"symbol bigint, span binary, doc_id {id_type}, version bigint, at bigint, n bigint")
 
 
 def window_rows(texts: DataFrame, window: int, id_type: str) -> DataFrame:
     """Texts with ``parts`` (starts and numbers of windows) -> a row per window: digest, doc_id, at."""
     def run(batches):
         for batch in batches:
-            schema = pa.schema([("digest", pa.binary()), batch.schema.field("doc_id"), ("at", pa.int64())])
+            schema = pa.schema([("digest", pa.binary()), batch.schema.field("doc_id"), ("version", pa.int64()), ("at", pa.int64())])
             for part in pieces(batch):
-                for doc, text, spans in zip(part["doc_id"], part["text"], part["parts"]):
+                for doc, version, text, spans in zip(part["doc_id"], part["version"], part["text"], part["parts"]):
                     whole, begins = _joined(split_words(text))
                     at = np.unique(np.concatenate([np.arange(p["at"], p["at"] + p["n"]) for p in spans]))
-                    yield rows(schema, digest=_digests(whole, begins, at, at + window), doc_id=[doc] * len(at), at=at)
+                    yield rows(schema, digest=_digests(whole, begins, at, at + window), doc_id=[doc] * len(at),
+                               version=[version] * len(at), at=at)
 
-    return texts.mapInArrow(run, f"digest binary, doc_id {id_type}, at bigint")
+    return texts.mapInArrow(run, f"digest binary, doc_id {id_type}, version bigint, at bigint")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Windows of ``window`` words whose word sequence also starts in a document with a smaller id: doc_id, at, n (n windows
-    in a row from word ``at``)."""
+    """Windows of ``window`` words whose word sequence also starts in a document with a smaller id: doc_id, version (of its
+    text), at, n (n windows in a row from word ``at``)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = keyed_text(docs, id_col, text_col)
+    texts = versioned_text(docs, id_col, text_col)
     found = stored(anchor_rows(texts, window, id_type), "anchors")
     shared = (found.groupBy("symbol").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("span").alias("s0"), F.max("span").alias("s1"))
               .filter("lo < hi").select("symbol", "lo", (F.col("s0") == F.col("s1")).alias("same")))
     met = stored(found.join(shared, "symbol"), "met")
-    whole = met.filter("same and doc_id > lo").select("doc_id", "at", "n")
+    whole = met.filter("same and doc_id > lo").select("doc_id", "version", "at", "n")
     # spans that differ around one symbol: equal ones are settled by their first document, which alone is expanded
-    mixed = met.filter("not same").select("symbol", "span", "doc_id", "at", "n")
+    mixed = met.filter("not same").select("symbol", "span", "doc_id", "version", "at", "n")
     firsts = mixed.groupBy("symbol", "span").agg(F.min("doc_id").alias("lo"))
     settled = stored(mixed.join(firsts, ["symbol", "span"]), "settled")
-    equal = settled.filter("doc_id > lo").select("doc_id", "at", "n")
-    parts = settled.filter("doc_id = lo").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
-    windows = stored(window_rows(texts.join(parts, "doc_id"), window, id_type), "windows")
+    equal = settled.filter("doc_id > lo").select("doc_id", "version", "at", "n")
+    parts = settled.filter("doc_id = lo").groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
+    windows = stored(window_rows(texts.join(parts, ["doc_id", "version"]), window, id_type), "windows")
     lowest = windows.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    single = windows.join(lowest, "digest").filter("doc_id > lo").select("doc_id", "at", F.lit(1).cast("bigint").alias("n"))
+    single = windows.join(lowest, "digest").filter("doc_id > lo").select("doc_id", "version", "at", F.lit(1).cast("bigint").alias("n"))
     return whole.unionByName(equal).unionByName(single)
 
 
@@ -211,8 +218,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     found = repeats(docs, id_col, text_col, window)
-    cuts = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
-    texts = keyed_text(docs, id_col, text_col).join(cuts, "doc_id", "left")
+    cuts = found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
+    texts = versioned_text(docs, id_col, text_col).join(cuts, ["doc_id", "version"], "left")
 
     def run(batches):
         for batch in batches:

@@ -67,6 +67,22 @@ def test_repeats(docs, empty):
     assert substring.without_repeats(empty).count() == 0
 
 
+def test_repeats_in_texts_that_share_an_id(spark):
+    long, short, tail = ([f"{c}{i}" for i in range(n)] for c, n in (("l", 160), ("s", 20), ("t", 70)))
+    rows = [(1, long[100:]), (2, long), (2, short), (2, tail), (2, long[100:] + tail), (3, tail + short), (3, tail + short), (4, short)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    seen = {}
+    for i, w in rows:
+        for k in range(len(w) - 49):
+            seen[tuple(w[k:k + 50])] = min(i, seen.get(tuple(w[k:k + 50]), i))
+    want = []
+    for i, w in rows:
+        cut = {x for k in range(len(w) - 49) if seen[tuple(w[k:k + 50])] < i for x in range(k, k + 50)}
+        want.append((i, len(w), len(cut), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in cut).encode()).hexdigest()))
+    assert sorted(map(tuple, substring.without_repeats(df).collect())) == sorted(want)
+    assert sorted(x[2] for x in want) == [0, 0, 0, 0, 60, 60, 70, 70]
+
+
 def test_jaccard(docs, empty):
     sets = {}
     for i, t in corpus():
@@ -93,6 +109,15 @@ def test_jaccard_repeated_rows(spark):
     assert sorted(map(tuple, jaccard.similar_documents(df).collect())) == [(2, 36, 2), (5, 36, 2)]
 
 
+def test_jaccard_texts_that_share_an_id(spark):
+    """Each text of a document is compared with its own set, not with that of the document's first text."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    texts = spark.createDataFrame([(1, one), (1, two), (2, two)], "doc_id long, text string").withColumn("text", F.col("text").cast("binary"))
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    got = jaccard.overlaps(pairs.coalesce(1), texts.coalesce(1), 5, "bigint").collect()
+    assert sorted((r.common, r.either) for r in got) == [(0, 112), (56, 56)]
+
+
 def test_jaccard_group_at_the_limit(spark):
     """Copies of one text at similarities around the limit, to it and to each other: links must survive all products."""
     rng = random.Random(4)
