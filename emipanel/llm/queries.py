@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emipanel.llm import fagin, jaccard, langid, mixing, packing, pii, quality, substring, urls, vptree
+from emipanel.llm import fagin, jaccard, langid, mixing, packing, pii, quality, substring, trie, urls, vptree
 from emipanel.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -74,6 +74,11 @@ def op10_fagin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fagin.top_scores(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 _USABLE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
@@ -92,3 +97,31 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS sco
   FROM w q JOIN w c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+#: crc32 of a decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda a: CAST(ascii(a) AS UBIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda i: CAST(i AS UBIGINT))),
+      lambda x, i: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"""
+
+ORACLES["op12_prefix_trie"] = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, CAST({_CRC} % 4 AS BIGINT) AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, t.p AS pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.p <= c.h
+  UNION ALL SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + t.p - c.h, t.role, t.text
+  FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN c b ON b.conv_id = c.base WHERE t.p > c.h),
+s AS (SELECT conv_id, pos, text, sha256(CAST(to_json(list([role, text]) OVER (PARTITION BY conv_id ORDER BY pos)) AS VARCHAR)) AS k FROM r
+  UNION ALL SELECT conv_id, 0, '', '' FROM c),
+n AS (SELECT pos AS depth, k, min(conv_id) AS conv_id, count(*) AS n_convs,
+  (count(*) - 1) * any_value(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) AS saved FROM s GROUP BY pos, k),
+p AS (SELECT n.*, u.conv_id AS parent_conv_id FROM n LEFT JOIN s a ON a.conv_id = n.conv_id AND a.pos = n.depth - 1
+  LEFT JOIN n u ON u.depth = a.pos AND u.k = a.k),
+f AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM p WHERE depth > 0 GROUP BY ALL),
+g AS (SELECT p.*, coalesce(f.n, 0) AS n_children FROM p LEFT JOIN f ON f.conv_id = p.conv_id AND f.depth = p.depth),
+sums AS (SELECT a.pos AS depth, a.k, count(*) FILTER (g.n_children = 0) AS n_leaves, sum(g.saved) AS saved
+  FROM g JOIN s a ON a.conv_id = g.conv_id AND a.pos <= g.depth GROUP BY a.pos, a.k),
+e AS (SELECT pos AS depth, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, pos, k FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1) GROUP BY pos, k)
+SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, g.parent_conv_id, g.n_convs, CAST(g.n_children AS BIGINT) AS n_children,
+  CAST(sums.n_leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM g JOIN sums ON sums.depth = g.depth AND sums.k = g.k LEFT JOIN e ON e.depth = g.depth AND e.k = g.k"""
