@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emipanel.llm import fagin, jaccard, langid, mixing, packing, pii, quality, substring, trie, urls, vptree
+from emipanel.llm import fagin, jaccard, langid, mixing, packing, pii, quality, substring, trie, urls, vptree, wavelet
 from emipanel.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -74,6 +74,11 @@ def op10_fagin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fagin.top_scores(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+@query
+def op11_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_files(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
