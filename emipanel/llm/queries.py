@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emipanel.llm import fagin, jaccard, langid, mixing, packing, pii, quality, substring, trie, urls, vptree, wavelet
+from emipanel.llm import alignment, fagin, jaccard, langid, mixing, packing, pii, quality, substring, trie, urls, vptree, wavelet
 from emipanel.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -84,6 +84,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 _USABLE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
