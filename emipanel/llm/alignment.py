@@ -78,13 +78,14 @@ class Aligner:
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text; each but the first stood after a space, which is left away."""
-        if not text:
+    def words(self, raw: bytes | None) -> list[str]:
+        """The words of a text; each but the first stood after a space, which is left away. A text that is no UTF-8 has none."""
+        text = (raw or b"").decode(errors="replace")
+        if not text or "\ufffd" in text and text.encode() != raw:
             return []
         if not self.cuts:
             return [text]
-        parts = cut_at_spaces(text)
+        parts = cut_at_spaces(text, raw)
         if parts is None:
             parts = cut_before_spaces(text)
             parts = [parts[0], *[p[1:] for p in parts[1:]]]
@@ -156,12 +157,9 @@ def aligned_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def pack(aligner, part):
         numbers: dict[str, int] = {}
-        texts = [(t or b"").decode(errors="replace") for t in part["text"]]
-        # a text that is no UTF-8 changes when it is read, so it has no tokens
-        same = [t is None or text.encode() == t for t, text in zip(part["text"], texts)]
         lists = []
-        for text, ok in zip(texts, same):
-            words = aligner.words(text) if ok else []
+        for text in part["text"]:
+            words = aligner.words(text)
             lists.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
         found = aligner.learn(list(numbers))
         records = [found[w] for w in numbers]
@@ -255,9 +253,9 @@ def token_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                           ("a_ids", pa.list_(pa.int64())), ("b_ids", pa.list_(pa.int64()))])
             for part in pieces(batch):
                 for doc, text in zip(part["doc_id"], part["text"]):
-                    words = aligner.words((text or b"").decode(errors="replace"))
+                    words = aligner.words(text)
                     found = aligner.learn(list(dict.fromkeys(words)))
-                    if not words or not all(found[w][0] for w in words) or text.decode(errors="replace").encode() != text:
+                    if not words or not all(found[w][0] for w in words):
                         continue
                     groups = [[[*map(int, side.split(b","))] for side in g.split(b"|")] for w in words for g in found[w][4].split(b";")]
                     stops = np.cumsum([sum(aligner.size_a[i] for i in a) for a, _ in groups])

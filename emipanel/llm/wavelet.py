@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emipanel.llm.common import Memo, kept_in_worker, pieces, rows
+from emipanel.llm.common import Memo, kept_in_worker, pieces, rows, stored
 from emipanel.session import scratch_dir
 
 END_ID = 2
@@ -36,7 +36,10 @@ PLAIN_LETTERS = "\u0530"
 #: White space beside the space and the line end, and characters that some Unicode versions count as such.
 _ODD = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
 _WHITE = frozenset([" ", "\n", *_ODD])
-_PAIRS = ["  ", " \n", "\n ", "\n\n"]
+_PAIRS = [b"  ", b" \n", b"\n ", b"\n\n"]
+#: The single bytes among them, and what the bytes of the others begin with.
+_CONTROLS = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_ODD_BYTES = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80", b"\xef\xbb\xbf"]
 
 
 class WaveletMatrix:
@@ -63,7 +66,7 @@ class WaveletMatrix:
         words, blocks = cls.shape(len(ids))
         zeros, out = [], []
         for p in range(width - 1, -1, -1):
-            bit = (ids >> p & 1).astype(bool)
+            bit = (ids & (1 << p)) != 0
             packed = np.zeros(8 * words, np.uint8)
             some = np.packbits(bit, bitorder="little")
             packed[:len(some)] = some
@@ -71,9 +74,9 @@ class WaveletMatrix:
             before = np.zeros(blocks, "<u4")
             np.cumsum(counts[:-1], out=before[1:])
             out += [packed.tobytes(), before.tobytes()]
-            low = ids[~bit]
+            low = ids.compress(~bit)
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[bit]])
+            ids = np.concatenate([low, ids.compress(bit)])
         return zeros, b"".join(out)
 
     def bits(self, p: int, at) -> np.ndarray:
@@ -148,13 +151,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane's order back to the first's."""
-        ids = np.zeros(self.n, np.uint32)
+        ids = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for p in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.words[p].view(np.uint8), count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(ids)
             # what stands below this plane are its zeros in order, then its ones
-            back[~bit] = ids[:self.zeros[p]]
-            back[bit] = ids[self.zeros[p]:] | np.uint32(1 << (self.width - 1 - p))
+            back.put(np.flatnonzero(~bit), ids[:self.zeros[p]])
+            back.put(np.flatnonzero(bit), ids[self.zeros[p]:] | ids.dtype.type(1 << (self.width - 1 - p)))
             ids = back
         return ids
 
@@ -166,9 +169,11 @@ class WordMemo(Memo):
         return super().__missing__(word) if len(word) <= MEMO_CHARS else self.make(word)
 
 
-def cut_at_spaces(text: str) -> list[str] | None:
-    """The text's parts between single spaces, if all white space in it is single spaces and line ends between other characters."""
-    if any(map(text.__contains__, _PAIRS)) or any(map(text.__contains__, _ODD)) or not text or text[0] in " \n" or text[-1] in " \n":
+def cut_at_spaces(text: str, raw: bytes) -> list[str] | None:
+    """The parts between single spaces of a text (``raw``: its bytes), if all white space in it is single spaces and line ends between
+    other characters."""
+    odd = len(raw.translate(None, _CONTROLS)) < len(raw) or any(map(raw.__contains__, _ODD_BYTES)) and any(map(text.__contains__, _ODD))
+    if odd or not raw or any(map(raw.__contains__, _PAIRS)) or raw[0] in b" \n" or raw[-1] in b" \n":
         return None
     return text.split(" ")
 
@@ -226,8 +231,10 @@ class ByteEncoder:
             return memo[word[:-1]] + self.bare[word[-1]]
         return self.encode(space + word)
 
-    def ids(self, text: str) -> np.ndarray:
-        parts = cut_at_spaces(text)
+    def ids(self, raw: bytes) -> np.ndarray:
+        """Ids of a text in UTF-8 (what is none is read as replacement characters)."""
+        text = raw.decode(errors="replace")
+        parts = cut_at_spaces(text, raw)
         if parts is None:
             parts = cut_before_spaces(text)
             return np.frombuffer(b"".join([self.bare[p] if i == 0 or p[0] != " " else self.spaced[p[1:]] for i, p in enumerate(parts)]), "<u4")
@@ -278,7 +285,7 @@ def encode_to_files(docs: DataFrame, path: str | None = None, id_col: str = "doc
                                     ("lengths", pa.list_(pa.int64())), ("zeros", pa.list_(pa.int64())), ("planes", pa.binary())])
             for part in pieces(batch):
                 for doc, text, shard in zip(part["doc_id"], part["text"], part["shard"]):
-                    ids = np.append(encoder.ids(text.decode(errors="replace")), np.array([end_id], "<u4"))
+                    ids = np.append(encoder.ids(text), np.array([end_id], "<u4"))
                     ordinal, again = ordinal + 1, False
                     while len(ids):
                         if not size:
@@ -376,7 +383,7 @@ def documents(files: DataFrame) -> DataFrame:
                            edge=[i in (0, n - 1) for i in range(n)])
 
     found = files.mapInArrow(run, f"shard int, segment int, document bigint, doc_id {id_type}, inside bigint, n_tokens bigint, ids_crc32 bigint, edge boolean")
-    found = found.join(segment_offsets(files), ["shard", "segment"]).withColumn("start", F.col("segment_start") + F.col("inside"))
+    found = stored(found, "read-back").join(segment_offsets(files), ["shard", "segment"]).withColumn("start", F.col("segment_start") + F.col("inside"))
     whole = found.filter("not edge").select("doc_id", "start", "n_tokens", "ids_crc32")
 
     def together(key, group):
