@@ -11,6 +11,8 @@ them by number; pairs are counted and joined per batch, not per document, and co
 from __future__ import annotations
 
 import hashlib
+from array import array
+from itertools import accumulate, chain, count
 
 import numpy as np
 import public_tokenizers
@@ -20,30 +22,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emipanel.llm.common import kept_in_worker, keyed_text, pieces, rows, stored
-from emipanel.llm.wavelet import MEMO_CHARS, ByteEncoder, cut_at_spaces, cut_before_spaces
+from emipanel.llm.wavelet import _WHITE, MEMO_CHARS, PLAIN_LETTERS, ByteEncoder, cut_at_spaces, cut_before_spaces
 
 #: Bytes of text whose pairs are kept in one table (a longer text is a batch of its own).
 BATCH_BYTES = 8 << 20
-#: Words whose alignment a task keeps.
-MEMO_WORDS = 250_000
+#: Words (and parts of such) whose alignment a task keeps, twice at most.
+MEMO_WORDS = 200_000
 LOW = (1 << 32) - 1
 
 
 def align(ids_a, sizes_a, ids_b, sizes_b) -> tuple[list, list]:
     """(groups, links) of two id lists over the same bytes. A group is (a ids, b ids) between ends that both lists have; a link is a pair
     of ids whose byte ranges overlap."""
-    ends_a, ends_b, at = {}, {}, 0
-    for i, size in enumerate(sizes_a, 1):
-        at += size
-        ends_a[at] = i
-    at = 0
-    for i, size in enumerate(sizes_b, 1):
-        at += size
-        ends_b[at] = i
+    ends_a, ends_b = dict(zip(accumulate(sizes_a), count(1))), dict(zip(accumulate(sizes_b), count(1)))
     groups, links, i, j = [], [], 0, 0
     for end in sorted(ends_a.keys() & ends_b.keys()):
         i_stop, j_stop = ends_a[end], ends_b[end]
-        groups.append((ids_a[i:i_stop], ids_b[j:j_stop]))
+        a, b = ids_a[i:i_stop], ids_b[j:j_stop]
+        groups.append((a, b))
+        if len(a) == 1 or len(b) == 1:
+            links += [(x, y) for x in a for y in b]
+            i, j = i_stop, j_stop
+            continue
         # inside a group no ends meet, so the token that ends first passes its partner on to its successor
         left, right = sizes_a[i], sizes_b[j]
         while True:
@@ -66,17 +66,22 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a = ByteEncoder(path_a, special=False, most=150_000)
+        self.a = ByteEncoder(path_a, special=False, most=50_000)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         backend = self.a.tokenizer
         self.size_a = [len(backend.id_to_token(i) or "") for i in range(backend.get_vocab_size())]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.size_b = list(map(len, self.bytes_b))
+        self.names = list(map(str, range(max(len(self.size_a), len(self.size_b)))))
         # a piece with a space after another character could join what a cut parts
         self.cuts = not any("▁" in p.lstrip("▁") for p in names)
-        self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        # a line's end is a byte of its own; after it, and before a full stop or comma after a letter, no piece goes on
+        self.line = self.b.encode("\n")
+        self.parts = (self.cuts and len(self.line) == 2 and names[self.line[0]] == "▁" and self.bytes_b[self.line[1]] == b"\n"
+                      and not any("\n" in p or any(x.isalpha() and x < PLAIN_LETTERS and y in ".," for x, y in zip(p, p[1:])) for p in names))
+        self.known: dict = {}
+        self.older: dict = {}
 
     def words(self, raw: bytes | None) -> list[str]:
         """The words of a text; each but the first stood after a space, which is left away. A text that is no UTF-8 has none."""
@@ -91,31 +96,54 @@ class Aligner:
             parts = [parts[0], *[p[1:] for p in parts[1:]]]
         return parts
 
-    def learn(self, words: list[str]) -> dict[str, tuple]:
-        """word -> (a tokens, b tokens, groups, links, groups as text, link codes) or None where the bytes differ."""
-        out, new = {}, []
-        for word in words:
-            found = self.known.get(word) or self.older.get(word)
-            if found:
-                out[word] = self.known[word] = found
+    def atoms(self, word: str) -> list:
+        """The word's parts, each of which both tokenizers read alone: the first (str) stood after a space, the others (bytes) did not."""
+        if not self.parts or word.isalpha():
+            return [word]
+        head, line, tail = word.partition("\n")
+        if line and head and tail and head[-1] not in _WHITE and tail[0] not in _WHITE:
+            first, *others = self.atoms(tail)
+            return [*self.atoms(head), b"\n", first.encode(), *others]
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2] < PLAIN_LETTERS:
+            return [*self.atoms(word[:-1]), word[-1].encode()]
+        return [word]
+
+    def learn(self, words: list[str]) -> list[tuple]:
+        """Per word (True, a tokens, b tokens, groups, links, groups as text, link codes as bytes), or (False,) where the bytes differ."""
+        parts = [self.atoms(word) for word in words]
+        new, known, older = [], self.known, self.older
+        for atom in dict.fromkeys(chain.from_iterable(parts)):
+            if atom not in known:
+                if atom in older:
+                    known[atom] = older[atom]
+                else:
+                    new.append(atom)
+        texts = [atom if isinstance(atom, str) else "\n" + atom.decode() for atom in new]
+        for atom, text, ids_b in zip(new, texts, self.b.encode(texts, num_threads=1) if new else []):
+            known[atom] = self.record(text, " ", ids_b) if isinstance(atom, str) else self.record(text[1:], "", ids_b[2:])
+        out = []
+        for atoms in parts:
+            if len(atoms) == 1:
+                out.append(known[atoms[0]])
+                continue
+            records = [known[atom] for atom in atoms]
+            if all(r[0] for r in records):
+                _, a, b, groups, links, text, codes = zip(*records)
+                out.append((True, sum(a), sum(b), sum(groups), sum(links), b";".join(text), b"".join(codes)))
             else:
-                new.append(word)
-        for word, ids_b in zip(new, self.b.encode(new, num_threads=1) if new else []):
-            out[word] = record = self.record(word, ids_b)
-            if len(word) <= MEMO_CHARS:
-                self.known[word] = record
-        if len(self.known) > MEMO_WORDS:
-            self.known, self.older = {}, self.known
+                out.append((False,))
+        if len(known) > MEMO_WORDS:
+            self.older, self.known = {k: v for k, v in known.items() if len(k) <= MEMO_CHARS}, {}
         return out
 
-    def record(self, word: str, ids_b: list[int]) -> tuple:
-        if b"".join([self.bytes_b[i] for i in ids_b]) != b" " + word.encode():
+    def record(self, word: str, space: str, ids_b: list[int]) -> tuple:
+        if b"".join([self.bytes_b[i] for i in ids_b]) != (space + word).encode():
             return (False,)
-        ids_a = np.frombuffer(self.a.word(word, " "), "<u4").tolist()
-        size_a, size_b = self.size_a, self.size_b
+        ids_a = memoryview(self.a.word(word, space)).cast("I").tolist()
+        size_a, size_b, names = self.size_a, self.size_b, self.names
         groups, links = align(ids_a, [size_a[i] for i in ids_a], ids_b, [size_b[i] for i in ids_b])
-        text = ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups])
-        return (True, len(ids_a), len(ids_b), len(groups), text.encode(), np.array([a << 32 | b for a, b in links], np.int64))
+        text = ";".join([f"{','.join([names[i] for i in a])}|{','.join([names[i] for i in b])}" for a, b in groups])
+        return True, len(ids_a), len(ids_b), len(groups), len(links), text.encode(), array("q", [a << 32 | b for a, b in links]).tobytes()
 
 
 def _aligner(path_a, path_b):
@@ -161,10 +189,9 @@ def aligned_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for text in part["text"]:
             words = aligner.words(text)
             lists.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
-        found = aligner.learn(list(numbers))
-        records = [found[w] for w in numbers]
+        records = aligner.learn(list(numbers))
         good = np.array([r[0] for r in records], bool)
-        sizes = np.array([[r[1], r[2], r[3], len(r[5])] if r[0] else [0, 0, 0, 0] for r in records], np.int64).reshape(-1, 4)
+        sizes = np.array([r[1:5] if r[0] else (0, 0, 0, 0) for r in records], np.int64).reshape(-1, 4)
         out = {c: [] for c in (*_NUMBERS, "groups_sha256", "n_words")}
         kept = []
         for words in lists:
@@ -173,11 +200,11 @@ def aligned_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept.append(words)
             for c, v in zip(_NUMBERS, sizes[words].sum(axis=0)):
                 out[c].append(int(v))
-            out["groups_sha256"].append(hashlib.sha256(b";".join([records[w][4] for w in words.tolist()])).hexdigest() if ok else "")
+            out["groups_sha256"].append(hashlib.sha256(b";".join([records[w][5] for w in words.tolist()])).hexdigest() if ok else "")
             out["n_words"].append(len(words))
         words = np.concatenate([*kept, np.zeros(0, np.int64)])
         often = np.bincount(words, minlength=len(records))
-        links = np.concatenate([*[r[5] for r in records if r[0]], np.zeros(0, np.int64)])
+        links = np.frombuffer(b"".join([r[6] for r in records if r[0]]), np.int64)
         pairs, place = np.unique(links, return_inverse=True)
         n = np.bincount(place, weights=np.repeat(often, sizes[:, 3]), minlength=len(pairs)).astype(np.int64)
         return out | {"doc_id": part["doc_id"], "pair": pairs, "n": n, "words": words.astype("<u4").tobytes(),
@@ -254,10 +281,11 @@ def token_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for part in pieces(batch):
                 for doc, text in zip(part["doc_id"], part["text"]):
                     words = aligner.words(text)
-                    found = aligner.learn(list(dict.fromkeys(words)))
+                    distinct = list(dict.fromkeys(words))
+                    found = dict(zip(distinct, aligner.learn(distinct)))
                     if not words or not all(found[w][0] for w in words):
                         continue
-                    groups = [[[*map(int, side.split(b","))] for side in g.split(b"|")] for w in words for g in found[w][4].split(b";")]
+                    groups = [[[*map(int, side.split(b","))] for side in g.split(b"|")] for w in words for g in found[w][5].split(b";")]
                     stops = np.cumsum([sum(aligner.size_a[i] for i in a) for a, _ in groups])
                     yield rows(schema, doc_id=[doc] * len(groups), group=range(len(groups)), start=[0, *stops[:-1]], stop=stops,
                                a_ids=[a for a, _ in groups], b_ids=[b for _, b in groups])
