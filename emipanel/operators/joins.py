@@ -208,37 +208,83 @@ def _tokens(c) -> Column:
                                                   lambda t: t != "")))
 
 
+def token_set_score(a: Column, b: Column) -> Column:
+    """100 x the best ratio between the shared tokens and either name: 2s / (s + m), s and m being the lengths of the shared tokens and of
+    the shorter name, tokens joined by spaces. It is 100 where one name holds the other; tokens that differ count as wholly different."""
+    def length(tokens):
+        return F.aggregate(tokens, F.lit(0), lambda n, x: n + F.length(x)) + F.size(tokens) - 1
+
+    s = length(F.array_intersect(a, b))
+    return F.when(F.size(F.array_intersect(a, b)) == 0, 0.0).otherwise(F.lit(200.0) * s / (s + F.least(length(a), length(b))))
+
+
+def _rarity_ordered(names: DataFrame, freq: DataFrame) -> DataFrame:
+    """name, set, m (length) and its tokens from the rarest on: o of (df, token, w), w being what a token adds to the length."""
+    tokens = (names.select("name", F.explode("set").alias("token")).join(freq, "token")
+              .groupBy("name").agg(F.sort_array(F.collect_list(F.struct("df", "token", (F.length("token") + 1).alias("w")))).alias("o")))
+    return names.join(tokens, "name").withColumn("m", F.aggregate("o", F.lit(0), lambda n, x: n + x["w"]) - 1)
+
+
+def _pairs_of(tokens) -> Column:
+    """Keys of all pairs of an array of tokens, in its order."""
+    return F.flatten(F.transform(tokens, lambda x, i: F.transform(
+        F.slice(tokens, i + 2, F.greatest(F.size(tokens) - i - 1, F.lit(0))), lambda y: F.concat_ws(" ", x, y))))
+
+
+def _index_keys(named: DataFrame, c: float) -> DataFrame:
+    """Keys under which a name is found by every longer name that shares enough of it.
+
+    It needs shared tokens of weight c * m + 1. A token from which on the rest (rarest first) is lighter than that cannot be the
+    rarest shared one. Where no single token is heavy enough, two must be shared, and the second rarest of them, with the heaviest
+    token added to what follows it, must reach the weight; then pairs are the keys, so common words alone build no candidates.
+    """
+    need = F.lit(c) * F.col("m") + 1 - 1e-9
+    after = F.transform("o", lambda x, i: F.aggregate(F.slice("o", i + 1, F.size("o")), F.lit(0), lambda n, y: n + y["w"]))
+    heaviest = F.array_max(F.transform("o", lambda x: x["w"]))
+    named = named.withColumn("after", after).withColumn("top", heaviest)
+    one = F.transform(F.filter("o", lambda x, i: F.get("after", i) >= need), lambda x: x["token"])
+    two = F.transform(F.filter("o", lambda x, i: F.get("after", i) + F.col("top") >= need), lambda x: x["token"])
+    return named.select("name", "m", F.explode(F.when(F.col("top") >= need, one).otherwise(_pairs_of(two))).alias("key"))
+
+
+def _probe_keys(named: DataFrame) -> DataFrame:
+    """Every token and every pair of tokens of a name."""
+    tokens = F.transform("o", lambda x: x["token"])
+    return named.select("name", "m", F.explode(F.concat(tokens, _pairs_of(tokens))).alias("key"))
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, left_name: str, right_name: str, threshold: int = 60,
                 symbol: str | None = None, max_symbol_len: int = 12) -> DataFrame:
-    """Best right name per left name by token-set similarity (100 x shared / all tokens).
+    """Best right name per left name by the token-set ratio (``token_set_score``) of at least ``threshold``.
 
-    Distinct token sets are compared, not rows. Two sets that reach the threshold must share one of
-    the rarest ``n - ceil(t*n) + 1`` tokens of each side, so only those are joined: nothing that
-    qualifies is missed and common words build no candidate pairs. Ties go to the smallest name.
+    A name is indexed under its rarest tokens, or pairs of them, and probed with all tokens and pairs of every name that is as long or
+    longer, so a name that lies in another is found and no pair that reaches the threshold is missed. Distinct names are compared,
+    not rows; a key that many names have is dealt out over tasks by Spark's skew join, and which names meet under it is what the score
+    decides. Ties go to the smallest name. Names without tokens match nothing.
     """
     t = threshold / 100.0
+    c = t / (2.0 - t)
     if symbol:
         right = right.where(F.length(symbol) <= max_symbol_len)
-    lset = left.select(F.col(left_name).alias("l_name")).distinct().withColumn("l_set", _tokens("l_name"))
-    rset = right.select(F.col(right_name).alias("r_name")).distinct().withColumn("r_set", _tokens("r_name"))
-    sets = lset.select(F.col("l_set").alias("s")).union(rset.select(F.col("r_set").alias("s")))
-    freq = (sets.select(F.explode("s").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")))
-
-    def prefix(df, name, tokens):
-        ordered = (df.select(name, F.size(tokens).alias("n"), F.explode(tokens).alias("token")).join(freq, "token")
-                   .groupBy(name, "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("o")))
-        keep = F.col("n") - F.ceil(F.col("n") * F.lit(t)).cast("int") + 1
-        return (ordered.select(name, "n", F.explode(F.slice("o", F.lit(1), keep)).alias("__t"))
-                .select(name, "n", "__t.token"))
-
-    lpre = prefix(lset, "l_name", "l_set").withColumnRenamed("n", "ln")
-    rpre = prefix(rset, "r_name", "r_set").withColumnRenamed("n", "rn")
-    sizes = (F.col("ln") >= F.lit(t) * F.col("rn")) & (F.col("rn") >= F.lit(t) * F.col("ln"))
-    cand = lpre.join(rpre, "token").where(sizes).select("l_name", "r_name").distinct()
-    scored = cand.join(lset, "l_name").join(rset, "r_name").select(
-        "l_name", "r_name",
-        (F.lit(100.0) * F.size(F.array_intersect("l_set", "r_set")) / F.size(F.array_union("l_set", "r_set")))
-        .alias("score"))
+
+    def distinct(df, name):
+        return df.select(F.col(name).alias("name")).distinct().withColumn("set", _tokens("name")).where(F.size("set") > 0)
+
+    lset, rset = distinct(left, left_name), distinct(right, right_name)
+    freq = (lset.select("set").union(rset.select("set")).select(F.explode("set").alias("token"))
+            .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    lname, rname = _rarity_ordered(lset, freq), _rarity_ordered(rset, freq)
+
+    def meet(small, large, small_as, large_as, or_equal):
+        s = _index_keys(small, c).select("key", F.col("name").alias(small_as), F.col("m").alias("sm"))
+        g = _probe_keys(large).select("key", F.col("name").alias(large_as), F.col("m").alias("gm"))
+        fits = F.col("sm") <= F.col("gm") if or_equal else F.col("sm") < F.col("gm")
+        return s.join(g, "key").where(fits).select("l_name", "r_name")
+
+    cand = meet(lname, rname, "l_name", "r_name", True).unionByName(meet(rname, lname, "r_name", "l_name", False)).distinct()
+    scored = (cand.join(lset.select(F.col("name").alias("l_name"), F.col("set").alias("l_set")), "l_name")
+              .join(rset.select(F.col("name").alias("r_name"), F.col("set").alias("r_set")), "r_name")
+              .select("l_name", "r_name", token_set_score(F.col("l_set"), F.col("r_set")).alias("score")))
     best = first_per_key(scored.where(F.col("score") >= threshold), ["l_name"], [-F.col("score"), F.col("r_name")])
     return left.join(best, F.col(left_name) == F.col("l_name"), "left").drop("l_name").withColumnRenamed(
         "r_name", "matched_name")

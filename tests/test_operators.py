@@ -1,5 +1,7 @@
 """Joins, duplicates, reports and windows on tiny frames."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,15 +56,31 @@ def test_join_guard(spark):
         dedup.assert_unique(spark.createDataFrame([(1,), (1,)], "k int"), ["k"])
 
 
-def test_fuzzy_match_equals_brute_force(spark):
-    left = ["alpha steel works", "beta foods", "gamma", "delta power co", "unknown thing"]
-    right = ["steel works alpha plc", "beta foods inc", "gamma holdings group", "delta co power", "gamma"]
+def _token_set(a, b):
+    a, b = set(a.lower().split()), set(b.lower().split())
+    m, s = min(len(" ".join(a)), len(" ".join(b))), len(" ".join(a & b))
+    return 200.0 * s / (s + m) if s else 0.0
+
+
+@pytest.mark.parametrize("threshold", [40, 60, 90, 100])
+def test_fuzzy_match_equals_brute_force(spark, threshold):
+    rng = random.Random(threshold)
+    words = ["inc", "co", "group", "of", *["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(25)]]
+    make = lambda: " ".join(rng.choice(words[:4] if rng.random() < 0.4 else words) for _ in range(rng.randint(1, 5)))
+    left = ["acme", "Acme Inc", "inc", "", "  ", "beta foods", *[make() for _ in range(80)]]
+    right = ["acme", "acme inc", "gamma acme holdings", "inc co", "beta foods inc", "", *[make() for _ in range(80)]]
     got = {r["n"]: (r["matched_name"], r["score"]) for r in joins.fuzzy_match(
-        spark.createDataFrame([(x,) for x in left], "n string"), spark.createDataFrame([(x,) for x in right], "m string"), "n", "m").collect()}
+        spark.createDataFrame([(x,) for x in left] * 2, "n string"), spark.createDataFrame([(x,) for x in right] * 2, "m string"), "n", "m", threshold).collect()}
     for a in left:
-        scored = sorted((-100.0 * len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())), b) for b in right)
-        want = (scored[0][1], -scored[0][0]) if -scored[0][0] >= 60 else (None, None)
-        assert got[a] == (want[0], pytest.approx(want[1]) if want[1] else None)
+        score, name = min((-_token_set(a, b), b) for b in right)
+        assert got[a] == ((name, pytest.approx(-score)) if -score >= threshold else (None, None)), a
+
+
+def test_fuzzy_match_finds_contained_names(spark):
+    def match(a, b):
+        return joins.fuzzy_match(spark.createDataFrame([(a,)], "n string"), spark.createDataFrame([(b,)], "m string"), "n", "m").first()["score"]
+
+    assert match("Acme", "Acme Inc") == 100.0 and match("Acme Holdings Inc", "acme") == 100.0 and match("Acme Inc", "Beta Inc") is None
 
 
 def test_factor_join_uses_last_year(spark):

@@ -193,7 +193,8 @@ def join_aligned_predictions(spark, sf):
 @query("join_fuzzy_names", """WITH l AS (SELECT DISTINCT p_name AS ln, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS ls FROM part),
   r AS (SELECT DISTINCT lower(p_type) || ' ' || p_name AS rn FROM part WHERE length(p_brand) <= 8),
   rs AS (SELECT rn, list_sort(list_distinct(string_split(rn, ' '))) AS rs FROM r),
-  s AS (SELECT ln, rn, 100.0::DOUBLE * len(list_intersect(ls, rs)) / len(list_distinct(list_concat(ls, rs))) AS score FROM l, rs),
+  p AS (SELECT ln, rn, len(array_to_string(ls, ' ')) AS lm, len(array_to_string(rs, ' ')) AS rm, len(array_to_string(list_intersect(ls, rs), ' ')) AS s FROM l, rs),
+  s AS (SELECT ln, rn, 200.0::DOUBLE * s / (s + least(lm, rm)) AS score FROM p WHERE s > 0),
   b AS (SELECT * FROM s WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY ln ORDER BY score DESC, rn) = 1)
   SELECT p_partkey, rn AS matched_name, round(score, 4) AS score FROM part LEFT JOIN b ON ln = p_name""")
 def join_fuzzy_names(spark, sf):
