@@ -8,8 +8,7 @@ from pyspark.sql import types as T
 
 from emipanel.functions.core import as_col
 from emipanel.functions.text import score_source, score_status
-from emipanel.operators.skew import (HOT_ROWS, dense_ids, exact_median, first_per_key, join_null_safe,
-                                     smallest_mode, split_hot)
+from emipanel.operators.skew import dense_ids, exact_median, first_per_key, join_null_safe, smallest_mode
 
 
 def distinct(df: DataFrame, cols=()) -> DataFrame:
@@ -44,31 +43,25 @@ def embedding_ranks(status: str = "status", source: str = "img_source", images:
     return [score_status(status), score_source(source), F.col(images)]
 
 
-def collapse_duplicates(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame:
+def collapse_duplicates(df: DataFrame, keys) -> DataFrame:
     """One row per key: median of numbers, smallest mode of labels; null keys are kept.
 
-    Ordinary keys need a single aggregation. The rows of keys with more than ``hot_rows`` rows are
-    unrolled to (key, field, value) and reduced by the distributed median and mode.
+    The fields are unrolled to (key, field, value) and reduced by the distributed median and mode, so a key may have any number
+    of rows.
     """
     keys = list(keys)
     rest = [f for f in df.schema.fields if f.name not in keys]
     numeric = [f.name for f in rest if isinstance(f.dataType, T.NumericType)]
     labels = [f.name for f in rest if f.name not in numeric]
-    cool, hot = split_hot(df, keys, hot_rows)
-    out = cool.groupBy(*keys).agg(*[F.median(c).alias(c) for c in numeric],
-                                  *[F.mode(c, deterministic=True).alias(c) for c in labels])
-    if hot is None:
-        return out.select(*df.columns)
-    big = hot.select(*keys).distinct()
+    out = df.select(*keys).distinct()
     if numeric:
-        long = hot.select(*keys, *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(keys, numeric, "field", "x")
-        med = exact_median(long, [*keys, "field"], "x", "x", hot_rows=0)
-        big = join_null_safe(big, _wide(med, keys, numeric, {}), keys)
+        long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(keys, numeric, "field", "x")
+        out = join_null_safe(out, _wide(exact_median(long, [*keys, "field"], "x", "x"), keys, numeric, {}), keys)
     if labels:
-        long = hot.select(*keys, *[F.col(c).cast("string").alias(c) for c in labels]).unpivot(keys, labels, "field", "x")
+        long = df.select(*keys, *[F.col(c).cast("string").alias(c) for c in labels]).unpivot(keys, labels, "field", "x")
         kinds = {f.name: f.dataType for f in rest if f.name in labels}
-        big = join_null_safe(big, _wide(smallest_mode(long, [*keys, "field"], "x"), keys, labels, kinds), keys)
-    return out.unionByName(big.select(*df.columns)).select(*df.columns)
+        out = join_null_safe(out, _wide(smallest_mode(long, [*keys, "field"], "x"), keys, labels, kinds), keys)
+    return out.select(*df.columns)
 
 
 def _wide(long: DataFrame, keys, fields, kinds: dict) -> DataFrame:

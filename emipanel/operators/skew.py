@@ -2,7 +2,7 @@
 
 * joins that treat null keys as equal,
 * exact quantiles and modes without holding a group in one task,
-* exact ranks inside groups by hash buckets,
+* exact ranks inside groups by hash ranges, as many as a group's size asks for,
 * one row per key by aggregation (combined before the shuffle) instead of a window.
 """
 
@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from emipanel.functions.core import as_col
 
-HOT_ROWS = 1_000_000
-RANK_BITS = 16
+#: Accuracy of the sketch that brackets quantiles: a rank is off by at most rows / SKETCH.
+SKETCH = 10_000
+#: Rows that a window over hash buckets should hold, and bits of the hash.
+BUCKET_ROWS = 1 << 18
+HASH_BITS = 32
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
@@ -46,45 +49,6 @@ def first_per_key(df: DataFrame, keys, order: list[Column]) -> DataFrame:
     return picked.select(*keys, *[F.col(f"__p.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def hot_keys(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows; at most rows/hot_rows of them exist."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-            .where(F.col("__n") > hot_rows).select(*keys))
-
-
-def split_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys or None).
-
-    The keys are counted right away, combined map-side; only the hot ones, a short list, are kept in
-    reliable storage. Without any, ``df`` comes back untouched and the caller's plan stays plain.
-    """
-    from emipanel.session import stable
-
-    hot = stable(hot_keys(df, keys, hot_rows))
-    if hot.isEmpty():
-        return df, None
-    return join_null_safe(df, hot, keys, "left_anti"), join_null_safe(df, hot, keys, "left_semi")
-
-
-def _stretch(v: Column) -> Column:
-    """Monotone map of doubles onto about +-2300, close to a signed base-2 logarithm; infinities and NaN (the largest, as in
-    Spark's order) have bins of their own beyond."""
-    size = F.abs(v)
-    exponent = F.floor(F.log2(size)).cast("double")
-    scaled = exponent + size / F.pow(F.lit(2.0), exponent) - 1.0 + 1250.0
-    inf = float("inf")
-    return (F.when(F.isnan(v), 4000.0).when(v == inf, 3000.0).when(v == -inf, -3000.0)
-            .when(v > 0, scaled).when(v < 0, -scaled).otherwise(F.lit(0.0)))
-
-
-def _ranks(total: Column, probs) -> Column:
-    return F.array(*[f((total - 1) * F.lit(float(p))).cast("long") for p in probs for f in (F.floor, F.ceil)])
-
-
-def _holds_rank(probs) -> Column:
-    return F.exists(_ranks(F.col("__tot"), probs), lambda r: (r >= F.col("__start")) & (r < F.col("__end")))
-
-
 def _cumulate(df: DataFrame, part, order: str, n: str, base=None) -> DataFrame:
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(n).over(w)
@@ -93,68 +57,54 @@ def _cumulate(df: DataFrame, part, order: str, n: str, base=None) -> DataFrame:
     return df.withColumn("__end", end).withColumn("__start", F.col("__end") - F.col(n))
 
 
-def _distributed_quantiles(src: DataFrame, keys, probs, names) -> DataFrame:
-    """Histogram refinement: coarse bins, then fine bins inside the bins hit, then their single values.
+def exact_quantiles(df: DataFrame, keys, value, probs, names=None) -> DataFrame:
+    """Exact interpolated quantiles per group; null values are skipped, all-null groups are absent.
+    ``value``: a column name or expression. NaN is the largest value, as in Spark's order.
 
-    Three narrow passes over the column. Only bin counts are shuffled (at most some 10^4 coarse and
-    65,536 fine bins per group, combined map-side) and the bins hit are a handful of rows, so neither a
-    group nor the column as a whole is ever gathered or shuffled.
+    Two lazy passes, the same for every group size. A sketch per group, combined before the shuffle, brackets each wanted rank from
+    both sides. Then values inside a bracket are counted one by one and those between brackets together, so a group comes to
+    at most some 6 x rows / SKETCH counts for each quantile (and to all its distinct values where it has fewer than 4 x SKETCH), of
+    which the one that holds the rank is picked. A rank outside its bracket would raise, it cannot give a wrong value.
     """
-    if not keys:
-        src, keys, dropped = src.withColumn("__all", F.lit(1)), ["__all"], ["__all"]
-    else:
-        dropped = []
-    y = _stretch(F.col("__v"))
-    src = src.withColumn("__b1", F.floor(y * 16)).withColumn("__b2", F.floor(y * (1 << 20)))
-    coarse = src.groupBy(*keys, "__b1").agg(F.count(F.lit(1)).alias("__n"))
-    coarse = _cumulate(coarse, keys, "__b1", "__n").withColumn(
-        "__tot", F.sum("__n").over(Window.partitionBy(*keys)))
-    hit1 = coarse.where(_holds_rank(probs)).select(*keys, "__b1", F.col("__start").alias("__base"), "__tot")
-    near = join_null_safe(src, hit1, [*keys, "__b1"], "inner")
-    fine = near.groupBy(*keys, "__b1", "__b2", "__base", "__tot").agg(F.count(F.lit(1)).alias("__n"))
-    fine = _cumulate(fine, [*keys, "__b1"], "__b2", "__n", "__base")
-    hit2 = fine.where(_holds_rank(probs)).select(*keys, "__b2", F.col("__start").alias("__base2"), "__tot")
-    last = join_null_safe(src, hit2, [*keys, "__b2"], "inner")
-    last = last.groupBy(*keys, "__b2", "__v", "__base2", "__tot").agg(F.count(F.lit(1)).alias("__c"))
-    last = _cumulate(last, [*keys, "__b2"], "__v", "__c", "__base2")
+    keys, probs = list(keys), [float(p) for p in probs]
+    names = list(names or [f"q{int(round(p * 1000)):04d}" for p in probs])
+    src = df.select(*keys, as_col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    inf = float("inf")
+    src = src.withColumn("__y", F.nanvl("__v", F.lit(inf)))
+    off = 2.0 / SKETCH
+    ends = [max(p - off, 0.0) for p in probs] + [min(p + off, 1.0) for p in probs]
+    sketch = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__y").alias("__min"), F.max("__y").alias("__max"),
+                                    F.percentile_approx("__y", ends, SKETCH).alias("__q")).where(F.col("__n") > 0)
+    few = F.col("__n") < 4 * SKETCH
+    low = [F.when(few | F.lit(p - off <= 0), F.col("__min")).otherwise(F.get("__q", F.lit(i))) for i, p in enumerate(probs)]
+    high = [F.when(few | F.lit(p + off >= 1), F.col("__max")).otherwise(F.get("__q", F.lit(len(probs) + i))) for i, p in enumerate(probs)]
+    brackets = sketch.select(*keys, F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in zip(low, high)]).alias("__brackets"))
+    near = join_null_safe(src, brackets, keys, "inner") if keys else attach_row(src, brackets)
+    y = F.col("__y")
+    # values outside all brackets that have passed as many lower ends have no bracket between them
+    near = near.select(*keys, "__v", F.when(F.exists("__brackets", lambda x: (x["a"] <= y) & (y <= x["b"])), F.col("__v")).alias("__one"),
+                       F.size(F.filter("__brackets", lambda x: x["a"] <= y)).alias("__side"))
+    cells = near.groupBy(*keys, "__side", "__one").agg(F.count(F.lit(1)).alias("__c"), F.max("__v").alias("__top"))
+    part = keys or [F.lit(0)]
+    cells = _cumulate(cells, part, "__top", "__c").withColumn("__tot", F.sum("__c").over(Window.partitionBy(*part)))
+    exact = F.coalesce("__one", F.raise_error(F.lit("a quantile lies outside the bracket of its sketch")).cast("double"))
     picks = []
     for i, p in enumerate(probs):
-        pos = (F.col("__tot") - 1) * F.lit(float(p))
+        pos = (F.col("__tot") - 1) * F.lit(p)
         for tag, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            inside = (rank >= F.col("__start")) & (rank < F.col("__end"))
-            picks.append(F.max(F.when(inside, F.col("__v"))).alias(f"__{tag}{i}"))
-    out = last.groupBy(*keys).agg(F.max("__tot").alias("__tot"), *picks)
+            picks.append(F.max(F.when((rank >= F.col("__start")) & (rank < F.col("__end")), exact)).alias(f"__{tag}{i}"))
+    out = cells.groupBy(*keys).agg(F.max("__tot").alias("__tot"), *picks).where(F.col("__tot") > 0)
     for i, (p, name) in enumerate(zip(probs, names)):
-        pos = (F.col("__tot") - 1) * F.lit(float(p))
+        pos = (F.col("__tot") - 1) * F.lit(p)
         frac = pos - F.floor(pos)
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         # equal ends need no arithmetic, which would make NaN of infinities
         out = out.withColumn(name, F.when((frac == 0) | (lo == hi), lo).otherwise(lo * (1 - frac) + hi * frac))
-    return out.select(*[k for k in keys if k not in dropped], *names)
-
-
-def exact_quantiles(df: DataFrame, keys, value, probs, names=None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact interpolated quantiles per group; null values are skipped, all-null groups are absent.
-    ``value``: a column name or expression.
+    return out.select(*keys, *names)
 
-    Ordinary groups use the built-in aggregate, hot ones (and a global quantile) the histogram
-    refinement above, whose tasks stay small whatever the group's size.
-    """
-    keys = list(keys)
-    names = list(names or [f"q{int(round(p * 1000)):04d}" for p in probs])
-    src = df.select(*keys, as_col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    if not keys:
-        return _distributed_quantiles(src, keys, probs, names)
-    cool, hot = split_hot(src, keys, hot_rows)
-    native = cool.groupBy(*keys).agg(*[F.percentile("__v", F.lit(float(p))).alias(n)
-                                       for p, n in zip(probs, names)])
-    if hot is None:
-        return native
-    return native.unionByName(_distributed_quantiles(hot, keys, probs, names))
 
-
-def exact_median(df: DataFrame, keys, value, name: str = "median", hot_rows: int = HOT_ROWS) -> DataFrame:
-    return exact_quantiles(df, keys, value, [0.5], [name], hot_rows)
+def exact_median(df: DataFrame, keys, value, name: str = "median") -> DataFrame:
+    return exact_quantiles(df, keys, value, [0.5], [name])
 
 
 def smallest_mode(df: DataFrame, keys, col: str, name: str | None = None) -> DataFrame:
@@ -167,35 +117,25 @@ def smallest_mode(df: DataFrame, keys, col: str, name: str | None = None) -> Dat
     return counts.groupBy(*keys).agg(F.min_by(col, F.struct(-F.col("__n"), F.col(col))).alias(name or col))
 
 
-def _bucket_ranks(df: DataFrame, group, h: Column, tie, rank: str, size: str) -> DataFrame:
-    """Exact ranks of groups too big for one task: each is cut into 2^16 hash buckets, which are sorted
-    independently; a bucket's offset comes from the bucket counts (at most 65,536 rows per group)."""
-    label = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}) if group else F.lit("all")
-    work = (df.withColumn("__g", label).withColumn("__h", h)
-            .withColumn("__b", F.shiftright(F.col("__h"), 32 - RANK_BITS)))
-    counts = work.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    counts = _cumulate(counts, ["__g"], "__b", "__n").withColumn(
-        size, F.sum("__n").over(Window.partitionBy("__g"))).select("__g", "__b", "__start", size)
-    inner = Window.partitionBy("__g", "__b").orderBy("__h", *tie)
-    return (work.join(counts, ["__g", "__b"])
-            .withColumn(rank, F.col("__start") + F.row_number().over(inner))
-            .select(*df.columns, rank, size))
-
-
-def rank_in_group(df: DataFrame, group, h: Column, tie, rank: str = "rank_in_group",
-                  size: str = "group_size", hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_in_group(df: DataFrame, group, h: Column, tie, rank: str = "rank_in_group", size: str = "group_size",
+                  bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Exact 1-based rank by (h, tie) inside each group, ``h`` being a uniform 32-bit hash.
 
-    Ordinary groups take one window; hot ones, and a ranking without groups, go by hash buckets.
+    A group is cut into hash ranges of about ``bucket_rows`` rows, as many as its size asks for; each is sorted by itself and the
+    rows of the ranges before it, a row per range, are added. Groups are counted map-side; nothing runs before the result is used.
     """
     group, tie = list(group), [as_col(t) for t in tie]
-    if not group:
-        return _bucket_ranks(df, group, h, tie, rank, size)
-    cool, hot = split_hot(df, group, hot_rows)
-    out = (cool.withColumn("__h", h)
-           .withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy("__h", *tie)).cast("long"))
-           .withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*group))).select(*df.columns, rank, size))
-    return out if hot is None else out.unionByName(_bucket_ranks(hot, group, h, tie, rank, size))
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias(size))
+    work = df.withColumn("__h", h)
+    work = join_null_safe(work, counts, group, "inner") if group else attach_row(work, counts)
+    ranges = F.ceil(F.col(size) / F.lit(bucket_rows))
+    work = work.withColumn("__b", F.shiftright(F.col("__h") * ranges, HASH_BITS))
+    keys = [*group, "__b"]
+    before = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = _cumulate(before, group or [F.lit(0)], "__b", "__n").select(*keys, "__start")
+    inner = Window.partitionBy(*keys).orderBy("__h", *tie)
+    return (join_null_safe(work.withColumn("__row", F.row_number().over(inner)), before, keys, "inner")
+            .withColumn(rank, F.col("__start") + F.col("__row")).select(*df.columns, rank, size))
 
 
 def dense_ids(df: DataFrame, order, name: str = "row_id") -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emipanel.operators.skew import HOT_ROWS, attach_row, dense_ids, exact_quantiles, join_null_safe, rank_in_group
+from emipanel.operators.skew import BUCKET_ROWS, attach_row, dense_ids, exact_quantiles, join_null_safe, rank_in_group
 
 
 def _w(entity: str, year: str):
@@ -59,9 +59,9 @@ def leads(df: DataFrame, entity: str, year: str, c: str, horizons=(1, 2, 3), pre
     return df.withColumns({f"{prefix}{h}": F.lead(c, h).over(_w(entity, year)) for h in horizons})
 
 
-def number_rows(df: DataFrame, group, h, tie, name: str = "row_no", hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, group, h, tie, name: str = "row_no", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """1-based number inside each group in hash order, without gathering a hot group."""
-    return rank_in_group(df, group, h, tie, name, "__size", hot_rows).drop("__size")
+    return rank_in_group(df, group, h, tie, name, "__size", bucket_rows).drop("__size")
 
 
 def shard_ids(df: DataFrame, order, name: str = "row_id") -> DataFrame:

@@ -8,19 +8,24 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from emipanel.functions import hash32
+from emipanel.operators import skew
 from emipanel.operators.skew import (attach_row, dense_ids, exact_median, exact_quantiles, first_per_key, join_null_safe, rank_in_group,
                                      smallest_mode)
 
 PROBS = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
 
 
-@pytest.mark.parametrize("hot_rows", [0, 50, 10**9])
-def test_quantiles_by_group(spark, hot_rows):
+@pytest.mark.parametrize("sketch", [5, 50, 10_000])
+def test_quantiles_by_group(spark, sketch, monkeypatch):
+    """A coarse sketch leaves most values of the large group outside the brackets."""
+    monkeypatch.setattr(skew, "SKETCH", sketch)
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"k": np.r_[np.zeros(900), rng.integers(1, 40, 300)].astype(int),
                         "v": np.r_[rng.lognormal(3, 5, 500), -rng.lognormal(1, 3, 300), np.zeros(100), rng.normal(1e6, 1e-3, 300)]})
-    got = exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", PROBS, hot_rows=hot_rows).toPandas().set_index("k").sort_index()
+    got = exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", PROBS).toPandas().set_index("k").sort_index()
     want = pdf.groupby("k").v.quantile(PROBS).unstack()
     np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), rtol=1e-12, atol=1e-12)
 
@@ -33,15 +38,37 @@ def test_global_median_of_any_doubles(spark, values):
 
 
 @pytest.mark.parametrize("values", [[1, 2, "inf"], [1, "inf", "inf"], [1, 2, "nan"], ["-inf", "-inf", 5], ["-inf", 0, 1, "inf"]])
-def test_infinities_and_nan_agree_for_every_group_size(spark, values):
-    df = spark.createDataFrame([("a", float(v)) for v in values], "k string, v double")
-    hot, plain = (exact_quantiles(df, ["k"], "v", [0.25, 0.5, 1.0], hot_rows=n).first() for n in (0, 10**9))
-    np.testing.assert_array_equal(np.array(hot[1:]), np.array(plain[1:]))
+def test_infinities_and_nan_agree_for_every_group_size(spark, values, monkeypatch):
+    df = spark.createDataFrame([("a", float(v)) for v in values] * 200, "k string, v double")
+    plain = exact_quantiles(df, ["k"], "v", [0.25, 0.5, 1.0]).first()
+    monkeypatch.setattr(skew, "SKETCH", 20)
+    coarse = exact_quantiles(df, ["k"], "v", [0.25, 0.5, 1.0]).first()
+    built_in = df.groupBy("k").agg(*[F.percentile("v", p) for p in (0.25, 0.5, 1.0)]).first()
+    np.testing.assert_array_equal(np.array(coarse[1:]), np.array(plain[1:]))
+    np.testing.assert_array_equal(np.array(plain[1:]), np.array(built_in[1:]))
+
+
+def test_whole_column_ties_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SKETCH", 50)
+    values = [0.0] * 3000 + [1.0] * 10 + list(np.linspace(2, 3, 5000))
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
+    got = exact_quantiles(df, [], "v", PROBS).first()
+    np.testing.assert_allclose(list(got), np.quantile(values, PROBS), rtol=1e-12)
+    assert exact_quantiles(df.filter("false"), [], "v", PROBS).count() == 0 and exact_quantiles(df.filter("false"), ["v"], "v", [0.5]).count() == 0
+
+
+def test_defining_a_query_starts_no_job(spark):
+    df = spark.range(1000).selectExpr("id", "id % 3 as g", "cast(id as double) as v")
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    exact_quantiles(df, ["g"], "v", [0.5])
+    rank_in_group(df, ["g"], hash32(1, "id"), ["id"])
+    assert set(tracker.getJobIdsForGroup(None)) == before
 
 
 def test_null_keys_and_values(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("b", 2.0)], "k string, v double")
-    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", hot_rows=1).collect()}
+    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v").collect()}
     assert got == {None: 2.0, "b": 2.0}
     joined = join_null_safe(df, spark.createDataFrame([(None, 9)], "k string, w int"), ["k"])
     assert sorted((r["k"] or "", r["w"]) for r in joined.where("w is not null").collect()) == [("", 9), ("", 9)]
@@ -57,10 +84,10 @@ def test_first_per_key_ties_on_order(spark):
     assert first_per_key(df, ["k"], ["o", "v"]).first()["v"] == "q"
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10**9])
-def test_ranks_are_a_permutation_of_each_group(spark, hot_rows):
+@pytest.mark.parametrize("bucket_rows", [1, 100, 10**9])
+def test_ranks_are_a_permutation_of_each_group(spark, bucket_rows):
     pdf = pd.DataFrame({"g": ["hot"] * 3000 + ["cold"] * 5 + [None] * 7, "id": range(3012)})
-    got = rank_in_group(spark.createDataFrame(pdf), ["g"], hash32(1, "id"), ["id"], hot_rows=hot_rows).toPandas()
+    got = rank_in_group(spark.createDataFrame(pdf), ["g"], hash32(1, "id"), ["id"], bucket_rows=bucket_rows).toPandas()
     for _, part in got.groupby("g", dropna=False):
         assert sorted(part.rank_in_group) == list(range(1, len(part) + 1))
         assert set(part.group_size) == {len(part)}

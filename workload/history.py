@@ -136,8 +136,8 @@ def window_row_numbers(spark, sf):
 @query("window_row_numbers_hot", f"""WITH {S.PANEL} SELECT property_type, building_id, year, row_number() OVER (PARTITION BY property_type
   ORDER BY {sql_hash(7, 'building_id', 'year')}, building_id, year) AS row_no FROM panel""")
 def window_row_numbers_hot(spark, sf):
-    """Five groups hold all rows; the bucket path is forced so that it is checked on every run."""
-    return H.number_rows(_panel(spark, sf).select("property_type", *_P), ["property_type"], hash32(7, *_P), list(_P), hot_rows=100)
+    """Five groups hold all rows; small hash ranges, so that a group has many of them."""
+    return H.number_rows(_panel(spark, sf).select("property_type", *_P), ["property_type"], hash32(7, *_P), list(_P), bucket_rows=100)
 
 
 @query("window_dense_ids", f"""WITH {S.PANEL} SELECT city, building_id, year, row_number() OVER (ORDER BY city, building_id, year) - 1

@@ -279,10 +279,10 @@ def dedup_collapse(spark, sf):
     (SELECT o_orderpriority FROM o i WHERE i.o_orderstatus = o.o_orderstatus GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
     AS priority FROM o GROUP BY 1""")
 def dedup_collapse_hot_keys(spark, sf):
-    """Three keys hold all rows, so every one takes the distributed path."""
+    """Three keys hold all rows."""
     o = t(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"),
                                       F.col("o_orderpriority").alias("priority"))
-    return U.collapse_duplicates(o, ["status"], hot_rows=1000).withColumn("price", r("price"))
+    return U.collapse_duplicates(o, ["status"]).withColumn("price", r("price"))
 
 
 @query("dedup_collapse_report", """SELECT count(*) AS rows_before, count(DISTINCT (o_custkey, year(o_orderdate))) AS rows_after,
