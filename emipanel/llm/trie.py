@@ -187,7 +187,8 @@ def subtree_totals(tree: DataFrame, values: list[str], priority: Column | None =
         raked = active.where(leaf).withColumn("status", F.lit("raked"))
         state = stored(next_state.unionByName(raked), "contract")
         rounds.append(state)
-    everything = reduce(DataFrame.unionByName, [r.filter("status <> 'active'") for r in rounds])
+    # one table of all rounds keeps the plans that follow small
+    everything = stored(reduce(DataFrame.unionByName, [r.filter("status <> 'active'") for r in rounds]), "contracted")
     done = everything.filter("status = 'raked'").select("node", *values)
     spliced = everything.filter("status = 'spliced'").select("node", "kid", *values)
     # a spliced node's child was spliced in a later round or raked: follow the first kind, twice as far each time
