@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from emipanel.functions.core import as_col
 from emipanel.functions.text import score_source, score_status
-from emipanel.operators.skew import dense_ids, exact_median, first_per_key, join_null_safe, smallest_mode
+from emipanel.operators.skew import attach_row, dense_ids, exact_median, first_per_key, join_null_safe, smallest_mode
 
 
 def distinct(df: DataFrame, cols=()) -> DataFrame:
@@ -88,6 +88,17 @@ def assert_unique(df: DataFrame, keys) -> None:
         raise ValueError(f"keys are not unique: {[tuple(r) for r in bad]}")
 
 
+def refuse_duplicates(df: DataFrame, keys) -> DataFrame:
+    """The rows of ``df``, whose use fails if a key occurs twice (null keys count as equal), so that no write of them can succeed. Only
+    keys are shuffled, counted map-side; the rows are read a second time and pass through where they are."""
+    keys = list(keys)
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    found = twice.agg(F.count(F.lit(1)).alias("__twice"), F.min(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).alias("__key"))
+    message = F.concat(F.lit("keys are not unique: "), F.col("__twice"), F.lit(" occur more than once, one is "), F.col("__key"))
+    return (attach_row(df, found).where(F.when(F.col("__twice") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+            .drop("__twice", "__key"))
+
+
 def count_duplicates(df: DataFrame, keys, by=(), name: str = "duplicate_rows") -> DataFrame:
     """Rows after the first of their key."""
     per_key = df.groupBy(*by, *[k for k in keys if k not in by]).agg(F.count(F.lit(1)).alias("__n"))

@@ -138,6 +138,21 @@ def rank_in_group(df: DataFrame, group, h: Column, tie, rank: str = "rank_in_gro
             .withColumn(rank, F.col("__start") + F.col("__row")).select(*df.columns, rank, size))
 
 
+def lowest_by_hash(df: DataFrame, group, h: Column, n: int) -> DataFrame:
+    """Rows among which are the ``n`` with the smallest hash of each group (all ties too), and few others.
+
+    Rows are counted by group and the upper 16 bits of the 32-bit hash, combined before the shuffle; the range in which the n-th row
+    lies ends what is kept, so no other row is shuffled later on. Groups of up to n rows stay whole.
+    """
+    group = list(group)
+    coarse = F.shiftright(h, 16)
+    counts = df.groupBy(*group, coarse.alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = _cumulate(counts, group or [F.lit(0)], "__range", "__n")
+    last = counts.groupBy(*group).agg(F.min(F.when(F.col("__end") >= n, F.col("__range"))).alias("__last"))
+    near = join_null_safe(df, last, group, "inner") if group else attach_row(df, last)
+    return near.where(F.col("__last").isNull() | (coarse <= F.col("__last"))).drop("__last")
+
+
 def dense_ids(df: DataFrame, order, name: str = "row_id") -> DataFrame:
     """0-based ids in sort order without a single-task sort.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emipanel.functions.core import as_col, hash32
 from emipanel.operators.filters import min_years
-from emipanel.operators.skew import first_per_key, join_null_safe, rank_in_group
+from emipanel.operators.skew import first_per_key, join_null_safe, lowest_by_hash, rank_in_group
 
 NAMES = ("train", "val", "test")
 
@@ -203,18 +203,24 @@ def holdout(df: DataFrame, key, frac: float = 0.2, seed: int = 42, name: str = "
 
 
 def cap_rows(df: DataFrame, n: int, key, seed: int = 42) -> DataFrame:
-    """At most n rows without replacement (the row cap of in-context models)."""
-    return rank_in_group(df, [], hash32(seed, *key), key, "__rank", "__size").where(
+    """At most n rows without replacement (the row cap of in-context models): those with the smallest hashes, found before any other
+    row is shuffled."""
+    h = hash32(seed, *key)
+    return rank_in_group(lowest_by_hash(df, [], h, n), [], h, key, "__rank", "__size").where(
         F.col("__rank") <= n).drop("__rank", "__size")
 
 
 def quota_sample(df: DataFrame, city: str, year: str, key, cap: int = 1200, seed: int = 42) -> DataFrame:
-    """At most ``cap`` rows per city, spread evenly over its years, topped up from the remainder."""
+    """At most ``cap`` rows per city, spread evenly over its years, topped up from the remainder.
+
+    A row with ``cap`` smaller hashes in its city and year cannot be taken, so such rows are left out before ranking.
+    """
     key = list(key)
     h = hash32(seed, *key)
     per = df.groupBy(city, year).agg(F.count(F.lit(1)).alias("__n")).groupBy(city).agg(
         F.count(year).alias("__years"))
-    ranked = join_null_safe(rank_in_group(df, [city, year], h, key, "__r", "__s"), per, [city])
+    near = lowest_by_hash(df, [city, year], h, cap)
+    ranked = join_null_safe(rank_in_group(near, [city, year], h, key, "__r", "__s"), per, [city])
     quota = F.greatest(F.lit(1), F.floor(F.lit(cap) / F.greatest(F.lit(1), F.col("__years"))))
     # quota rows first, then the rest; halving the hash keeps both parts uniform in 32 bits
     order = F.when(F.col("__r") <= quota, F.shiftright(h, 1)).otherwise(F.shiftright(h, 1) + F.lit(1 << 31))

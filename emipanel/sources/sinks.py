@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emipanel.functions.numeric import safe
+from emipanel.operators.dedup import refuse_duplicates
 from emipanel.operators.skew import first_per_key, join_null_safe
 
 
@@ -38,10 +39,12 @@ def split_with_audit(df: DataFrame, rules, reason: str = "outlier_reason") -> tu
     return marked.where(F.col(reason).isNull()).drop(reason), marked.where(F.col(reason).isNotNull())
 
 
-def replace_partitions(base: DataFrame, repl: DataFrame, col: str) -> DataFrame:
-    """Groups present in ``repl`` replace those of ``base`` whole, the null group too."""
+def replace_partitions(base: DataFrame, repl: DataFrame, col: str, keys=None) -> DataFrame:
+    """Groups present in ``repl`` replace those of ``base`` whole, the null group too. With ``keys``, the result cannot be used if a key
+    occurs twice in it."""
     names = repl.select(col).distinct()
-    return join_null_safe(base, names, [col], "left_anti").unionByName(repl, allowMissingColumns=True)
+    merged = join_null_safe(base, names, [col], "left_anti").unionByName(repl, allowMissingColumns=True)
+    return merged if keys is None else refuse_duplicates(merged, keys)
 
 
 def overwrite_partitions(df: DataFrame, path: str, col: str) -> None:

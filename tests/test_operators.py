@@ -55,6 +55,15 @@ def test_join_guard(spark):
         dedup.assert_unique(spark.createDataFrame([(1,), (1,)], "k int"), ["k"])
 
 
+def test_replacement_refuses_duplicate_keys(spark, tmp_path):
+    base = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0), (None, 1, 3.0)], "g string, k int, v double")
+    fine, twice = spark.createDataFrame([("a", 2, 9.0)], base.schema), spark.createDataFrame([(None, 1, 8.0), (None, 1, 9.0)], base.schema)
+    assert sinks.replace_partitions(base, fine, "g", ["g", "k"]).count() == 3
+    assert sinks.replace_partitions(base, twice, "g").count() == 4
+    with pytest.raises(Exception, match="keys are not unique: 1 occur"):
+        sinks.replace_partitions(base, twice, "g", ["g", "k"]).write.parquet(str(tmp_path / "out"))
+
+
 def _token_set(a, b):
     a, b = set(a.lower().split()), set(b.lower().split())
     m, s = min(len(" ".join(a)), len(" ".join(b))), len(" ".join(a & b))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emipanel.functions import hash32
 from emipanel.operators import skew
-from emipanel.operators.skew import (attach_row, dense_ids, exact_median, exact_quantiles, first_per_key, join_null_safe, rank_in_group,
+from emipanel.operators.skew import (attach_row, dense_ids, exact_median, exact_quantiles, first_per_key, join_null_safe, lowest_by_hash, rank_in_group,
                                      smallest_mode)
 
 PROBS = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
@@ -104,3 +104,14 @@ def test_dense_ids_follow_the_sort(spark):
 def test_attach_row_adds_one_row_to_all(spark):
     df = spark.range(4)
     assert {r["m"] for r in attach_row(df, df.selectExpr("max(id) as m")).collect()} == {3}
+
+
+def test_lowest_by_hash_keeps_the_lowest_and_few_others(spark):
+    df = spark.range(20_000).selectExpr("id", "case when id < 19000 then 'hot' when id < 19990 then 'cold' end as g")
+    h = hash32(3, "id")
+    kept = lowest_by_hash(df, ["g"], h, 50).withColumn("h", h).toPandas()
+    everything = df.withColumn("h", h).toPandas()
+    for name, part in everything.groupby("g", dropna=False):
+        mine = kept[kept.g == name] if isinstance(name, str) else kept[kept.g.isna()]
+        assert set(part.nsmallest(50, "h").id) <= set(mine.id) and len(mine) <= 60
+    assert len(lowest_by_hash(df, [], h, 100).toPandas()) <= 110 and lowest_by_hash(df, [], h, 10**6).count() == 20_000

@@ -245,7 +245,7 @@ def sink_replace_groups(spark, sf):
     p = S.panel(spark, sf)
     base = p.select("city", "building_id", "year", "target")
     repl = p.where("region = 1 and year >= 1999").select("city", "building_id", "year", (-F.col("target")).alias("target"))
-    return sinks.replace_partitions(base, repl, "city")
+    return sinks.replace_partitions(base, repl, "city", ["city", "building_id", "year"])
 
 
 @query("sink_overwrite_partitions", f"""WITH {S.PANEL}
