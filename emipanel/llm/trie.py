@@ -153,7 +153,8 @@ def subtree_totals(tree: DataFrame, values: list[str], priority: Column | None =
     with one child, those whose priority is above both neighbours' in the chain are taken out: the child's edge now leads to
     the grandparent and carries what was skipped. All joins are by node, each of which occurs once on both sides.
     """
-    rank = F.struct((priority if priority is not None else F.lit(0)).alias("first"), F.xxhash64("node").alias("second"), F.col("node"))
+    # one number, the priority in its upper bits; neighbours that happen to be equal wait for a later round
+    rank = F.shiftleft((priority if priority is not None else F.lit(0)).cast("long"), 48) + F.shiftrightunsigned(F.xxhash64("node"), 16)
     edge = {v: f"edge_{v}" for v in values}
     state = stored(tree.select("node", "parent", F.col("children").cast("long").alias("children"), rank.alias("rank"), *values,
                                *[F.lit(0).cast(tree.schema[v].dataType).alias(edge[v]) for v in values], F.lit("active").alias("status"),
