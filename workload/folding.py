@@ -10,9 +10,11 @@ from workload.registry import ORACLES, query
 from workload.splitting import _KEY, _PAIRS
 from workload.stage import pick, r, sql_hash
 
-_FEATURES = [F.log1p("area"), F.col("n_orders").cast("double")]
-_TARGET = F.log1p("target")
-_HELD = F.pmod(hash32(7, "building_id"), F.lit(100)) < 15
+
+def _model():
+    """Features, target and the condition of validation rows."""
+    return [F.log1p("area"), F.col("n_orders").cast("double")], F.log1p("target"), F.pmod(hash32(7, "building_id"), F.lit(100)) < 15
+
 
 _ROWS = f"""{S.PANEL}, p AS (SELECT *, ln(1 + target) AS y, ln(1 + area) AS x1, n_orders::DOUBLE AS x2,
   {sql_hash(7, 'building_id')} % 100 < 15 AS held FROM panel)"""
@@ -36,13 +38,13 @@ def _twin(train: str, test: str, keys: str, least: int, before: str = "") -> str
 
 
 def _scored(folds, *keys):
-    out = X.fold_scores(folds, len(_FEATURES))
+    out = X.fold_scores(folds, 2)
     return out.select(*keys, "n_train", "n_val", "n_test", *[r(c, 6).alias(c) for c in ("rmse", "r2", "bias", "val_rmse")],
                       r(F.get("coef", F.lit(0)), 6).alias("slope_area"), r(F.get("coef", F.lit(1)), 6).alias("slope_orders"))
 
 
 def _moments(spark, sf, key):
-    return X.group_moments(S.panel(spark, sf), [key], _FEATURES, _TARGET, _HELD)
+    return X.group_moments(S.panel(spark, sf), [key], *_model())
 
 
 def _loo_twin(col: str, least: int, src: str = "p") -> str:
@@ -65,7 +67,7 @@ def fold_leave_one_type_out(spark, sf):
     ", w AS (SELECT * FROM (SELECT *, (['US', 'EU', 'APAC', 'Other', 'Other'])[region + 1] AS wr FROM p) WHERE wr <> 'Other')"))
 def fold_leave_region_out(spark, sf):
     x = S.panel(spark, sf).withColumn("wr", pick(F.col("region"), ["US", "EU", "APAC", "Other", "Other"])).where(F.col("wr") != "Other")
-    return _scored(X.leave_one_out_folds(X.group_moments(x, ["wr"], _FEATURES, _TARGET, _HELD), "wr", 2), "wr")
+    return _scored(X.leave_one_out_folds(X.group_moments(x, ["wr"], *_model()), "wr", 2), "wr")
 
 
 _PR = ", ".join(f"('{f}', {'NULL' if s is None else repr(s)}, '{g}')" for f, s, g in _PAIRS)
@@ -96,4 +98,4 @@ def split_transfer_rows(spark, sf):
 def fold_few_shot(spark, sf):
     panel = S.panel(spark, sf)
     roles = K.few_shot(panel, "city", "building_id", _KEY, ["NATION_1", "NATION_7", "NATION_20"], (10, 50))
-    return _scored(X.few_shot_folds(panel, roles, "city", _FEATURES, _TARGET, _HELD, 30), "city", F.col("k").cast("long").alias("k"))
+    return _scored(X.few_shot_folds(panel, roles, "city", *_model(), 30), "city", F.col("k").cast("long").alias("k"))
