@@ -34,51 +34,59 @@ def ingest_incremental(spark: SparkSession, source: str, schema, checkpoint: str
     return spark.read.schema(schema).parquet(sink)
 
 
-def _generation(spark: SparkSession, path: str, below: int | None = None) -> int:
-    """Newest complete generation (before ``below``), -1 when there is none."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    best = -1
-    if fs.exists(root):
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if name.startswith("gen=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                n = int(name[4:])
-                if below is None or n < below:
-                    best = max(best, n)
-    return best
-
-
-def current_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """Newest complete generation of an upserted table."""
-    gen = _generation(spark, path)
-    return spark.read.parquet(f"{path}/gen={gen}") if gen >= 0 else None
-
-
-def foreach_batch_upsert(path: str, keys, order=()):
-    """Batch function: previous table + increment, newest per key, written as a new generation.
-
-    The generation is named by the batch id, so a batch repeated after a failure starts from the
-    generation before it and rewrites the same one.
+def _ready(spark: SparkSession, work: str) -> int:
+    """Batch whose merged rows lie complete in ``work``, -1 before the first."""
+    spark.createDataFrame([], "batch_id bigint").write.mode("ignore").parquet(f"{work}/ready")
+    last = spark.read.schema("batch_id bigint").parquet(f"{work}/ready").agg(F.max("batch_id")).first()[0]
+    return -1 if last is None else last
+
+
+def current_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Rows of an upserted table, without its bucket column. With a schema a table that has no rows yet is empty."""
+    rows = spark.read.parquet(path) if schema is None else _stored_rows(spark, path, schema)
+    return rows.drop("__bucket")
+
+
+def _stored_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    empty = spark.createDataFrame([], schema).withColumn("__bucket", F.lit(0))
+    empty.write.partitionBy("__bucket").mode("ignore").parquet(path)  # makes the folder, adds nothing
+    return spark.read.schema(empty.schema).parquet(path)
+
+
+def foreach_batch_upsert(path: str, keys, order=(), work: str | None = None, buckets: int = 64):
+    """Batch function: replaces the rows of the increment's keys in a table laid out by a hash of the key.
+
+    Only the buckets that the increment touches are read and rewritten; files of all others stay as they are. The merged rows are
+    first written to ``work`` with a mark, then they take the buckets' place, so a batch repeated after a failure goes on from the
+    marked rows, even if it had lost a bucket half way. ``buckets`` fixes the layout: choose it so that one bucket suits one task,
+    and never change it for a table that has rows.
     """
+    work = work or f"{path}-work"
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        gen = _generation(spark, path, below=batch_id)
-        new = upsert_keep_last(batch.limit(0), batch, keys, order)
-        if gen >= 0:
-            new = upsert_keep_last(spark.read.parquet(f"{path}/gen={gen}"), batch, keys, order)
-        new.write.mode("overwrite").parquet(f"{path}/gen={batch_id}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        if _ready(spark, work) != batch_id:
+            rows = _stored_rows(spark, path, batch.schema)
+            touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+            old = rows.where(F.col("__bucket").isin(touched)).select(*batch.columns)
+            merged = upsert_keep_last(old, batch, keys, order).withColumn("__bucket", bucket)
+            merged.write.mode("overwrite").parquet(f"{work}/merged")
+            spark.range(batch_id, batch_id + 1).toDF("batch_id").write.mode("append").parquet(f"{work}/ready")
+        staged = spark.read.parquet(f"{work}/merged")
+        (staged.repartition("__bucket").write.partitionBy("__bucket").mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").parquet(path))
 
     return apply
 
 
 def upsert_stream(spark: SparkSession, source: str, schema, checkpoint: str, table: str, keys, order=(),
-                  fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
+                  fmt: str = "parquet", files_per_batch: int = 1000, buckets: int = 64) -> DataFrame:
     """Run all waiting files through the upsert and return the table."""
     stream = (spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch)
               .load(source))
-    query = (stream.writeStream.foreachBatch(foreach_batch_upsert(table, keys, order))
+    batch = foreach_batch_upsert(table, keys, order, f"{checkpoint}-work", buckets)
+    query = (stream.writeStream.foreachBatch(batch)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
-    return current_table(spark, table)
+    return current_table(spark, table, schema)

@@ -54,12 +54,16 @@ def incr_ingest(spark, sf):
 
 @query("incr_upsert", """SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
 def incr_upsert(spark, sf):
-    """Increments arrive in id order, so the last increment holds the newest rows; inside one, the largest id wins."""
-    path = scratch_dir(spark, "increments")
+    """Four increments in id order, landed one after another; most keys meet again, and the largest id wins."""
+    path, offsets, silver = (scratch_dir(spark, n) for n in ("increments", "offsets", "silver"))
     ev = t(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    ev.repartitionByRange(4, "event_id").write.parquet(path)
-    return O.upsert_stream(spark, path, ev.schema, scratch_dir(spark, "offsets"), scratch_dir(spark, "silver"),
-                           ["user_id", "event_type"], [-F.col("event_id")], files_per_batch=100)
+    lo, hi = ev.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.floor((F.col("event_id") - (lo or 0)) * 4 / ((hi or 0) - (lo or 0) + 1))
+    for i in range(4):
+        ev.where(part == i).write.mode("append").parquet(path)
+        out = O.upsert_stream(spark, path, ev.schema, offsets, silver, ["user_id", "event_type"], [-F.col("event_id")],
+                              files_per_batch=1_000_000, buckets=16)
+    return out
 
 
 @query("incr_resume_grid", f"""WITH {S.RESULTS}, g AS (SELECT DISTINCT feature_set, model FROM results),
