@@ -211,7 +211,8 @@ def sort_by_reference_model(spark, sf):
 
 # ---------------------------------------------------------------- reshape
 
-_YEARS = [1996, 1997, 1998, 1999]
+_YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]  # every year of the orders
+_FIRST, _LAST = _YEARS[0], _YEARS[-1]
 _WIDE = f"""{S.PANEL}, wide AS (SELECT building_id, city, property_type, {', '.join(f'max(target) FILTER (year = {y}) AS y{y}' for y in _YEARS)}
   FROM panel GROUP BY 1, 2, 3)"""
 _ALL = " AND ".join(f"y{y} IS NOT NULL" for y in _YEARS)
@@ -251,13 +252,12 @@ def reshape_aligned_dummies(spark, sf):
     return a.unionByName(b)
 
 
-@query("reshape_results_to_long", f"""WITH {S.RESULTS} SELECT model, seed, metric, city, round(value, 5) AS value FROM results WHERE city IN ('A', 'N')
-  AND feature_set = 'us_core'""")
+@query("reshape_results_to_long", f"""WITH {S.RESULTS} SELECT feature_set, model, seed, metric, city, round(value, 5) AS value FROM results""")
 def reshape_results_to_long(spark, sf):
-    x = S.results(spark, sf).where("feature_set = 'us_core' and city in ('A', 'N')")
-    wide = x.groupBy("model", "seed").agg(*[F.max(F.when((F.col("metric") == m) & (F.col("city") == c), F.col("value")))
-                                            .alias(f"{m}_{c}") for m in ("r2", "mae") for c in ("A", "N")])
-    return J.results_to_long(wide, ["model", "seed"]).withColumn("value", r("value", 5))
+    x = S.results(spark, sf)
+    wide = x.groupBy("feature_set", "model", "seed").agg(*[F.max(F.when((F.col("metric") == m) & (F.col("city") == c), F.col("value")))
+                                            .alias(f"{m}_{c}") for m in ("r2", "mae") for c in ("A", "N", "R")])
+    return J.results_to_long(wide, ["feature_set", "model", "seed"]).withColumn("value", r("value", 5))
 
 
 # ---------------------------------------------------------------- closed-form forecasts
@@ -328,20 +328,20 @@ def model_ols_trend(spark, sf):
 
 
 _LOGW = f"""{_WIDE}, lw AS (SELECT building_id, property_type, {', '.join(f'log10(y{y}) AS l{y}' for y in _YEARS)} FROM wide WHERE {_ALL}),
-  gr AS (SELECT *, (l1999 - l1996) / 3 AS g FROM lw), md AS (SELECT property_type, median(g) AS m FROM gr GROUP BY 1)"""
+  gr AS (SELECT *, (l{_LAST} - l{_FIRST}) / {_LAST - _FIRST} AS g FROM lw), md AS (SELECT property_type, median(g) AS m FROM gr GROUP BY 1)"""
 
 
 def _logwide(spark, sf):
     return _wide(spark, sf).withColumns({str(y): F.log10(f"`{y}`") for y in _YEARS})
 
 
-@query("model_sector_growth", f"""WITH {_LOGW} SELECT building_id, round(l1999 + 2 * m, 6) AS pred FROM gr JOIN md USING (property_type)""")
+@query("model_sector_growth", f"""WITH {_LOGW} SELECT building_id, round(l{_LAST} + 2 * m, 6) AS pred FROM gr JOIN md USING (property_type)""")
 def model_sector_growth(spark, sf):
     return M.sector_growth(_logwide(spark, sf), "property_type", _YEARS, 2).select("building_id", r("pred", 6).alias("pred"))
 
 
 @query("model_growth_baselines", f"""WITH {_LOGW} SELECT building_id, 0.0::DOUBLE AS zero_change, round(g, 6) AS avg_past_growth,
-  round(l1999 - l1998, 6) AS last_growth, round(m, 6) AS sector_median_growth FROM gr JOIN md USING (property_type)""")
+  round(l{_LAST} - l{_LAST - 1}, 6) AS last_growth, round(m, 6) AS sector_median_growth FROM gr JOIN md USING (property_type)""")
 def model_growth_baselines(spark, sf):
     out = M.growth_baselines(_logwide(spark, sf), "property_type", _YEARS)
     return out.select("building_id", *[r(c, 6).alias(c) for c in ("zero_change", "avg_past_growth", "last_growth", "sector_median_growth")])
@@ -361,9 +361,11 @@ def model_holt(spark, sf):
     return x.select(*_P, r(F.log1p(M.holt("h")), 6).alias("linear"), r(F.log1p(M.holt("h", damped=True)), 6).alias("damped"))
 
 
-@query("model_ar_differences", f"""WITH {_LOGW}, d AS (SELECT building_id, l1999 AS last, l1997 - l1996 AS a, l1998 - l1997 AS b, l1999 - l1998 AS c FROM lw)
-  SELECT building_id, round(coalesce(last + (a * b + b * c) / nullif(a * a + b * b, 0) * c, last), 6) AS pred,
-    nullif(a * a + b * b, 0) IS NULL AS fell_back FROM d""")
+@query("model_ar_differences", f"""WITH {_LOGW}, d AS (SELECT building_id, l{_LAST} AS last, l{_LAST} - l{_LAST - 1} AS step,
+    {' + '.join(f'(l{y} - l{y - 1}) * (l{y + 1} - l{y})' for y in _YEARS[1:-1])} AS cross_sum,
+    {' + '.join(f'(l{y} - l{y - 1}) * (l{y} - l{y - 1})' for y in _YEARS[1:-1])} AS square_sum FROM lw)
+  SELECT building_id, round(coalesce(last + cross_sum / nullif(square_sum, 0) * step, last), 6) AS pred,
+    nullif(square_sum, 0) IS NULL AS fell_back FROM d""")
 def model_ar_differences(spark, sf):
     pred, failed = M.ar_diff([f"`{y}`" for y in _YEARS])
     return _logwide(spark, sf).select("building_id", r(pred, 6).alias("pred"), failed.alias("fell_back"))

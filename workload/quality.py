@@ -36,15 +36,15 @@ def agg_intensity_ladder(spark, sf):
 @query("agg_ladder_over_ratio", f"""WITH {S.PAIRS}, g AS (SELECT 'type' AS level, p_type AS label, y, l_quantity FROM pairs WHERE year < 1999
     UNION ALL SELECT 'brand', p_brand, y, l_quantity FROM pairs WHERE year < 1999),
   f AS (SELECT level, label, sum(y) / sum(l_quantity) AS factor FROM g GROUP BY 1, 2),
-  c AS (SELECT 'type' AS level, p_type AS label, y, l_quantity FROM pairs WHERE year >= 2001
-    UNION ALL SELECT 'brand', p_brand, y, l_quantity FROM pairs WHERE year >= 2001)
+  c AS (SELECT 'type' AS level, p_type AS label, y, l_quantity FROM pairs WHERE year >= 1999
+    UNION ALL SELECT 'brand', p_brand, y, l_quantity FROM pairs WHERE year >= 1999)
   SELECT level, count(*) AS n, round(avg(factor * l_quantity), 4) AS mean_pred, round(avg(factor * l_quantity / y), 6) AS mean_over
   FROM c JOIN f USING (level, label) GROUP BY 1""")
 def agg_ladder_over_ratio(spark, sf):
     p = S.pairs(spark, sf)
     levels = {"type": "p_type", "brand": "p_brand"}
     ladder = G.intensity_ladder(p.where("year < 1999"), levels, "y", "l_quantity")
-    out = G.apply_ladder(ladder, p.where("year >= 2001").select("p_type", "p_brand", "y", "l_quantity"), levels, "y", "l_quantity")
+    out = G.apply_ladder(ladder, p.where("year >= 1999").select("p_type", "p_brand", "y", "l_quantity"), levels, "y", "l_quantity")
     return out.groupBy("level").agg(F.count(F.lit(1)).alias("n"), r(F.avg("pred_tco2e")).alias("mean_pred"),
                                     r(F.avg("over_ratio"), 6).alias("mean_over"))
 
@@ -153,11 +153,11 @@ def agg_annual_climate(spark, sf):
     return out.select("grid", "period", *[r(c, 6 if "ssrd" in c else 4).alias(c) for c in out.columns[2:]])
 
 
-@query("agg_seed_summary", f"""WITH {S.RESULTS} SELECT feature_set, model, metric, count(DISTINCT seed) AS n_seeds,
+@query("agg_seed_summary", f"""WITH {S.RESULTS} SELECT feature_set, model, city, metric, count(DISTINCT seed) AS n_seeds,
   array_to_string(list_sort(list_distinct(list(seed))), ',') AS seeds, count(value) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS std
-  FROM results WHERE city = 'A' GROUP BY 1, 2, 3""")
+  FROM results GROUP BY 1, 2, 3, 4""")
 def agg_seed_summary(spark, sf):
-    out = G.aggregate_seeds(S.results(spark, sf).where("city = 'A'"), ["feature_set", "model"])
+    out = G.aggregate_seeds(S.results(spark, sf), ["feature_set", "model", "city"])
     return out.withColumns({"mean": r("mean", 5), "std": r("std", 5)})
 
 

@@ -88,9 +88,9 @@ def eval_stratified(spark, sf):
     return _rounded(N.stratified_metrics(x, "y", "p", "p_brand", "kind", "p"), "stratum", "label", "n")
 
 
-# ---- bootstrap: the SQL twin draws the same Poisson weights from the same hashes, with few replicates
+# ---- bootstrap: the SQL twin draws the same Poisson weights from the same hashes
 
-_B = 10
+_B = 1000
 
 
 def _boot_sql(models: dict, n_boot: int = _B) -> str:
@@ -167,12 +167,12 @@ def eval_summary_filter(spark, sf):
     return out.select("model", "seed", "city", "metric", r("value", 5).alias("value"))
 
 
-@query("eval_evaluator_table", f"""WITH {S.RESULTS}, x AS (SELECT model, seed, metric, value, CASE city WHEN 'A' THEN 'val' WHEN 'N' THEN 'test' END AS split FROM results)
-  SELECT model, seed, {', '.join(f"round(max(value) FILTER (split = '{s}' AND metric = '{m}'), 5) AS {s}_{m}" for s in ('val', 'test') for m in ('mae', 'r2'))}
+@query("eval_evaluator_table", f"""WITH {S.RESULTS}, x AS (SELECT model, seed, metric, value, CASE city WHEN 'A' THEN 'val' WHEN 'N' THEN 'test' ELSE 'train' END AS split FROM results)
+  SELECT model, seed, {', '.join(f"round(max(value) FILTER (split = '{s}' AND metric = '{m}'), 5) AS {s}_{m}" for s in ('train', 'val', 'test') for m in ('mae', 'r2'))}
   FROM x GROUP BY 1, 2""")
 def eval_evaluator_table(spark, sf):
-    x = S.results(spark, sf).withColumn("split_type", F.when(F.col("city") == "A", "val").when(F.col("city") == "N", "test"))
-    out = N.evaluator_table(x, ["model", "seed"], names=("mae", "r2"))
+    x = S.results(spark, sf).withColumn("split_type", F.when(F.col("city") == "A", "val").when(F.col("city") == "N", "test").otherwise("train"))
+    out = N.evaluator_table(x, ["model", "seed"], splits=("train", "val", "test"), names=("mae", "r2"))
     return out.select("model", "seed", *[r(c, 5).alias(c) for c in out.columns[2:]])
 
 
@@ -190,21 +190,21 @@ def eval_flag_best(spark, sf):
     return N.flag_best(S.results(spark, sf), keys=["seed", "city"]).select("seed", "city", "metric", "model", "is_best")
 
 
-_HZ = "h AS (SELECT p_brand AS model, CAST(year - 1994 AS BIGINT) AS horizon, y, p FROM pairs WHERE year BETWEEN 1995 AND 1997)"
+_HZ = "h AS (SELECT p_brand AS model, CAST(year - 1994 AS BIGINT) AS horizon, y, p FROM pairs)"
 
 
 @query("eval_horizon_table", f"""WITH {S.PAIRS}, {_HZ}, s AS (SELECT model, horizon, {SCORES} FROM h GROUP BY 1, 2)
   SELECT model, count(DISTINCT horizon) AS n_horizons, {', '.join(f'round(avg({m}), {n}) AS avg_{m}' for m, n in _ROUND.items())} FROM s GROUP BY 1""")
 def eval_horizon_table(spark, sf):
-    x = S.pairs(spark, sf).where("year between 1995 and 1997").select(F.col("p_brand").alias("model"), (F.col("year") - 1994).alias("horizon"), "y", "p")
+    x = S.pairs(spark, sf).select(F.col("p_brand").alias("model"), (F.col("year") - 1994).alias("horizon"), "y", "p")
     out = N.horizon_table(N.all_metrics(x, ["model", "horizon"], "y", "p"))
     return out.select("model", "n_horizons", *[r(f"avg_{m}", n).alias(f"avg_{m}") for m, n in _ROUND.items()])
 
 
 @query("eval_domain_pivot", f"""WITH {S.RESULTS} SELECT model, {', '.join(f"round(avg(value) FILTER (city = '{d}' AND metric = '{m}'), 5) AS {d}_{m}"
-  for d in ('A', 'N') for m in ('r2', 'mae'))} FROM results GROUP BY 1""")
+  for d in ('A', 'N', 'R') for m in ('r2', 'mae'))} FROM results GROUP BY 1""")
 def eval_domain_pivot(spark, sf):
-    out = N.domain_pivot(S.results(spark, sf), ["A", "N"], ["r2", "mae"], domain="city")
+    out = N.domain_pivot(S.results(spark, sf), ["A", "N", "R"], ["r2", "mae"], domain="city")
     return out.select("model", *[r(c, 5).alias(c) for c in out.columns[1:]])
 
 
