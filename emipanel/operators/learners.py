@@ -38,13 +38,19 @@ def persisted(*frames: DataFrame):
             f.unpersist()
 
 
+#: Fewest partitions of training rows.
+TRAINING_PARTS = 8
+
+
 def sized(df: DataFrame, n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
-    """Merge partitions (no shuffle) to about 64 MB, but not below one per core: iterative training runs
-    many passes, and each pays for every task."""
+    """Training rows in partitions of about 64 MB, dealt and ordered by a hash of the row: iterative training runs many passes,
+    and each pays for every task. Which rows a tree draws depends on their partition and place, so both follow from the rows
+    alone, not from the cluster or from how the input was split."""
     n_rows = df.count() if n_rows is None else n_rows
     n_cols = len(df.columns) if n_cols is None else n_cols
     wanted = -(-n_rows * n_cols * 8 // (64 << 20))
-    return df.coalesce(int(max(wanted, df.sparkSession.sparkContext.defaultParallelism)))
+    row = F.xxhash64(*df.columns)
+    return df.repartition(int(max(wanted, TRAINING_PARTS)), row).sortWithinPartitions(row)
 
 
 class Fitted:
@@ -249,25 +255,33 @@ def residual_stage(train: DataFrame, test: DataFrame, base_cols, extra_cols, y:
     return out.withColumn(pred, value).drop("__base", "__corr")
 
 
-def shuffle_column(df: DataFrame, col: str, key, seed) -> DataFrame:
-    """A column permuted over the rows: row of hash rank r gets the value of rank r under another hash."""
-    a = rank_in_group(df, [], hash32(f"{seed}a", *key), key, "__ra", "__na").drop("__na")
-    b = rank_in_group(df.select(*key, col), [], hash32(f"{seed}b", *key), key, "__ra", "__nb")
-    return a.drop(col).join(b.select("__ra", col), "__ra").drop("__ra")
+def rotation(feature: str, repeat: int) -> int:
+    import hashlib
+
+    return int(hashlib.md5(f"{feature}|{repeat}".encode()).hexdigest()[:8], 16)
+
 
+def permutation_importance(fitted: Fitted, df: DataFrame, key, y: str, cols=None, repeats: int = 5) -> DataFrame:
+    """Mean and deviation of the R2 lost when one feature is shuffled.
 
-def permutation_importance(fitted: Fitted, df: DataFrame, key, y: str, cols=None, repeats: int = 3) -> DataFrame:
-    """Mean and deviation of the R2 lost when one feature is shuffled."""
+    Rows are ranked once, by a hash of their key. A repeat turns that order by an offset of its own (1 to n - 1): every row gets the
+    feature of the row so many ranks further on, a random one as the order is random. All features and repeats are one join
+    on the rank and one prediction.
+    """
     from emipanel.operators.metrics import r2
 
     cols = list(cols or fitted.cols)
-    rows = df.where(F.col(y).isNotNull())
+    need = [c for c in dict.fromkeys([*key, y, *fitted.cols])]
+    rows = df.where(F.col(y).isNotNull()).select(*need)
     base = fitted.predict(rows).agg(r2(y, "pred").alias("r2_base"))
-    out = None
-    for c in cols:
-        for rep in range(repeats):
-            s = (fitted.predict(shuffle_column(rows, c, key, f"{c}{rep}")).agg(r2(y, "pred").alias("r2"))
-                 .withColumn("feature", F.lit(c)).withColumn("repeat", F.lit(rep)))
-            out = s if out is None else out.unionByName(s)
+    ranked = rank_in_group(rows, [], hash32("permute", *key), key, "__r", "__n")
+    moved = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("repeat"), F.lit(rotation(c, i)).alias("__turn"),
+                                         F.col(c).cast("double").alias("__value")) for c in cols for i in range(repeats)]))
+    offset = 1 + F.col("__turn") % F.greatest(F.col("__n") - 1, F.lit(1))
+    values = (ranked.select("__r", "__n", moved.alias("__m")).select("__r", "__n", "__m.*")
+              .select((F.pmod(F.col("__r") - 1 - offset, F.col("__n")) + 1).alias("__r"), "feature", "repeat", "__value"))
+    joined = values.join(ranked.select("__r", y, *fitted.cols), "__r").withColumns(
+        {c: F.when(F.col("feature") == c, F.col("__value")).otherwise(F.col(c)) for c in cols})
+    out = fitted.predict(joined.select("feature", "repeat", y, *fitted.cols)).groupBy("feature", "repeat").agg(r2(y, "pred").alias("r2"))
     drops = attach_row(out, base).withColumn("drop", F.col("r2_base") - F.col("r2"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("r2_drop_mean"), F.stddev_pop("drop").alias("r2_drop_std"))

@@ -88,3 +88,40 @@ def test_tiers():
     assert features.forecast_features("core_all_cities")[-1] == "cdd_lag3"
     assert "annual_rh_mean" in features.FEATURE_SETS["core_all_cities_climate_plus"]
     assert features.cities_of("us_core")[0] == "nyc" and features.cities_of("core_all_cities") is None
+
+
+def test_forests_do_not_depend_on_how_rows_are_split(spark):
+    rows = spark.range(600).selectExpr("id", "cast(id % 37 as double) a", "cast(id % 11 as double) b", "cast(id % 37 * 3 + id % 11 as double) y")
+    test = rows.where("id % 5 = 0")
+
+    def predicted(n):
+        fitted = learners.random_forest(rows.repartition(n), ["a", "b"], "y", numTrees=5, maxDepth=4)
+        return sorted((r["id"], r["pred"]) for r in fitted.predict(test).select("id", "pred").collect())
+
+    assert predicted(3) == predicted(13)
+
+
+def test_permutation_importance_against_rotated_ranks(spark):
+    import hashlib
+
+    import numpy as np
+
+    rows = [(i, float(i * 7 % 31), float(i * 5 % 13), float(i * 7 % 31 + 2 * (i * 5 % 13))) for i in range(1, 90)]
+    df = spark.createDataFrame(rows + [(90, 1.0, 1.0, None)], "id long, a double, b double, y double")
+    fitted = learners.ols(df, ["a", "b"], "y")
+    got = {r["feature"]: (r["r2_drop_mean"], r["r2_drop_std"]) for r in learners.permutation_importance(fitted, df, ["id"], "y").collect()}
+    order = sorted(rows, key=lambda r: (int(hashlib.md5(f"permute|{r[0]}".encode()).hexdigest()[:8], 16), r[0]))
+    n, frames = len(order), []
+    for at, name in ((1, "a"), (2, "b")):
+        for rep in range(5):
+            k = 1 + learners.rotation(name, rep) % (n - 1)
+            for i, r in enumerate(order):
+                x = list(r)
+                x[at] = order[(i + k) % n][at]
+                frames.append((f"{name}{rep}", *x[1:]))
+    frames += [("base", *r[1:]) for r in rows]
+    pred = fitted.predict(spark.createDataFrame(frames, "part string, a double, b double, y double")).toPandas()
+    r2 = {part: 1 - ((g.y - g.pred) ** 2).sum() / ((g.y - g.y.mean()) ** 2).sum() for part, g in pred.groupby("part")}
+    for name in "ab":
+        drops = [r2["base"] - r2[f"{name}{i}"] for i in range(5)]
+        assert np.allclose(got[name], (np.mean(drops), np.std(drops)))

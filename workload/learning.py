@@ -195,30 +195,30 @@ def learn_linear_family(spark, sf):
 @query("learn_random_forest")
 def learn_random_forest(spark, sf):
     train, _, test = _parts(spark, sf)
-    return _scored(M.random_forest(train, _FEATS, "target", numTrees=20, maxDepth=6).predict(test), "random_forest")
+    return _scored(M.random_forest(train, _FEATS, "target").predict(test), "random_forest")
 
 
 @query("learn_boosted_trees")
 def learn_boosted_trees(spark, sf):
     train, val, test = _parts(spark, sf)
-    return _scored(M.gbt(train, _FEATS, "target", val=val, maxIter=10, maxDepth=4).predict(test), "gbt")
+    return _scored(M.gbt(train, _FEATS, "target", val=val).predict(test), "gbt")
 
 
 @query("learn_classify_then_regress")
 def learn_classify_then_regress(spark, sf):
     train, _, test = _parts(spark, sf)
-    params = {"numTrees": 10, "maxDepth": 5}
-    a = M.classify_then_regress(train, test, _FEATS, "property_type", "target", params=params)
-    b = M.classify_then_regress(train, test, _FEATS, "property_type", "target", oracle=True, params=params)
+    a = M.classify_then_regress(train, test, _FEATS, "property_type", "target")
+    b = M.classify_then_regress(train, test, _FEATS, "property_type", "target", oracle=True)
     return _scored(a, "predicted_sector").unionByName(_scored(b, "true_sector"))
 
 
 _R4 = ", ".join(f"round({m}, 4) AS {m}" for m in METRICS)
 
 
-def line_sql(name: str, x: str, y: str, train: str, rows: str, src: str = "fr") -> str:
-    """Least squares of log1p(y) on one feature, clipped to [0, 2 x largest training target]: (rows..., p)."""
-    return f"""{name}_k AS (SELECT regr_slope(ln(1 + {y}), {x}) AS b, regr_intercept(ln(1 + {y}), {x}) AS a, max({y}) AS top FROM {src} WHERE {train}
+def line_sql(name: str, x: str, y: str, train: str, rows: str, src: str = "fr", alpha: float = 0.0) -> str:
+    """Least squares (ridge) of log1p(y) on one standardised feature, clipped to [0, 2 x largest training target]: (rows..., p)."""
+    slope = f"regr_slope(ln(1 + {y}), {x})" + (f" * count(*) / (count(*) + {alpha}::DOUBLE)" if alpha else "")
+    return f"""{name}_k AS (SELECT {slope} AS b, avg(ln(1 + {y})) - {slope} * avg({x}) AS a, max({y}) AS top FROM {src} WHERE {train}
     AND {y} IS NOT NULL), {name} AS (SELECT {src}.*, least(greatest(exp(a + b * {x}) - 1, 0), 2 * top) AS p FROM {src}, {name}_k WHERE {rows})"""
 
 
@@ -244,7 +244,7 @@ def learn_multi_horizon(spark, sf):
 @query("learn_random_search")
 def learn_random_search(spark, sf):
     train, val, test = _parts(spark, sf)
-    trials, _, _ = M.random_search(M.ridge, {"alpha": [0.1, 1.0, 10.0, 100.0]}, 3, train, val, test, _FEATS, "target")
+    trials, _, _ = M.random_search(M.ridge, {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]}, 12, train, val, test, _FEATS, "target")
     return trials.select(F.col("trial").cast("long").alias("trial"), "config", r("score").alias("score"), "is_best")
 
 
@@ -258,51 +258,53 @@ def learn_residual_stage(spark, sf):
     return _scored(M.residual_stage(train, test, ["area"], ["lag1"], "target", M.ols, M.ols), "residual")
 
 
-def _shuffled_sql(feature: str, rep: int) -> str:
-    ra, rb = (sql_hash(f"{feature}{rep}{side}", "building_id", "year") for side in "ab")
-    return f"""SELECT '{feature}' AS feature, {rep} AS rep, x.target AS y, least(greatest(exp(a + b * v.lag1) - 1, 0), 2 * top) AS p FROM
-    (SELECT *, row_number() OVER (ORDER BY {ra}, building_id, year) AS rk FROM te) x JOIN
-    (SELECT lag1, row_number() OVER (ORDER BY {rb}, building_id, year) AS rk FROM te) v USING (rk), o_k"""
+_TURNS = ", ".join(f"('{c}', {i}, {M.rotation(c, i)}::BIGINT)" for c in ("lag1", "area") for i in range(5))
 
 
 _R2 = ("CASE WHEN var_pop(y) = 0 THEN CASE WHEN sum((y - p) * (y - p)) = 0 THEN 1.0 ELSE 0.0 END "
        "ELSE 1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0) END")
 
 
-@query("learn_permutation_importance", f"""WITH {_FRAME}, te AS (SELECT * FROM fr WHERE split = 'test' AND lag1 IS NOT NULL),
-  {line_sql('o', 'lag1', 'target', "split = 'train' AND lag1 IS NOT NULL", "split = 'test' AND lag1 IS NOT NULL")},
-  base AS (SELECT {_R2} AS r0 FROM (SELECT target AS y, p FROM o)),
-  sh AS ({' UNION ALL '.join(_shuffled_sql('lag1', i) for i in range(3))}),
+@query("learn_permutation_importance", f"""WITH {_FRAME}, te AS (SELECT *, row_number() OVER (ORDER BY {sql_hash('permute', 'building_id', 'year')},
+      building_id, year) AS rk, count(*) OVER () AS n FROM fr WHERE split = 'test' AND lag1 IS NOT NULL AND target IS NOT NULL),
+  m AS (SELECT var_pop(lag1) AS s11, var_pop(area) AS s22, covar_pop(lag1, area) AS s12, covar_pop(lag1, l) AS s1, covar_pop(area, l) AS s2,
+    avg(lag1) AS m1, avg(area) AS m2, avg(l) AS ml, max(target) AS top FROM (SELECT *, ln(1 + target) AS l FROM fr WHERE split = 'train'
+    AND lag1 IS NOT NULL AND target IS NOT NULL)),
+  k AS (SELECT (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) AS b1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) AS b2, m1, m2, ml, top FROM m),
+  base AS (SELECT {_R2} AS r0 FROM (SELECT target AS y, least(greatest(exp(ml + b1 * (lag1 - m1) + b2 * (area - m2)) - 1, 0), 2 * top) AS p FROM te, k)),
+  turns(feature, rep, turn) AS (VALUES {_TURNS}),
+  sh AS (SELECT feature, rep, x.target AS y, least(greatest(exp(ml + b1 * ((CASE feature WHEN 'lag1' THEN v.lag1 ELSE x.lag1 END) - m1)
+      + b2 * ((CASE feature WHEN 'area' THEN v.area ELSE x.area END) - m2)) - 1, 0), 2 * top) AS p
+    FROM te x, turns, te v, k WHERE v.rk = (x.rk - 1 + 1 + turn % greatest(x.n - 1, 1)) % x.n + 1),
   d AS (SELECT feature, rep, (SELECT r0 FROM base) - ({_R2}) AS d FROM sh GROUP BY 1, 2)
   SELECT feature, round(avg(d), 5) AS r2_drop_mean, round(stddev_pop(d), 5) AS r2_drop_std FROM d GROUP BY 1""")
 def learn_permutation_importance(spark, sf):
     train, _, test = _parts(spark, sf)
-    out = M.permutation_importance(M.ols(train, ["lag1"], "target"), test, list(_P), "target", repeats=3)
+    out = M.permutation_importance(M.ols(train, ["lag1", "area"], "target"), test, list(_P), "target")
     return out.select("feature", r("r2_drop_mean", 5).alias("r2_drop_mean"), r("r2_drop_std", 5).alias("r2_drop_std"))
 
 
-_CELLS = {("history", "ols"): "lag1", ("area", "ols"): "area"}
+_CELLS = {("history", "ols"): "lag1", ("area", "ols"): "area", ("history", "ridge"): "lag1", ("area", "ridge"): "area"}
 
 
 def _grid_sql() -> str:
-    made = ", ".join(line_sql(f"g{i}", x, "target", "split = 'train' AND lag1 IS NOT NULL", "split = 'test' AND lag1 IS NOT NULL")
-                     for i, x in enumerate(_CELLS.values()))
-    rows = " UNION ALL ".join(f"SELECT '{t}' AS feature_set, city, target AS y, p FROM g{i}" for i, (t, _) in enumerate(_CELLS))
-    unp = " UNION ALL ".join(f"SELECT feature_set, scope, scope_value, '{m}' AS metric, {m} AS value FROM w" for m in METRICS)
+    made = ", ".join(line_sql(f"g{i}", x, "target", "split = 'train' AND lag1 IS NOT NULL", "split = 'test' AND lag1 IS NOT NULL",
+                              alpha=M.RIDGE_ALPHA if m == "ridge" else 0.0) for i, ((_, m), x) in enumerate(_CELLS.items()))
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS feature_set, '{m}' AS model, city, target AS y, p FROM g{i}" for i, (t, m) in enumerate(_CELLS))
+    unp = " UNION ALL ".join(f"SELECT feature_set, model, scope, scope_value, '{m}' AS metric, {m} AS value FROM w" for m in METRICS)
     avgs = ", ".join(f"avg({m})" for m in METRICS)
     return f"""WITH {_FRAME}, {made}, rows_in AS ({rows}),
-  c AS (SELECT feature_set, city, count(*) AS n, {SCORES} FROM rows_in GROUP BY 1, 2),
-  a AS (SELECT feature_set, {SCORES} FROM rows_in GROUP BY 1),
-  w AS (SELECT feature_set, 'city' AS scope, city AS scope_value, {', '.join(METRICS)} FROM c
-    UNION ALL SELECT feature_set, 'overall', 'all', {', '.join(METRICS)} FROM a
-    UNION ALL SELECT feature_set, 'macro', 'all', {avgs} FROM c WHERE n >= 5 GROUP BY 1), u AS ({unp})
-  SELECT 'a' AS task, feature_set, 'ols' AS model, CAST(42 AS BIGINT) AS seed, 'grouped' AS split_type, scope, scope_value, metric,
+  c AS (SELECT feature_set, model, city, count(*) AS n, {SCORES} FROM rows_in GROUP BY 1, 2, 3),
+  a AS (SELECT feature_set, model, {SCORES} FROM rows_in GROUP BY 1, 2),
+  w AS (SELECT feature_set, model, 'city' AS scope, city AS scope_value, {', '.join(METRICS)} FROM c
+    UNION ALL SELECT feature_set, model, 'overall', 'all', {', '.join(METRICS)} FROM a
+    UNION ALL SELECT feature_set, model, 'macro', 'all', {avgs} FROM c WHERE n >= 5 GROUP BY 1, 2), u AS ({unp})
+  SELECT 'a' AS task, feature_set, model, CAST(42 AS BIGINT) AS seed, 'grouped' AS split_type, scope, scope_value, metric,
     round(value, 4) AS value FROM u"""
 
 
 @query("learn_grid", _grid_sql())
 def learn_grid(spark, sf):
     train, _, test = _parts(spark, sf)
-    out = run_grid({"history": ["lag1"], "area": ["area"]}, {"ols": ("ols", {}), "ridge": ("ridge", {})}, train, test, "target", "city",
-                   done={("history", "ridge"), ("area", "ridge")})
+    out = run_grid({"history": ["lag1"], "area": ["area"]}, {"ols": ("ols", {}), "ridge": ("ridge", {})}, train, test, "target", "city")
     return out.withColumn("value", r("value"))
