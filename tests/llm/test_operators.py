@@ -273,6 +273,91 @@ def test_urls(spark):
     assert urls.judge(df.filter("false")).count() == 0
 
 
+def plain_verdicts(pages, rules=urls.RULES):
+    """Verdicts and scores of (page_id, url, html), by plain counting."""
+    import math
+    import re
+    from collections import Counter
+
+    words = Counter(w for _, _, html in pages if html
+                    for w in re.findall("[a-z]+", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", html).lower()) if len(w) <= 63)
+    total = sum(words.values())
+    logs = {w: math.log(n / total) for w, n in words.items()}
+    floor = min(logs.values()) - 2
+
+    def best(name):
+        found = [(0.0, [])]
+        for end in range(1, len(name) + 1):
+            found.append(max(((found[i][0] + logs.get(name[i:end], floor - 3 * (end - i)), found[i][1] + [name[i:end]]) for i in range(max(0, end - 63), end)),
+                             key=lambda x: x[0]))
+        return found[-1][1]
+
+    def parts(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        return host, re.match(r"[^?#]*", rest[len(host):])[0]
+
+    def tokens(host, path):
+        out = []
+        for p in re.findall("[a-z]+|[0-9]+", ".".join(host.split(".")[:-1] or [host])):
+            out += ["h:" + w for w in (best(p) if p[0].isalpha() else "0")]
+        return out + ["p:" + (p if p[0].isalpha() else "0") for p in re.findall("[a-z]+|[0-9]+", path.lower())]
+
+    def ruled(host, path):
+        fits = [(len(r), v) for r, v in rules for name, start in [r.split("/", 1)]
+                if (host == name or host.endswith("." + name)) and path.startswith("/" + start)]
+        return max(fits)[1] if fits else None
+
+    count, docs = {"block": Counter(), "allow": Counter()}, Counter()
+    for _, url, _ in pages:
+        if v := ruled(*parts(url)):
+            docs[v] += 1
+            count[v].update(tokens(*parts(url)))
+    known = set(count["block"]) | set(count["allow"])
+    norm = {v: math.log(sum(count[v].values()) + len(known) + 1) for v in count}
+    out = {}
+    for i, url, _ in pages:
+        verdict, score = ruled(*parts(url)), None
+        if verdict is None:
+            one = {v: math.log(docs[v] + 1) + sum(math.log(count[v][t] + 1) - norm[v] for t in tokens(*parts(url))) for v in count}
+            score = round(one["block"] - one["allow"], 6)
+            verdict = "block" if score > 0 else "allow"
+        out[i] = (verdict, score)
+    return out
+
+
+def test_urls_against_plain_counting(spark):
+    rng = np.random.default_rng(8)
+    words = ["free", "bets", "news", "daily", "cat", "casino", "win", "x" * 70, "e"]
+
+    def name():
+        return "".join(rng.choice(words[:7], rng.integers(1, 4)))
+
+    pages = []
+    for i in range(160):
+        host = f"{name()}{rng.integers(0, 9) or ''}.{name()}.{rng.choice(['com', 'net', 'org', 'de'])}"
+        path = "/" + "/".join(rng.choice(["es", "fr", "en", "A7", name(), "win"], rng.integers(0, 4)))
+        html = f"<p title='a>b'>{' '.join(rng.choice(words, 12))}</p><SCRIPT>cat win</Script ><style>e{'</style>' if i % 9 else ''} <script bets"
+        pages.append((i, f"http://{host}{path}?q=1", None if i % 17 == 0 else html))
+    pages += [(200, "http://example.com/en/", ""), (201, None, "cat"), (202, "x", "<"), (203, "http://LOCALHOST", ">"), (203, "http://LOCALHOST", ">"),
+              (204, "http://" + "qz" * 500 + ".org/" + "cat/" * 3000, None), (205, "http://.org\n", "<b"), (None, "http://a.b.org/1", "bets")]
+    df = spark.createDataFrame([(*p, "z", 1) for p in pages], "page_id long, url string, html string, token string, n int")
+    got = urls.judge(df).collect()
+    assert len(got) == len(pages)
+    assert {r.page_id: (r.verdict, None if r.score is None else round(r.score, 6)) for r in got} == plain_verdicts(pages)
+    assert {r.verdict for r in got if r.score is not None} == {"block", "allow"}
+
+
+def test_text_outside_tags_is_one_pass():
+    import time
+
+    start = time.time()
+    for piece in (b"<script a ", b"<style>x</script", b"<", b"<script></script "):
+        urls.outside_tags(piece * 40_000)
+    assert time.time() - start < 5
+    assert urls.outside_tags(b"a<B>c</b>D<script>e</script\n>f<").split() == [b"a", b"c", b"d", b"f", b"<"]
+
+
 def vectors(seed=2):
     rng = np.random.default_rng(seed)
     rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(300)]
