@@ -1,8 +1,9 @@
 """Language identification with language-bitmask n-gram filters.
 
 A bit-sliced Bloom filter holds the n-grams of all languages at once: each of its cells is a bitmask with a bit per language, and
-the AND of an n-gram's cells is the set of languages that contain it. A text's masks are counted, each language's popcount is
-corrected for the false positives that its filling implies, and the highest corrected share decides.
+the AND of an n-gram's cells is the set of all languages that contain it, however rarely. A second set of bits holds those of them
+in which it is common, relative to the others. In either set an n-gram of m languages counts 1 / m for each of them, so what many share
+decides little; each language's count is corrected for the false positives that its filling implies, and the highest sum decides.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from emipanel.llm.common import keyed_text, mix64, pieces, rows
 #: Bytes per n-gram.
 SIZES = (3, 5)
 #: Cells of the filter (a power of two) and probes per n-gram.
-CELLS, PROBES = 1 << 21, 2
+CELLS, PROBES = 1 << 23, 2
 #: Most documents per language that the filters are learned from, drawn by a hash of the key.
 SAMPLE = 3000
-#: An n-gram belongs to a language if its share of the language's n-grams is at least this part of its highest share.
+#: An n-gram is common in a language if its share of the language's n-grams is at least this part of its highest share.
 RELATIVE = 0.15
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
+_ONES = np.array([bin(m).count("1") for m in range(256)])
 _BLANK = bytes(32 if c < 33 or chr(c) in "0123456789.,;:!?%&$#*|\"()[]{}+=/_-@<>" and c < 128 else c for c in range(256))
 
 
@@ -53,7 +55,7 @@ def probes(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
 
 
 class Filters:
-    """Languages, and per plane of eight languages the filter's cells as bytes."""
+    """Languages, and per plane of eight languages the filter's cells as bytes: planes of all n-grams, then those of the common ones."""
 
     def __init__(self, languages: list[str], planes: list[np.ndarray], common: str | None):
         self.languages, self.planes, self.common = languages, planes, common
@@ -63,15 +65,21 @@ class Filters:
         if text is None or not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0
         at = probes(grams(text), len(self.planes[0]))
-        total, shares = len(at[0]), []
-        for plane, false in zip(self.planes, self.false):
-            mask = plane[at[0]]
-            for more in at[1:]:
-                mask = mask & plane[more]
-            by_mask = np.bincount(mask, minlength=256)
-            hits = np.array([by_mask[(np.arange(256) >> k) & 1 == 1].sum() for k in range(8)])
-            shares.append(np.maximum((hits - total * false) / (1 - np.minimum(false, 0.999)), 0.0))
-        share = np.concatenate(shares)[:len(self.languages)]
+        share, half = 0.0, len(self.planes) // 2
+        for level in (slice(0, half), slice(half, None)):
+            masks = []
+            for plane in self.planes[level]:
+                mask = plane[at[0]]
+                for more in at[1:]:
+                    mask = mask & plane[more]
+                masks.append(mask)
+            weight = 1.0 / np.maximum(sum(_ONES[m] for m in masks), 1)
+            total, shares = weight.sum(), []
+            for mask, false in zip(masks, self.false[level]):
+                by_mask = np.bincount(mask, weights=weight, minlength=256)
+                hits = np.array([by_mask[(np.arange(256) >> k) & 1 == 1].sum() for k in range(8)])
+                shares.append(np.maximum((hits - total * false) / (1 - np.minimum(false, 0.999)), 0.0))
+            share = share + np.concatenate(shares)[:len(self.languages)]
         if share.max() <= 0:
             return self.common, 0.0
         best = int(share.argmax())  # of equal ones the first by code point
@@ -88,7 +96,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return Filters([], [np.zeros(cells, np.uint8)], None)
+        return Filters([], [np.zeros(cells, np.uint8)] * 2, None)
     languages = sorted(counts)
     rates = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(int(min(1.0, sample / counts[lang]) * (1 << 30))))])
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 30))
@@ -118,12 +126,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     size = 0
         yield from flush()
 
-    counted = texts.mapInArrow(run, "gram bigint, lang int, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")).filter("n >= 3")
-    # shares per language, then the languages of each n-gram; bits are OR-ed per cell and come back one row per plane block
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = counted.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
-    top = share.groupBy("gram").agg(F.max("share").alias("top"))
-    kept = share.join(top, "gram").filter(F.col("share") >= F.col("top") * RELATIVE).select("gram", "lang")
+    counted = texts.mapInArrow(run, "gram bigint, lang int, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    n_planes = -(-len(languages) // 8)
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))  # one row per language
+    share = counted.join(F.broadcast(totals), "lang").select("gram", F.struct("lang", (F.col("n") / F.col("total")).alias("share")).alias("of"))
+    of_gram = share.groupBy("gram").agg(F.collect_list("of").alias("of"), F.max("of.share").alias("top"))  # a row per language at most
+    common = F.expr(f"transform(filter(of, x -> x.share >= top * {RELATIVE}D), x -> x.lang + {8 * n_planes})")
+    kept = of_gram.select("gram", F.explode(F.concat("of.lang", common)).alias("lang"))
+    # bits are OR-ed per cell and come back one row per plane block
     block = 1 << 16
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +151,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     slices = (kept.mapInArrow(spread, "cell bigint, lang int").distinct()
               .withColumn("plane", F.floor(F.col("lang") / 8).cast("int")).withColumn("block", F.floor(F.col("cell") / block).cast("int"))
               .groupBy("plane", "block").applyInPandas(fill, "plane int, block int, bits binary").collect())
-    planes = [np.zeros(cells, np.uint8) for _ in range(-(-len(languages) // 8))]
+    planes = [np.zeros(cells, np.uint8) for _ in range(2 * n_planes)]
     for r in slices:
         planes[r["plane"]][r["block"] * block:(r["block"] + 1) * block] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return Filters(languages, planes, max(languages, key=lambda x: (counts[x], x)))

@@ -248,6 +248,23 @@ def test_language(spark):
     assert nothing.decide(b"abc") == ("und", 0.0)
 
 
+def test_language_filters_hold_every_ngram(spark):
+    texts = [("en", "the quick brown fox"), ("de", "der schnelle fuchs"), ("en", "fox"), *[(f"l{i}", f"word{'abcdefgh'[i]} qz{'hgfedcba'[i]}q") for i in range(8)]]
+    filters = langid.learn(spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string"))
+    assert len(filters.planes) == 4 and len(filters.languages) == 10  # two planes of all n-grams, two of the common ones
+    holds: dict[int, set[str]] = {}
+    for lang, t in texts:
+        for g in langid.grams(t.encode()).tolist():
+            holds.setdefault(g, set()).add(lang)
+    at = langid.probes(np.array(list(holds), np.uint64), len(filters.planes[0]))
+    for k, lang in enumerate(filters.languages):
+        found = [bool((filters.planes[k // 8][a] & filters.planes[k // 8][b]) >> (k % 8) & 1) for a, b in zip(*at)]
+        assert all(f for f, langs in zip(found, holds.values()) if lang in langs)  # a Bloom filter forgets nothing
+        assert sum(f for f, langs in zip(found, holds.values()) if lang not in langs) <= 1
+    assert [filters.decide(t.encode())[0] for _, t in texts] == [lang for lang, _ in texts]
+    assert filters.decide(b"\xe7\x9a\x84")[1] == 0.0
+
+
 def test_quality(spark):
     rng = random.Random(9)
     good, bad = ["the", "of", "river", "Stone"], ["BUY!!", "x%%%", "|"]
