@@ -165,9 +165,10 @@ def subtree_totals(tree: DataFrame, values: list[str], priority: Column | None =
         given = active.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(
             *[F.coalesce(F.sum(F.when(leaf, F.col(v) + F.col(edge[v]))), F.lit(0)).alias(f"given_{v}") for v in values],
             F.count_if(~leaf).alias("rest"), F.max(F.when(~leaf, F.col("node"))).alias("only"))
-        inner = active.where(~leaf).join(given, "node").select(
+        # what the joins below read several times is written first: nested, they would plan every join before them twice over
+        inner = stored(active.where(~leaf).join(given, "node").select(
             "node", "parent", F.col("rest").alias("children"), "rank", *[(F.col(v) + F.col(f"given_{v}")).alias(v) for v in values],
-            *edge.values(), F.col("only").alias("kid"), ((F.col("rest") == 1) & F.col("parent").isNotNull()).alias("unary"))
+            *edge.values(), F.col("only").alias("kid"), ((F.col("rest") == 1) & F.col("parent").isNotNull()).alias("unary")), "inner")
         down = inner.filter("unary").select(
             F.col("kid").alias("node"), F.col("rank").alias("rank_above"), F.col("parent").alias("grandparent"),
             *[(F.col(v) + F.col(edge[v])).alias(f"skipped_{v}") for v in values])
@@ -176,7 +177,7 @@ def subtree_totals(tree: DataFrame, values: list[str], priority: Column | None =
             F.col("parent").alias("node"), F.when(F.col("unary"), F.col("rank")).alias("rank_below"), *[F.col(edge[v]).alias(f"below_{v}") for v in values])
         told = told.join(up, "node", "left")
         above_both = F.coalesce(F.col("rank") > F.col("rank_above"), F.lit(True)) & F.coalesce(F.col("rank") > F.col("rank_below"), F.lit(True))
-        told = told.withColumn("out", F.col("unary") & above_both)
+        told = stored(told.withColumn("out", F.col("unary") & above_both), "told")
         gone = told.filter("out").select(F.col("kid").alias("node"), F.lit(True).alias("bridged"))
         told = told.join(gone, "node", "left").withColumn("bridged", F.coalesce("bridged", F.lit(False)))
         next_state = told.select(
