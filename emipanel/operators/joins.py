@@ -171,6 +171,20 @@ def assert_preserves_rows(right: DataFrame, keys) -> None:
         raise ValueError(f"join would multiply rows; repeated keys: {[tuple(r)[:-1] for r in bad]}")
 
 
+def left_join_preserving(a: DataFrame, b: DataFrame, keys) -> DataFrame:
+    """Left join whose use fails if a key occurs twice in ``b``, so that no write with multiplied rows can succeed.
+
+    Keys are counted on the way to the join, in the shuffle it needs itself: nothing runs while the join is defined and ``b`` is
+    read once. Rows of ``b`` with a null key match nothing and may repeat.
+    """
+    keys = list(keys)
+    rest = [c for c in b.columns if c not in keys]
+    counted = b.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(1).alias("__one"))).alias("__b"))
+    message = F.concat(F.lit("join would multiply rows; repeated key: "), F.to_json(F.struct(*keys)))
+    single = counted.where(F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    return left_join(a, single.select(*keys, *[F.col(f"__b.`{c}`").alias(c) for c in rest]), keys)
+
+
 def fan_out(plan: DataFrame, key: str, compute) -> DataFrame:
     """Distinct keys, computed once each, joined back to every row that asked."""
     return plan.join(compute(plan.select(key).distinct()), key, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,20 @@ def split_with_audit(df: DataFrame, rules, reason: str = "outlier_reason") -> tu
     return marked.where(F.col(reason).isNull()).drop(reason), marked.where(F.col(reason).isNotNull())
 
 
+def write_with_audit(df: DataFrame, rules, path: str, reason: str = "outlier_reason") -> dict[str, int]:
+    """Kept and dropped rows side by side under ``path``, in partitions by ``reason`` ("kept", or the first rule that applies), from one
+    read of ``df``. Returns rows by reason and in all, observed while they were written.
+    """
+    label = F.lit("kept")
+    for name, cond in reversed(list(rules)):
+        label = F.when(cond, name).otherwise(label)
+    seen = Observation()
+    counts = [F.count_if(F.col(reason) == name).alias(name) for name in ("kept", *[n for n, _ in rules])]
+    marked = df.withColumn(reason, label).observe(seen, F.count(F.lit(1)).alias("all"), *counts)
+    marked.write.mode("overwrite").partitionBy(reason).parquet(path)
+    return seen.get
+
+
 def replace_partitions(base: DataFrame, repl: DataFrame, col: str, keys=None) -> DataFrame:
     """Groups present in ``repl`` replace those of ``base`` whole, the null group too. With ``keys``, the result cannot be used if a key
     occurs twice in it."""

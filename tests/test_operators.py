@@ -55,6 +55,25 @@ def test_join_guard(spark):
         dedup.assert_unique(spark.createDataFrame([(1,), (1,)], "k int"), ["k"])
 
 
+def test_preserving_join_fails_only_when_a_key_repeats(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k int, v string")
+    fine = spark.createDataFrame([(1, 5.0, [1]), (3, 6.0, None), (None, 7.0, None), (None, 8.0, None)], "k int, `w.x` double, l array<int>")
+    got = joins.left_join_preserving(a, fine, ["k"])
+    assert got.columns == ["k", "v", "w.x", "l"]
+    assert sorted(map(tuple, got.select("v", "`w.x`", "l").collect())) == [("n", None, None), ("x", 5.0, [1]), ("y", 5.0, [1]), ("z", None, None)]
+    joined = joins.left_join_preserving(a, fine.unionByName(fine.where("k = 3")), ["k"])
+    with pytest.raises(Exception, match="join would multiply rows"):
+        joined.write.parquet(str(tmp_path / "multiplied"))
+    assert not (tmp_path / "multiplied" / "_SUCCESS").exists()
+
+
+def test_audit_is_counted_while_it_is_written(spark, tmp_path):
+    df = spark.createDataFrame([(0.0,), (9.99,), (10.0,), (5e8,), (5e8 + 1,), (None,)], "y double")
+    assert sinks.write_with_audit(df, filters.outlier_rules("y"), str(tmp_path / "out")) == {"all": 6, "kept": 3, "too_high": 1, "zero": 1, "too_low": 1}
+    again = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.outlier_reason, r.y) for r in again.collect() if r.y) == [("kept", 10.0), ("kept", 5e8), ("too_high", 5e8 + 1), ("too_low", 9.99)]
+
+
 def test_replacement_refuses_duplicate_keys(spark, tmp_path):
     base = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0), (None, 1, 3.0)], "g string, k int, v double")
     fine, twice = spark.createDataFrame([("a", 2, 9.0)], base.schema), spark.createDataFrame([(None, 1, 8.0), (None, 1, 9.0)], base.schema)

@@ -237,6 +237,18 @@ def sink_audit(spark, sf):
     return kept.withColumn("outlier_reason", F.lit("kept")).unionByName(audit)
 
 
+@query("sink_audit_observed", f"""WITH {S.PANEL}, x AS (SELECT CASE WHEN target > 900000 THEN 'too_high' WHEN target = 0 THEN 'zero'
+    WHEN target > 0 AND target < 50000 THEN 'too_low' ELSE 'kept' END AS outlier_reason FROM panel)
+  SELECT outlier_reason, count(*) AS n_written, count(*) AS n_observed, (SELECT count(*) FROM x) AS n_all FROM x GROUP BY 1""")
+def sink_audit_observed(spark, sf):
+    """Rows written by reason, beside what was observed while they were written."""
+    path = scratch_dir(spark, "audited")
+    seen = sinks.write_with_audit(S.panel(spark, sf).select("building_id", "year", "target"), outlier_rules("target", 50000.0, 900000.0), path)
+    observed = F.create_map(*[v for name, n in seen.items() for v in (F.lit(name), F.lit(n).cast("long"))])
+    return (spark.read.parquet(path).groupBy("outlier_reason").agg(F.count(F.lit(1)).alias("n_written"))
+            .select("outlier_reason", "n_written", F.try_element_at(observed, F.col("outlier_reason")).alias("n_observed"), F.lit(seen["all"]).cast("long").alias("n_all")))
+
+
 @query("sink_replace_groups", f"""WITH {S.PANEL},
   repl AS (SELECT city, building_id, year, -target AS target FROM panel WHERE region = 1 AND year >= 1999)
   SELECT city, building_id, year, target FROM panel WHERE city NOT IN (SELECT city FROM repl)
