@@ -42,6 +42,19 @@ def forecast_report(panel: DataFrame, entity: str, year: str, y: str, city: str,
     return macro(per_city, ["model"])
 
 
+def forecast_runs(panel: DataFrame, entity: str, year: str, y: str, city: str, first_test_year: int) -> DataFrame:
+    """Every closed-form forecast of the test years, scored overall, per city and per test year: (scope, scope_value, model, n, metrics).
+
+    History before ``first_test_year`` only feeds the lags. All scopes come from one aggregation; each row is unrolled to its three
+    scopes inside the scan stage and combined there.
+    """
+    frame = forecast_frame(panel, entity, year, y).where(F.col(year) >= first_test_year)
+    scopes = {"overall": F.lit("all"), "city": F.col(city).cast("string"), "test_year": F.col(year).cast("string")}
+    scope = F.explode(F.array(*[F.struct(F.lit(n).alias("scope"), v.alias("scope_value")) for n, v in scopes.items()]))
+    unrolled = frame.select(y, *FORECASTERS, scope.alias("__s")).select(y, *FORECASTERS, "__s.*")
+    return score_wide(unrolled, ["scope", "scope_value"], y, FORECASTERS)
+
+
 def run_grid(tiers: dict, models: dict, train: DataFrame, test: DataFrame, y: str, city: str, seed: int = 42,
              split_type: str = "grouped", task: str = "a", done: set | None = None) -> DataFrame:
     """Long results of every (tier, model) not in ``done``: overall, per city and macro.

@@ -16,7 +16,7 @@ SAMPLE = ["scan_csv_text", "scan_json_panel", "scan_climate_payload", "sink_upse
           "dedup_ranked", "dedup_collapse_hot_keys", "agg_validation_summary", "agg_median_hot_groups", "window_lag_features", "window_dense_ids",
           "reshape_balanced_panel", "split_stratified", "split_few_shot", "sample_city_quota", "prep_target_encode", "model_ar1", "model_blend_grid",
           "eval_all_metrics", "eval_stratified", "eval_paired_bootstrap", "incr_upsert", "panel_building",
-          "panel_company_baseline", "panel_company_splits"]
+          "panel_company_baseline", "panel_company_splits", "sink_audit_observed", "forecast_runs"]
 
 
 def test_registry():

@@ -9,7 +9,7 @@ from emipanel.operators import windows as H
 from emipanel.operators.metrics import METRICS
 from emipanel.functions import hash32
 from emipanel.plans.experiments import FORECASTERS, forecast_frame, score_wide
-from emipanel.plans.experiments import forecast_report
+from emipanel.plans.experiments import forecast_report, forecast_runs
 from workload import stage as S
 from workload.registry import query
 from workload.stage import r, sql_hash, t
@@ -86,6 +86,22 @@ def forecast_macro(spark, sf):
     return out.select("model", "n_groups", *[r(f"macro_{m}", 4 if m in ("mae", "rmse", "mape") else 5).alias(f"macro_{m}") for m in METRICS])
 
 
+@query("forecast_runs", f"""WITH {S.PANEL}, {S.LAGGED}, h AS (SELECT * FROM lagged WHERE lag1 IS NOT NULL), {AR1_SQL}, {holt_sql('hl', (1.0,))},
+  f AS (SELECT 'persistence' AS model, city, year, target AS y, lag1 AS p FROM h UNION ALL SELECT 'moving_average', city, year, target, mean_hist FROM h
+    UNION ALL SELECT 'two_point_trend', city, year, target, greatest(coalesce(2 * lag1 - lag2, lag1), 0) FROM h
+    UNION ALL SELECT 'ar1', city, year, target, p FROM h JOIN ar1 USING (building_id, year)
+    UNION ALL SELECT 'holt', city, year, target, p FROM h JOIN hl USING (building_id, year)),
+  s AS (SELECT 'overall' AS scope, 'all' AS scope_value, model, y, p FROM f WHERE year >= 1999 UNION ALL SELECT 'city', city, model, y, p FROM f WHERE year >= 1999
+    UNION ALL SELECT 'test_year', CAST(year AS VARCHAR), model, y, p FROM f WHERE year >= 1999),
+  c AS (SELECT scope, scope_value, model, count(*) AS n, {SCORES} FROM s GROUP BY 1, 2, 3)
+  SELECT scope, scope_value, model, n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(mape, 4) AS mape, round(r2, 5) AS r2,
+    round(nrmse, 5) AS nrmse, round(log_mae, 5) AS log_mae FROM c""")
+def forecast_runs_query(spark, sf):
+    """Forecasts of 1999 and later, scored overall, per city and per year; earlier years are their history."""
+    out = forecast_runs(_panel(spark, sf), *_P, "target", "city", 1999)
+    return out.select("scope", "scope_value", "model", "n", *[r(m, 4 if m in ("mae", "rmse", "mape") else 5).alias(m) for m in METRICS])
+
+
 @query("forecast_macro_simple", f"""WITH {_FORECAST_SQL}, c AS (SELECT model, city, count(*) AS n, {SCORES} FROM f GROUP BY 1, 2)
   SELECT model, count(*) AS n_groups, {_METRIC_SQL} FROM c WHERE n >= 5 GROUP BY 1""")
 def forecast_macro_simple(spark, sf):
