@@ -57,7 +57,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A fitted model, connected components and a tokenizer are not SQL; tests/llm compares the stages with brute force.
+#: A fitted model, connected components and a tokenizer are not SQL. tests/llm looks at columns and a few rows of run(); the operators have tests of their own.
 ORACLE_SQL = None
 
 
