@@ -17,6 +17,8 @@ from emipanel.functions.core import as_col
 
 #: Accuracy of the sketch that brackets quantiles: a rank is off by at most rows / SKETCH.
 SKETCH = 10_000
+#: Brackets are widened by this share of their ends, far more than a value computed again (a sum in another order) moves.
+AGAIN = 1e-9
 #: Rows that a window over hash buckets should hold, and bits of the hash.
 BUCKET_ROWS = 1 << 18
 HASH_BITS = 32
@@ -65,6 +67,10 @@ def exact_quantiles(df: DataFrame, keys, value, probs, names=None) -> DataFrame:
     both sides. Then values inside a bracket are counted one by one and those between brackets together, so a group comes to
     at most some 6 x rows / SKETCH counts for each quantile (and to all its distinct values where it has fewer than 4 x SKETCH), of
     which the one that holds the rank is picked. A rank outside its bracket would raise, it cannot give a wrong value.
+
+    The two passes may compute a value again (a sum of doubles in another order), so it can differ in its last digits: the sketch decides
+    only which values are counted one by one, brackets that reach the smallest or largest value have no end there, and the others
+    are a little wider than the sketch says.
     """
     keys, probs = list(keys), [float(p) for p in probs]
     names = list(names or [f"q{int(round(p * 1000)):04d}" for p in probs])
@@ -73,11 +79,14 @@ def exact_quantiles(df: DataFrame, keys, value, probs, names=None) -> DataFrame:
     src = src.withColumn("__y", F.nanvl("__v", F.lit(inf)))
     off = 2.0 / SKETCH
     ends = [max(p - off, 0.0) for p in probs] + [min(p + off, 1.0) for p in probs]
-    sketch = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__y").alias("__min"), F.max("__y").alias("__max"),
-                                    F.percentile_approx("__y", ends, SKETCH).alias("__q")).where(F.col("__n") > 0)
+    sketch = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__y", ends, SKETCH).alias("__q")).where(F.col("__n") > 0)
     few = F.col("__n") < 4 * SKETCH
-    low = [F.when(few | F.lit(p - off <= 0), F.col("__min")).otherwise(F.get("__q", F.lit(i))) for i, p in enumerate(probs)]
-    high = [F.when(few | F.lit(p + off >= 1), F.col("__max")).otherwise(F.get("__q", F.lit(len(probs) + i))) for i, p in enumerate(probs)]
+
+    def wider(end, by):
+        return end * F.when(end < 0, 1 - by).otherwise(1 + by)
+
+    low = [F.when(few | F.lit(p - off <= 0), -inf).otherwise(wider(F.get("__q", F.lit(i)), -AGAIN)) for i, p in enumerate(probs)]
+    high = [F.when(few | F.lit(p + off >= 1), inf).otherwise(wider(F.get("__q", F.lit(len(probs) + i)), AGAIN)) for i, p in enumerate(probs)]
     brackets = sketch.select(*keys, F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in zip(low, high)]).alias("__brackets"))
     near = join_null_safe(src, brackets, keys, "inner") if keys else attach_row(src, brackets)
     y = F.col("__y")
