@@ -56,18 +56,36 @@ def cut_points() -> np.ndarray:
     return np.array(cuts, dtype=np.int64)
 
 
-def poisson_weights(h: np.ndarray, a: np.ndarray, c: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Rows x replicates block of weights. The remainder by 2^31-1 is taken by folding the high bits; the
-    five common cut points are compared on the whole block, the rare rest only where they can apply."""
-    z = h[:, None] * a + c
-    z = (z & MODULUS) + (z >> 31)
-    z = np.where(z >= MODULUS, z - MODULUS, z)
-    w = np.zeros(z.shape)
-    for k in cuts[:5]:
-        w += z >= k
-    rare = np.nonzero(z >= cuts[4])
-    w[rare] += np.searchsorted(cuts[5:], z[rare], side="right")
-    return w
+#: Low bits of a residue that the table of weights leaves out.
+COARSE_BITS = 18
+
+
+def weight_table(cuts: np.ndarray) -> np.ndarray:
+    """Weight by the high bits of a residue that may still hold the modulus once (then what is left is below every cut point); 255 where
+    a cut point, or the modulus itself, lies among the residues with those bits."""
+    edge = np.arange(((MODULUS + (1 << 28) + 2) >> COARSE_BITS) + 1, dtype=np.int64) << COARSE_BITS
+    low = np.searchsorted(cuts, edge, side="right")
+    high = np.searchsorted(cuts, edge + (1 << COARSE_BITS) - 1, side="right")
+    table = np.where(low == high, low, 255).astype(np.uint8)
+    table[MODULUS >> COARSE_BITS] = 255
+    table[(MODULUS >> COARSE_BITS) + 1:] = 0
+    return table
+
+
+def poisson_weights(h: np.ndarray, a: np.ndarray, c: np.ndarray, cuts: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Rows x replicates block of weights, ``h`` below 2^28. The remainder by 2^31-1 is taken by folding the high bits; its own high bits
+    give the weight by ``weight_table(cuts)``, and only the few residues beside a cut point are compared."""
+    table = weight_table(cuts) if table is None else table
+    z = h[:, None] * a
+    z += c
+    high = z >> 31
+    z &= MODULUS
+    z += high
+    w = table.take(z >> COARSE_BITS).ravel()
+    near = np.flatnonzero(w == 255)
+    r = z.ravel()[near]
+    w[near] = np.searchsorted(cuts, np.where(r >= MODULUS, r - MODULUS, r), side="right")
+    return w.reshape(z.shape).astype(float)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
