@@ -91,17 +91,21 @@ def _strip(c) -> Column:
 
 def map_category(c, labels: dict | None = None, rules: list | None = None, default: str = "Other") -> Column:
     """Raw label to category: known label, else first matching word rule, else ``default``; null stays null."""
-    label = F.lower(_strip(as_col(c)))
-    out = None
-    for category, known in (labels or CATEGORY_LABELS).items():
-        test = label.isin([k.lower() for k in known])
-        out = F.when(test, category) if out is None else out.when(test, category)
-    for category, words in (CATEGORY_RULES if rules is None else rules):
-        test = _word_test(label, words[0])
-        for w in words[1:]:
-            test = test | _word_test(label, w)
-        out = out.when(test, category)
-    return F.when(as_col(c).isNotNull(), out.otherwise(default))
+    def category_of(label):
+        out = None
+        for category, known in (labels or CATEGORY_LABELS).items():
+            test = label.isin([k.lower() for k in known])
+            out = F.when(test, category) if out is None else out.when(test, category)
+        for category, words in (CATEGORY_RULES if rules is None else rules):
+            test = _word_test(label, words[0])
+            for w in words[1:]:
+                test = test | _word_test(label, w)
+            out = out.when(test, category)
+        return out.otherwise(default)
+
+    # one cell, so that the label is stripped once and not for every test
+    cell = F.transform(F.array(F.lower(_strip(as_col(c)))), category_of)
+    return F.when(as_col(c).isNotNull(), F.get(cell, F.lit(0)))
 
 
 def clean_token(c, joiner: str = "_") -> Column:

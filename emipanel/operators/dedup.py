@@ -43,14 +43,43 @@ def embedding_ranks(status: str = "status", source: str = "img_source", images:
     return [score_status(status), score_source(source), F.col(images)]
 
 
+#: Rows of a key up to which they are reduced by one task.
+GATHERED = 10_000
+
+
 def collapse_duplicates(df: DataFrame, keys) -> DataFrame:
     """One row per key: median of numbers, smallest mode of labels; null keys are kept.
 
-    The fields are unrolled to (key, field, value) and reduced by the distributed median and mode, so a key may have any number
+    Keys are counted first. Those of up to ``GATHERED`` rows are reduced in one shuffle of the rows; the fields of others, at most one key
+    in ``GATHERED`` rows, are unrolled to (key, field, value) and reduced by the distributed median and mode, so a key may have any number
     of rows.
     """
     keys = list(keys)
     rest = [f for f in df.schema.fields if f.name not in keys]
+    if not rest:
+        return df.select(*keys).distinct()
+    large = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > GATHERED).select(*keys))
+    few = _collapse_gathered(join_null_safe(df, large, keys, "left_anti"), keys, rest)
+    many = _collapse_spread(join_null_safe(df, large, keys, "left_semi"), keys, rest)
+    return few.select(*df.columns).unionByName(many.select(*df.columns))
+
+
+def _median_of(values):
+    """Median of an array without nulls, null if empty; NaN is the largest value."""
+    x, n = F.sort_array(values), F.size(values)
+    lo, hi = F.get(x, F.floor((n - 1) / 2).cast("int")), F.get(x, F.floor(n / 2).cast("int"))
+    return F.when(n > 0, F.when(lo == hi, lo).otherwise(lo * 0.5 + hi * 0.5))
+
+
+def _collapse_gathered(df: DataFrame, keys, rest) -> DataFrame:
+    numeric = [f.name for f in rest if isinstance(f.dataType, T.NumericType)]
+    labels = {f.name: f.dataType for f in rest if f.name not in numeric}
+    out = df.groupBy(*keys).agg(*[F.collect_list(F.col(c).cast("double")).alias(c) for c in numeric],
+                                *[F.mode(F.col(c).cast("string"), True).alias(c) for c in labels])
+    return out.select(*keys, *[_median_of(c).alias(c) for c in numeric], *[F.col(c).cast(t).alias(c) for c, t in labels.items()])
+
+
+def _collapse_spread(df: DataFrame, keys, rest) -> DataFrame:
     numeric = [f.name for f in rest if isinstance(f.dataType, T.NumericType)]
     labels = [f.name for f in rest if f.name not in numeric]
     out = df.select(*keys).distinct()
@@ -61,7 +90,7 @@ def collapse_duplicates(df: DataFrame, keys) -> DataFrame:
         long = df.select(*keys, *[F.col(c).cast("string").alias(c) for c in labels]).unpivot(keys, labels, "field", "x")
         kinds = {f.name: f.dataType for f in rest if f.name in labels}
         out = join_null_safe(out, _wide(smallest_mode(long, [*keys, "field"], "x"), keys, labels, kinds), keys)
-    return out.select(*df.columns)
+    return out
 
 
 def _wide(long: DataFrame, keys, fields, kinds: dict) -> DataFrame:

@@ -20,6 +20,17 @@ def test_collapse_keeps_null_keys_and_smallest_mode(spark):
         [("a", 1, 1.5, "x"), (None, 1, None, None), ("b", 2, 5.0, "z")], "k string, yr int, v double, t string"))
 
 
+def test_collapse_of_small_and_large_keys_agrees(spark, monkeypatch):
+    draw = random.Random(5)
+    cells = [(draw.choice(["a", "b", None]), draw.choice([1, 2]), draw.choice([None, 0.5, 2.0, 7.25]), draw.choice(["x", "y", None])) for _ in range(90)]
+    df = spark.createDataFrame([*cells, ("alone", 1, float("nan"), "z"), ("empty", 1, None, None)], "k string, yr int, v double, t string").coalesce(1)
+    small = rows(dedup.collapse_duplicates(df, ["k", "yr"]))
+    monkeypatch.setattr(dedup, "GATHERED", 12)  # some keys have more rows
+    assert str(rows(dedup.collapse_duplicates(df, ["k", "yr"]))) == str(small)
+    monkeypatch.setattr(dedup, "GATHERED", 0)
+    assert str(rows(dedup.collapse_duplicates(df, ["k", "yr"]))) == str(small) and len(small) == 8
+
+
 def test_ranked_dedup_falls_back_to_order(spark):
     df = spark.createDataFrame([("a", "ok", None, 2), ("a", "ok", None, 1), ("a", "no_images", 9, 0)], "k string, status string, n int, o int")
     assert dedup.ranked_dedup(df, ["k"], [F.when(F.col("status") == "ok", 1).otherwise(0), F.col("n")], "o").first()["o"] == 1
