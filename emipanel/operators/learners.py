@@ -22,6 +22,10 @@ from emipanel.operators.skew import attach_row, rank_in_group
 RIDGE_ALPHA = 1.0
 LASSO_ALPHA = 0.1
 FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 5, "seed": 42}
+#: Rows keep the node they stand in, tree by tree, instead of walking down all trees again for each level. The trees are the same.
+FOREST_PASSES = {"cacheNodeIds": True, "checkpointInterval": -1}
+#: Bytes a forest holds per training row and tree: how often the tree drew the row, and the node where the row stands.
+DRAW_BYTES = 8
 BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5,
            "seed": 42}
 SECTOR_FOREST = {"numTrees": 100, "maxDepth": 8, "seed": 42}
@@ -42,13 +46,13 @@ def persisted(*frames: DataFrame):
 TRAINING_PARTS = 8
 
 
-def sized(df: DataFrame, n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
+def sized(df: DataFrame, n_rows: int | None = None, n_cols: int | None = None, n_trees: int = 0) -> DataFrame:
     """Training rows in partitions of about 64 MB, dealt and ordered by a hash of the row: iterative training runs many passes,
-    and each pays for every task. Which rows a tree draws depends on their partition and place, so both follow from the rows
-    alone, not from the cluster or from how the input was split."""
+    and each pays for every task. What ``n_trees`` trees of a forest hold per row counts as well. Which rows a tree draws depends
+    on their partition and place, so both follow from the rows alone, not from the cluster or from how the input was split."""
     n_rows = df.count() if n_rows is None else n_rows
     n_cols = len(df.columns) if n_cols is None else n_cols
-    wanted = -(-n_rows * n_cols * 8 // (64 << 20))
+    wanted = -(-n_rows * (n_cols * 8 + n_trees * DRAW_BYTES) // (64 << 20))
     row = F.xxhash64(*df.columns)
     return df.repartition(int(max(wanted, TRAINING_PARTS)), row).sortWithinPartitions(row)
 
@@ -93,10 +97,10 @@ def _training_stats(rows: DataFrame, cols, y: str) -> dict:
 
 
 def fit_regressor(make, train: DataFrame, cols, y: str, log_space: bool = True, scale: bool = False,
-                  val: DataFrame | None = None) -> Fitted:
+                  val: DataFrame | None = None, n_trees: int = 0) -> Fitted:
     """Impute means, optionally standardise, fit ``make()`` on (log1p of) the target.
 
-    With ``val`` its rows join the training frame marked as validation, for early stopping.
+    With ``val`` its rows join the training frame marked as validation, for early stopping. ``n_trees``: trees that are grown at once.
     """
     cols = list(cols)
     need = [c for c in dict.fromkeys([*cols, y])]
@@ -107,7 +111,7 @@ def fit_regressor(make, train: DataFrame, cols, y: str, log_space: bool = True,
         if val is not None:
             full = full.unionByName(val.where(F.col(y).isNotNull()).select(*need).withColumn("__val", F.lit(True)))
         data = fitted.prepare(full).withColumn("label", log_target(y) if log_space else F.col(y).cast("double"))
-        data = sized(data.select("features", "label", "__val"), fitted.stats["__n"], len(cols) + 2)
+        data = sized(data.select("features", "label", "__val"), fitted.stats["__n"], len(cols) + 2, n_trees)
         with persisted(data) as data:
             fitted.model = make(data).fit(data)
     return fitted
@@ -134,7 +138,8 @@ def lasso(train, cols, y, alpha: float = LASSO_ALPHA, **kw) -> Fitted:
 
 
 def random_forest(train, cols, y, log_space: bool = True, **params) -> Fitted:
-    return fit_regressor(lambda d: RandomForestRegressor(**{**FOREST, **params}), train, cols, y, log_space)
+    params = {**FOREST, **FOREST_PASSES, **params}
+    return fit_regressor(lambda d: RandomForestRegressor(**params), train, cols, y, log_space, n_trees=params["numTrees"])
 
 
 def gbt(train, cols, y, val: DataFrame | None = None, log_space: bool = True, **params) -> Fitted:

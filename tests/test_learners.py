@@ -125,3 +125,12 @@ def test_permutation_importance_against_rotated_ranks(spark):
     for name in "ab":
         drops = [r2["base"] - r2[f"{name}{i}"] for i in range(5)]
         assert np.allclose(got[name], (np.mean(drops), np.std(drops)))
+
+
+def test_forests_keep_nodes_and_count_their_draws_when_rows_are_dealt(spark, frame):
+    _, df = frame
+    quick, slow = (learners.random_forest(df, ["a", "b"], "y", numTrees=5, maxDepth=4, cacheNodeIds=c).model for c in (True, False))
+    assert quick.toDebugString.split("\n", 1)[1] == slow.toDebugString.split("\n", 1)[1]
+    assert learners.random_forest(df, ["a", "b"], "y", numTrees=2, maxDepth=2).model.getCacheNodeIds()
+    plain, forest = (learners.sized(df.select("a", "b"), 2_000_000, 6, n).rdd.getNumPartitions() for n in (0, 200))
+    assert plain == learners.TRAINING_PARTS and 40 <= forest <= 60
