@@ -17,6 +17,7 @@ from emipanel.functions.numeric import clip_pred, log_target
 from emipanel.operators.features import assemble, fit_index
 from emipanel.operators.metrics import HIGHER_IS_BETTER, all_metrics, metric_columns
 from emipanel.operators.skew import attach_row, rank_in_group
+from emipanel.session import stable
 
 # Default settings of the experiments.
 RIDGE_ALPHA = 1.0
@@ -158,31 +159,48 @@ def estimator_fit(estimator: Estimator, train: DataFrame, cols, y: str, **kw) ->
     return fit_regressor(lambda d: estimator, train, cols, y, **kw)
 
 
+class SectorForests:
+    """What classify_then_regress trains: a forest of all rows, one per sector, and (once it is asked for) the classifier of sectors."""
+
+    def __init__(self, train: DataFrame, cols, sector: str, y: str, min_rows: int = 5, params: dict | None = None):
+        self.params, self.cols, self.sector, self.y = {**SECTOR_FOREST, **(params or {})}, list(cols), sector, y
+        self.train = train.where((F.col(y) > 0) & F.col(sector).isNotNull()).select(*dict.fromkeys([*cols, sector, y]))
+        self._classifier = None
+        with persisted(self.train) as train:
+            train = sized(train, n_trees=self._trees())
+            self.fallback = random_forest(train, cols, y, **self.params)
+            sizes = train.groupBy(sector).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
+            self.names = [r[0] for r in sizes.orderBy(sector).collect()]
+            with ThreadPoolExecutor(4) as pool:
+                self.models = list(pool.map(lambda s: random_forest(train.where(F.col(sector) == s), cols, y, **self.params), self.names))
+
+    def _trees(self) -> int:
+        return RandomForestClassifier(**self.params).getNumTrees()
+
+    def classify(self, df: DataFrame) -> DataFrame:
+        """Rows with the predicted sector as sector_pred."""
+        if self._classifier is None:
+            with persisted(self.train) as train:
+                train = sized(train, n_trees=self._trees())
+                index = fit_index(train, self.sector, "label")
+                with persisted(self.fallback.prepare(index.transform(train)).select("features", "label")) as ready:
+                    clf = RandomForestClassifier(**{**FOREST_PASSES, **self.params}).fit(ready)
+                self._classifier = clf, IndexToString(inputCol="prediction", outputCol="sector_pred", labels=index.labels)
+        clf, back = self._classifier
+        return back.transform(clf.transform(self.fallback.prepare(df))).drop("features", "rawPrediction", "probability", "prediction")
+
+
 def classify_then_regress(train: DataFrame, test: DataFrame, cols, sector: str, y: str, oracle: bool = False,
-                          min_rows: int = 5, params: dict | None = None) -> DataFrame:
+                          min_rows: int = 5, params: dict | None = None, trained: SectorForests | None = None) -> DataFrame:
     """Predict the sector, then the target with that sector's forest; sectors under ``min_rows`` training
     rows use a forest of all rows. ``oracle`` takes the true sector instead of the predicted one. Only rows
-    with a sector and a positive target are trained on."""
-    train = train.where((F.col(y) > 0) & F.col(sector).isNotNull())
-    params = {**SECTOR_FOREST, **(params or {})}
-    with persisted(train.select(*dict.fromkeys([*cols, sector, y]))) as train:
-        train = sized(train)
-        fallback = random_forest(train, cols, y, **params)
-        if oracle:
-            routed = test.withColumn("sector_pred", F.col(sector))
-        else:
-            index = fit_index(train, sector, "label")
-            with persisted(fallback.prepare(index.transform(train)).select("features", "label")) as ready:
-                clf = RandomForestClassifier(**params).fit(ready)
-            back = IndexToString(inputCol="prediction", outputCol="sector_pred", labels=index.labels)
-            routed = back.transform(clf.transform(fallback.prepare(test))).drop(
-                "features", "rawPrediction", "probability", "prediction")
-        sizes = train.groupBy(sector).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
-        names = [r[0] for r in sizes.orderBy(sector).collect()]
-        with ThreadPoolExecutor(4) as pool:
-            models = list(pool.map(lambda s: random_forest(train.where(F.col(sector) == s), cols, y, **params), names))
-    parts = [m.predict(routed.where(F.col("sector_pred") == s)) for s, m in zip(names, models)]
-    parts.append(fallback.predict(routed.where(F.col("sector_pred").isNull() | ~F.col("sector_pred").isin(names))))
+    with a sector and a positive target are trained on. ``trained`` gives the forests of an earlier call with the same
+    training rows, which are then not trained again. Routed rows are written once, as every forest reads its own."""
+    trained = trained or SectorForests(train, cols, sector, y, min_rows, params)
+    routed = stable(test.withColumn("sector_pred", F.col(sector)) if oracle else trained.classify(test))
+    names = trained.names
+    parts = [m.predict(routed.where(F.col("sector_pred") == s)) for s, m in zip(names, trained.models)]
+    parts.append(trained.fallback.predict(routed.where(F.col("sector_pred").isNull() | ~F.col("sector_pred").isin(names))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -134,3 +134,18 @@ def test_forests_keep_nodes_and_count_their_draws_when_rows_are_dealt(spark, fra
     assert learners.random_forest(df, ["a", "b"], "y", numTrees=2, maxDepth=2).model.getCacheNodeIds()
     plain, forest = (learners.sized(df.select("a", "b"), 2_000_000, 6, n).rdd.getNumPartitions() for n in (0, 200))
     assert plain == learners.TRAINING_PARTS and 40 <= forest <= 60
+
+
+def test_sector_forests_are_trained_once_for_both_routings(frame, monkeypatch):
+    _, df = frame
+    train, test = df.where("id < 220"), df.where("id >= 220")
+    settings = {"numTrees": 4, "maxDepth": 3}
+
+    def both(**kw):
+        return [sorted((r["id"], r["sector_pred"], r["pred"]) for r in learners.classify_then_regress(
+            train, test, ["a", "b"], "sector", "y", oracle=oracle, params=settings, **kw).collect()) for oracle in (False, True)]
+
+    apart, fits, regress = both(), [], learners.random_forest
+    monkeypatch.setattr(learners, "random_forest", lambda *a, **kw: fits.append(1) or regress(*a, **kw))
+    assert both(trained=learners.SectorForests(train, ["a", "b"], "sector", "y", params=settings)) == apart
+    assert len(fits) == 3  # all rows, and two sectors

@@ -207,8 +207,9 @@ def learn_boosted_trees(spark, sf):
 @query("learn_classify_then_regress")
 def learn_classify_then_regress(spark, sf):
     train, _, test = _parts(spark, sf)
-    a = M.classify_then_regress(train, test, _FEATS, "property_type", "target")
-    b = M.classify_then_regress(train, test, _FEATS, "property_type", "target", oracle=True)
+    forests = M.SectorForests(train, _FEATS, "property_type", "target")
+    a = M.classify_then_regress(train, test, _FEATS, "property_type", "target", trained=forests)
+    b = M.classify_then_regress(train, test, _FEATS, "property_type", "target", oracle=True, trained=forests)
     return _scored(a, "predicted_sector").unionByName(_scored(b, "true_sector"))
 
 
