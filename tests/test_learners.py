@@ -149,3 +149,23 @@ def test_sector_forests_are_trained_once_for_both_routings(frame, monkeypatch):
     monkeypatch.setattr(learners, "random_forest", lambda *a, **kw: fits.append(1) or regress(*a, **kw))
     assert both(trained=learners.SectorForests(train, ["a", "b"], "sector", "y", params=settings)) == apart
     assert len(fits) == 3  # all rows, and two sectors
+
+
+def test_large_forests_lay_similar_rows_together_and_small_ones_stay(spark):
+    df = spark.range(3000).selectExpr("cast(id * 7 % 101 as double) a", "cast(if(id % 9 = 0, null, id % 13) as double) b")
+    near = learners.near_rows(["a", "b"], {"a": (50.0, 29.0), "b": (6.0, 3.7)})
+
+    def parts(n_rows, near):
+        return learners.sized(df, n_rows, 6, 200, near).rdd.glom().collect()
+
+    def steps(r):
+        return [np.floor(np.clip((m if x is None else x) / (d / 2) - m / (d / 2), -4, 3).round(9)) for x, m, d in ((r.a, 50.0, 29.0), (r.b, 6.0, 3.7))]
+
+    large, plain = parts(1_000_000, near), parts(1_000_000, ())
+    assert len(large) > learners.TRAINING_PARTS and list(map(sorted_rows, large)) == list(map(sorted_rows, plain))
+    assert all([steps(r) for r in part] == sorted(steps(r) for r in part) for part in large)
+    assert parts(3000, near) == parts(3000, ()) and large != plain
+
+
+def sorted_rows(part):
+    return sorted((r.a, -1.0 if r.b is None else r.b) for r in part)
