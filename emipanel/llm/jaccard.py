@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emipanel.llm.common import keyed_text, mix64, pieces, rows, split_words, stored, word_memo
+from emipanel.llm.common import keyed_text, mix64, pieces, rows, stored
 
 WORDS = 5
 #: Similarity as a fraction, so that bounds are exact integers.
@@ -30,7 +30,55 @@ NUM, DEN = 75, 100
 FREQUENT = 1 << 16
 #: Products with other centres before the last one. They only make the last one smaller, results do not depend on it.
 TURNS = 2
+#: Columns before a shared one that are looked at for an earlier meeting of the same pair; results do not depend on it.
+BEFORE = 8
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0xD1342543DE82EF97
+_WHITE = np.isin(np.arange(256), [*b" \t\n\x0b\x0c\r"])
+#: A fixed random number per byte, 0 for white space.
+_BYTES = np.where(_WHITE, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64) * _FACTOR))
+#: Words beyond so many bytes are hashed one by one: sums of powers can collide on long strings made for that.
+LONG_WORD = 64
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class WordHashes:
+    """Text -> 64-bit hashes of its words [^\\x20\\x09-\\x0D]+, all of a text at once: a word's bytes weigh by powers of their place in
+    the text, and its sum is taken back to place 0."""
+
+    def __init__(self):
+        self.grow(1 << 14)
+
+    def grow(self, n: int):
+        self.up, self.down = powers(_STEP, n), powers(pow(_STEP, -1, 1 << 64), n)
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint64)
+        raw = np.frombuffer(text, np.uint8)
+        if len(raw) > len(self.up):
+            self.grow(2 * len(raw))
+        white = np.ones(len(raw) + 2, bool)
+        np.take(_WHITE, raw, out=white[1:-1])
+        edges = np.flatnonzero(white[1:] != white[:-1])
+        start, stop = edges[::2], edges[1::2]
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        weights = _BYTES[raw]
+        weights *= self.up[:len(raw)]
+        total = np.cumsum(weights)[stop - 1]
+        total[1:] -= total[:-1].copy()
+        total *= self.down[start]
+        total ^= total >> np.uint64(32)
+        total *= _FACTOR
+        for i in np.flatnonzero(stop - start > LONG_WORD):
+            total[i] = xxhash.xxh3_64_intdigest(text[start[i]:stop[i]])
+        return total
 
 
 def shingles(ids: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -42,7 +90,9 @@ def shingles(ids: np.ndarray, words: int = WORDS) -> np.ndarray:
     for k in range(width):
         total *= _FACTOR
         total += ids[k:len(ids) - width + 1 + k]
-    return np.unique(mix64(total))
+    total = mix64(total)
+    total.sort()
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def least_common(n: np.ndarray | int, num: int, den: int):
@@ -51,13 +101,13 @@ def least_common(n: np.ndarray | int, num: int, den: int):
 
 
 class Text:
-    """Text -> its n-gram set, with the words' hashes remembered."""
+    """Text -> its n-gram set."""
 
     def __init__(self, words: int):
-        self.words, self.memo = words, word_memo()
+        self.words, self.hashes = words, WordHashes()
 
     def grams(self, text: bytes | None) -> np.ndarray:
-        return shingles(self.memo.ids(split_words(text.lower() if text else text)), self.words)
+        return shingles(self.hashes(text.lower() if text else text), self.words)
 
 
 def sizes_and_frequent(texts: DataFrame, words: int, id_type: str) -> DataFrame:
@@ -121,8 +171,8 @@ def entries(texts: DataFrame, order: np.ndarray, words: int, num: int, den: int,
         for batch in batches:
             schema = pa.schema([("gram", pa.int64()), pa.field("doc_id", batch.schema.field("doc_id").type), ("n", pa.int64())])
             for part in pieces(batch):
-                grams, docs, sizes = [], [], []
-                for doc, text in zip(part["doc_id"], part["text"]):
+                grams, at_row, sizes = [], [], []
+                for row, (doc, text) in enumerate(zip(part["doc_id"], part["text"])):
                     s = reader.grams(text)
                     if not len(s) or doc is None:
                         continue
@@ -132,9 +182,10 @@ def entries(texts: DataFrame, order: np.ndarray, words: int, num: int, den: int,
                         rank = np.where(known[at] == s, where[at] + 1, 0)
                         s = s[np.argsort(rank, kind="stable")]
                     grams.append(s[:prefix])
-                    docs += [doc] * prefix
+                    at_row.append(np.full(prefix, row))
                     sizes.append(np.full(prefix, len(s), np.int64))
                 if grams:
+                    docs = pa.array(part["doc_id"], schema.field("doc_id").type).take(pa.array(np.concatenate(at_row)))
                     yield rows(schema, gram=np.concatenate(grams).view(np.int64), doc_id=docs, n=np.concatenate(sizes))
 
     return texts.mapInArrow(run, f"gram bigint, doc_id {id_type}, n bigint")
@@ -285,29 +336,39 @@ def open_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
     met = (entries.join(spans, "gram").withColumn("lo", F.greatest("lo", F.expr(f"ceil(n * {num} / {den}D - 1e-9)")))
            .withColumn("hi", F.least("hi", F.expr(f"floor(n * {den} / {num}D + 1e-9)"))).filter("lo <= hi"))
     lists = (met.withColumn("k", fewest_shared("n", "lo", "hi", num, den))
-             .groupBy("doc_id", "n", "component_id", "star", "far").agg(F.array_sort(F.collect_set(F.struct("m", "gram", "k"))).alias("cells")))
+             .groupBy("doc_id", "n", "component_id", "star", "far").agg(F.sort_array(F.collect_set(F.struct("m", "gram", "k"))).alias("cells")))
     for _ in range(2):  # a column whose partners would have to share more columns than there are leads to no link
         lists = lists.withColumn("cells", F.expr("filter(cells, x -> x.k <= size(cells))"))
     return lists.withColumn("cols", F.size("cells")).filter("cols > 0").withColumn("k", F.array_min("cells.k"))
 
 
-def possible_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of documents in different components that share enough columns to link.
+def meetings(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (a, n, b, n_b): pairs of documents in different components at the columns where they meet.
 
     Two documents that share k columns have the first of these, in an order common to all, among the first cols - k + 1 of
-    either, so they are multiplied in those, the least filled ones, only. The whole overlap of columns is counted for the
-    distinct pairs that this gives.
+    either, so they are multiplied in those, the least filled ones, only. A meeting counts once: where the ``BEFORE`` columns before
+    it in either list have one in common, the pair has met already, as all other conditions hold there as well. So a pair gives a row
+    for each of its shared columns that follows none so closely, not for each that it shares.
     """
-    entries = lists.select("doc_id", "n", "component_id", "star", "far", "cols", "k", F.posexplode("cells").alias("at", "cell")).withColumn("gram", F.col("cell.gram"))
+    grams = lists.select("doc_id", "n", "component_id", "star", "far", "cols", "k", F.col("cells.gram").alias("grams"))
+    entries = grams.select("*", F.posexplode("grams").alias("at", "gram"))
     keys = ["doc_id", "n", "component_id", "star", "far", "cols"]
-    probes = entries.filter("at <= cols - k").select("gram", "at", *keys)
-    other = probes.select("gram", *[F.col(c).alias(f"{c}_b") for c in ["at", *keys]])
-    pairs = (probes.join(other, "gram").filter(F.col("component_id") != F.col("component_id_b")).filter(near("n", "n_b", num, den))
-             .filter("cols < cols_b or (cols = cols_b and doc_id < doc_id_b)")
-             .filter(F.least(F.col("cols") - F.col("at"), F.col("cols_b") - F.col("at_b")) >= least_shared("n", "n_b", num, den))
-             # Jaccard distance is a metric: documents too unlike in their distance to one centre cannot link
-             .filter((F.col("star") != F.col("star_b")) | (F.abs(F.col("far") - F.col("far_b")) * den <= den - num + 1e-6))
-             .select(F.col("doc_id").alias("a"), "n", F.col("doc_id_b").alias("b"), "n_b").distinct())
+    probes = entries.filter("at <= cols - k").withColumn("before", F.expr(f"slice(grams, greatest(at - {BEFORE}, 0) + 1, least(at, {BEFORE}))"))
+    probes = probes.select("gram", "at", "before", *keys)
+    other = probes.select("gram", *[F.col(c).alias(f"{c}_b") for c in ["at", "before", *keys]])
+    return (probes.join(other, "gram").filter(F.col("component_id") != F.col("component_id_b")).filter(near("n", "n_b", num, den))
+            .filter("cols < cols_b or (cols = cols_b and doc_id < doc_id_b)")
+            .filter(F.least(F.col("cols") - F.col("at"), F.col("cols_b") - F.col("at_b")) >= least_shared("n", "n_b", num, den))
+            # Jaccard distance is a metric: documents too unlike in their distance to one centre cannot link
+            .filter((F.col("star") != F.col("star_b")) | (F.abs(F.col("far") - F.col("far_b")) * den <= den - num + 1e-6))
+            .filter(~F.arrays_overlap("before", "before_b"))
+            .select(F.col("doc_id").alias("a"), "n", F.col("doc_id_b").alias("b"), "n_b"))
+
+
+def possible_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of documents in different components that share enough columns to link: the whole overlap of columns is counted for
+    the distinct pairs that meet."""
+    pairs = meetings(lists, num, den).distinct()
     columns = lists.select("doc_id", "n", F.col("cells.gram").alias("cells"))
     both = pairs.join(columns.toDF("a", "n", "cells_a"), ["a", "n"]).join(columns.toDF("b", "n_b", "cells_b"), ["b", "n_b"])
     shared = F.size(F.array_intersect("cells_a", "cells_b"))

@@ -163,6 +163,47 @@ def test_jaccard_keeps_links_beside_larger_partners(spark):
     assert {r.doc_id: r.component_id for r in jaccard.similar_documents(df).collect()} == {i: 40 if i == 41 else i for i in texts}
 
 
+def column_lists(spark, sets, n):
+    """Lists as open_lists gives them: a component per document, columns in one order common to all."""
+    rows = [(i, n, i, i, 0.0, [(1, g, 1) for g in sorted(s)], len(s), 1) for i, s in enumerate(sets)]
+    return spark.createDataFrame(rows, "doc_id long, n long, component_id long, star long, far double, cells array<struct<m:int,gram:long,k:long>>, cols int, k long")
+
+
+def test_jaccard_pairs_meet_once(spark):
+    lists = column_lists(spark, [set(range(60)) for _ in range(20)], 240)
+    met = [(r.a, r.b) for r in jaccard.meetings(lists, 75, 100).collect()]
+    assert sorted(met) == [(a, b) for a in range(20) for b in range(a + 1, 20)]
+
+
+def test_jaccard_pairs_that_meet_hold_all_that_share_enough(spark):
+    rng = random.Random(3)
+    pool = [[*rng.sample(range(400), 14)] for _ in range(4)]
+    # runs of shared columns with gaps longer and shorter than what is looked back at
+    sets = [{g for g in rng.choice(pool) if rng.random() < 0.8} | {*rng.sample(range(400), rng.choice((2, 12, 40)))} for _ in range(50)]
+    lists = column_lists(spark, sets, 48)
+    need = 42 - 36 + 1
+    expected = {frozenset((a, b)) for a in range(50) for b in range(a) if len(sets[a] & sets[b]) >= need}
+    got = [frozenset((r.a, r.b)) for r in jaccard.possible_pairs(lists, 75, 100).collect()]
+    assert expected and set(got) == expected and len(got) == len(expected)
+
+
+def test_jaccard_word_hashes():
+    rng = random.Random(4)
+    hashes = jaccard.WordHashes()
+    texts = ["".join(rng.choice("ab\u00e9 \t\x0b\x1c\x85\n") for _ in range(rng.randrange(60))).encode() for _ in range(400)] + [b" x" * 20000 + b"y" * 70 + b" ab", b"\0 \0\0 ab"]
+    met = {}
+    for text in texts:
+        got = hashes(text).tolist()
+        assert len(got) == len(text.split())
+        for word, h in zip(text.split(), got):
+            assert met.setdefault(word, h) == h
+    assert len(set(met.values())) == len(met) and len(hashes(None)) == len(hashes(b"")) == len(hashes(b" \n")) == 0
+    # strings on which sums of powers modulo 2 to the 64 collide
+    thue = b"".join(b"ab"[bin(i).count("1") % 2:][:1] for i in range(2048))
+    first, second = hashes(thue + b" " + thue.translate(bytes.maketrans(b"ab", b"ba"))).tolist()
+    assert first != second
+
+
 def test_mix(docs, empty):
     got = mixing.mix(docs, block=4, shard_words=1000).collect()
     size = {i: len(words(t)) for i, t in corpus()}
