@@ -331,7 +331,8 @@ def fewest_shared(n: str, lo: str, hi: str, num: int, den: int):
 def open_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
     """A row per document of open columns: its columns (m documents, gram), least filled first, and k, the fewest of them that
     a partner can share. The sizes met in a column bound k (see fewest_shared); a document with fewer columns than that can link
-    with none that is not connected yet, and has no row."""
+    with none that is not connected yet, and has 0 columns. Such rows are to be filtered out of the written table: before, the filter
+    would be moved below the projections, where a list is sorted again for each of its columns."""
     spans = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     met = (entries.join(spans, "gram").withColumn("lo", F.greatest("lo", F.expr(f"ceil(n * {num} / {den}D - 1e-9)")))
            .withColumn("hi", F.least("hi", F.expr(f"floor(n * {den} / {num}D + 1e-9)"))).filter("lo <= hi"))
@@ -339,7 +340,7 @@ def open_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
              .groupBy("doc_id", "n", "component_id", "star", "far").agg(F.sort_array(F.collect_set(F.struct("m", "gram", "k"))).alias("cells")))
     for _ in range(2):  # a column whose partners would have to share more columns than there are leads to no link
         lists = lists.withColumn("cells", F.expr("filter(cells, x -> x.k <= size(cells))"))
-    return lists.withColumn("cols", F.size("cells")).filter("cols > 0").withColumn("k", F.array_min("cells.k"))
+    return lists.withColumn("cols", F.size("cells")).withColumn("k", F.array_min("cells.k"))
 
 
 def meetings(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -423,7 +424,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rest = stored(open_columns(rest.join(moved, "component_id", "left")
                                    .withColumn("component_id", F.coalesce("into", "component_id")).drop("into")), "open")
 
-    lists = stored(open_lists(rest, num, den), "lists")
+    lists = stored(open_lists(rest, num, den), "lists").filter("cols > 0")
     open_pairs = possible_pairs(lists, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
         compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second = overlaps(stored(open_pairs, "open-pairs"), held, words, id_type)

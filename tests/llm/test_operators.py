@@ -187,6 +187,15 @@ def test_jaccard_pairs_that_meet_hold_all_that_share_enough(spark):
     assert expected and set(got) == expected and len(got) == len(expected)
 
 
+def test_jaccard_lists_are_sorted_once(spark):
+    entries = spark.createDataFrame([(1, 1, 9, 1, 1, 0.0), (1, 2, 9, 2, 2, 0.0), (2, 1, 9, 1, 1, 0.0)], "gram long, doc_id long, n long, component_id long, star long, far double")
+    lists = jaccard.open_lists(entries, 75, 100)
+    # the second would have to share two columns and has one
+    assert {r.doc_id: (r.cols, [c.gram for c in r.cells]) for r in lists.collect()} == {1: (2, [2, 1]), 2: (0, [])}
+    plan = lists._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if re.search(r"Filter .*lambda", line)]
+
+
 def test_jaccard_word_hashes():
     rng = random.Random(4)
     hashes = jaccard.WordHashes()
