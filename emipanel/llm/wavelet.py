@@ -221,6 +221,9 @@ class ByteEncoder:
         stop or comma after a letter begins a pre-token, and a line's end between two others is one of its own, so such words are looked
         up in parts that are met again."""
         memo = self.spaced if space else self.bare
+        if word.isascii() and word.isalpha():  # these letters stand for themselves
+            text = self.letters[32] + word if space else word
+            return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         if word.isalpha() and max(word) < PLAIN_LETTERS:
             text = (space + word).encode().decode("latin-1").translate(self.letters)
             return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
