@@ -76,8 +76,8 @@ def word_memo() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES) -> Iterator[dict]:
-    """The batch as dicts of Python lists, cut so that each holds about ``limit`` bytes of text."""
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch cut so that each slice holds about ``limit`` bytes of text."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = column.fill_null(b"").cast(pa.large_binary())
     ends = np.cumsum(np.diff(np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset:sizes.offset + len(sizes) + 1]))
@@ -85,10 +85,16 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES)
     while start < len(column):
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(start, stop - start).to_pydict()
+        yield batch.slice(start, stop - start)
         start = stop
 
 
+def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES) -> Iterator[dict]:
+    """The slices of a batch as dicts of Python lists."""
+    for part in slices(batch, text, limit):
+        yield part.to_pydict()
+
+
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -14,16 +14,19 @@ number plus the bits counted in at most eight words; a select is a binary search
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emipanel.llm.common import Memo, kept_in_worker, pieces, rows, stored
+from emipanel.llm.common import Memo, kept_in_worker, rows, slices, stored
 from emipanel.session import scratch_dir
 
 END_ID = 2
@@ -33,6 +36,12 @@ BLOCK_BITS = 512
 MEMO_CHARS = 64
 #: Letters below this one have been letters in all Unicode versions: a run of them is one pre-token.
 PLAIN_LETTERS = "\u0530"
+_LETTERS = "".join(c for c in map(chr, range(ord(PLAIN_LETTERS))) if c.isalpha())
+#: Words of plain letters and printing ASCII characters, and the tokenizer's pattern on such words.
+_PLAIN_WORD = re.compile(f"[!-~{_LETTERS}]+")
+_PRE_TOKENS = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+")
+#: Bytes of text whose words are looked up at a time (one longer text is a piece of its own).
+TEXT_BYTES = 4 << 20
 #: White space beside the space and the line end, and characters that some Unicode versions count as such.
 _ODD = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
 _WHITE = frozenset([" ", "\n", *_ODD])
@@ -153,11 +162,12 @@ class WaveletMatrix:
         """All ids, from the last plane's order back to the first's."""
         ids = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for p in range(self.width - 1, -1, -1):
-            bit = np.unpackbits(self.words[p].view(np.uint8), count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.words[p].view(np.uint8), count=self.n, bitorder="little").view(bool)
             back = np.empty_like(ids)
             # what stands below this plane are its zeros in order, then its ones
-            back.put(np.flatnonzero(~bit), ids[:self.zeros[p]])
-            back.put(np.flatnonzero(bit), ids[self.zeros[p]:] | ids.dtype.type(1 << (self.width - 1 - p)))
+            ids[self.zeros[p]:] |= ids.dtype.type(1 << (self.width - 1 - p))
+            back[np.flatnonzero(~bit)] = ids[:self.zeros[p]]
+            back[np.flatnonzero(bit)] = ids[self.zeros[p]:]
             ids = back
         return ids
 
@@ -169,6 +179,14 @@ class WordMemo(Memo):
         return super().__missing__(word) if len(word) <= MEMO_CHARS else self.make(word)
 
 
+def strings(column: pa.Array) -> pa.Array:
+    """UTF-8 bytes as strings; what is no UTF-8 is read as replacement characters."""
+    try:
+        return column.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return pa.array([text.decode(errors="replace") for text in column.to_pylist()], pa.large_string())
+
+
 def cut_at_spaces(text: str, raw: bytes) -> list[str] | None:
     """The parts between single spaces of a text (``raw``: its bytes), if all white space in it is single spaces and line ends between
     other characters."""
@@ -206,6 +224,7 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # bytes that print stand for themselves, the others for characters from 256 on
         prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
@@ -219,7 +238,7 @@ class ByteEncoder:
     def word(self, word: str, space: str) -> bytes:
         """A word, after a space or not. Letters, with the space before them, are one pre-token, which the model takes directly. A full
         stop or comma after a letter begins a pre-token, and a line's end between two others is one of its own, so such words are looked
-        up in parts that are met again."""
+        up in parts that are met again; so are the pre-tokens of other plain words."""
         memo = self.spaced if space else self.bare
         if word.isascii() and word.isalpha():  # these letters stand for themselves
             text = self.letters[32] + word if space else word
@@ -232,16 +251,53 @@ class ByteEncoder:
             return memo[head] + self.bare["\n"] + self.bare[tail]
         if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2] < PLAIN_LETTERS:
             return memo[word[:-1]] + self.bare[word[-1]]
+        if _PLAIN_WORD.fullmatch(word) and not any(map(word.__contains__, self.added)):
+            first, *others = _PRE_TOKENS.findall(space + word)
+            if others:
+                return memo[first[len(space):]] + b"".join(map(self.bare.__getitem__, others))
         return self.encode(space + word)
 
     def ids(self, raw: bytes) -> np.ndarray:
         """Ids of a text in UTF-8 (what is none is read as replacement characters)."""
-        text = raw.decode(errors="replace")
-        parts = cut_at_spaces(text, raw)
-        if parts is None:
-            parts = cut_before_spaces(text)
-            return np.frombuffer(b"".join([self.bare[p] if i == 0 or p[0] != " " else self.spaced[p[1:]] for i, p in enumerate(parts)]), "<u4")
-        return np.frombuffer(self.bare[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:])), "<u4")
+        return self.column(pa.array([raw], pa.binary()))[0]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8 in binary, none null) in a row, and where each text's ids end. Every distinct word of the column
+        is looked up once."""
+        lists = pc.split_pattern(strings(texts), " ")
+        starts = lists.offsets.to_numpy()
+        words = lists.values.dictionary_encode()
+        names, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        # a part begins with a text and after each space that stands between two characters that are no white space
+        opens = np.fromiter((not w or w[0] in _WHITE for w in names), bool, len(names))
+        closes = np.fromiter((not w or w[-1] in _WHITE for w in names), bool, len(names))
+        begins = np.ones(len(at) + 1, bool)
+        begins[1:-1] = ~(closes[at[:-1]] | opens[at[1:]])
+        begins[starts] = True
+        begins = np.flatnonzero(begins)
+        firsts = np.searchsorted(begins, starts)
+        longer = np.diff(begins) > 1
+        alone = longer.copy()
+        alone[firsts[:-1]] = True
+        # parts of one word after a space are known by the word, the others by themselves
+        at_part = at[begins[:-1]]
+        used = np.zeros(len(names), bool)
+        used[at_part[~alone]] = True
+        found = list(map(self.spaced.__getitem__, compress(names, used)))
+        entry = (np.cumsum(used) - 1)[at_part]
+        entry[alone] = np.arange(len(found), len(found) + np.count_nonzero(alone))
+        first = np.zeros(len(alone), bool)
+        first[firsts[:-1]] = True
+        for i in np.flatnonzero(alone).tolist():
+            part = " ".join([names[w] for w in at[begins[i]:begins[i + 1]].tolist()]) if longer[i] else names[at_part[i]]
+            found.append((self.bare if first[i] else self.spaced)[part])
+        # each part's ids are taken from those of its entry
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lengths = sizes[entry]
+        ends = np.append(0, np.cumsum(lengths))
+        source = np.repeat((np.cumsum(sizes) - sizes)[entry] - ends[:-1], lengths)
+        source += np.arange(len(source))
+        return np.frombuffer(b"".join(found), "<u4")[source], ends[firsts[1:]]
 
 
 def encode_to_files(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
@@ -286,9 +342,10 @@ def encode_to_files(docs: DataFrame, path: str | None = None, id_col: str = "doc
                 schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("first_document", pa.int64()),
                                     ("continues", pa.bool_()), pa.field("doc_id", pa.list_(batch.schema.field("doc_id").type)),
                                     ("lengths", pa.list_(pa.int64())), ("zeros", pa.list_(pa.int64())), ("planes", pa.binary())])
-            for part in pieces(batch):
-                for doc, text, shard in zip(part["doc_id"], part["text"], part["shard"]):
-                    ids = np.append(encoder.ids(text), np.array([end_id], "<u4"))
+            for part in slices(batch, limit=TEXT_BYTES):
+                encoded, ends = encoder.column(part.column("text"))
+                for doc, ids, shard in zip(part.column("doc_id").to_pylist(), np.split(encoded, ends[:-1]), part.column("shard").to_pylist()):
+                    ids = np.append(ids, np.array([end_id], "<u4"))
                     ordinal, again = ordinal + 1, False
                     while len(ids):
                         if not size:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -64,6 +65,23 @@ def test_byte_encoder_equals_the_tokenizer():
         assert special.ids(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_column_equals_the_tokenizer():
+    plain, encoder = Tokenizer.from_file(BYTES), wavelet.ByteEncoder(BYTES)
+    texts = ["", " ", "", *odd_texts(3000, seed=5), "", "under Thé under", " under ", "\n", "it's 'tis x'll!!'s <|endoftext|>a.b.c"]
+    for raw in ([t.encode() for t in texts], [b"bro\xffken \xc3 words", b"", b"whole words \xe2\x80"], [b""], []):
+        ids, ends = encoder.column(pa.array(raw, pa.binary()))
+        asked = [plain.encode(t.decode(errors="replace"), add_special_tokens=False).ids for t in raw]
+        assert [part.tolist() for part in np.split(ids, ends[:-1])[:len(raw)]] == asked and ends.tolist() == np.cumsum(list(map(len, asked))).tolist()
+
+
+def test_words_are_met_again_in_parts():
+    encoder, asked = wavelet.ByteEncoder(BYTES), []
+    encode, encoder.encode = encoder.encode, lambda piece: asked.append(piece) or encode(piece)
+    words = [w + end for w in ("under", "standing", "Thé") for end in ("!!", "'s", "-17", ",!!", "")]
+    encoder.column(pa.array([" ".join(words).encode(), " ".join(words[::-1]).encode()], pa.binary()))
+    assert sorted(asked) == sorted({"!!", "'s", "-", "17", ",!!"})
+
+
 def test_crc_of_joined_pieces():
     for cut in (0, 1, 7, 20):
         a, b = b"twenty bytes of text"[:cut], b"twenty bytes of text"[cut:]
