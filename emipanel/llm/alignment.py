@@ -11,8 +11,9 @@ them by number; pairs are counted and joined per batch, not per document, and co
 from __future__ import annotations
 
 import hashlib
+import struct
 from array import array
-from itertools import accumulate, chain, count
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -21,43 +22,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emipanel.llm.common import kept_in_worker, keyed_text, pieces, rows, stored
+from emipanel.llm.common import arrow_batches_of, forgotten_in_worker, kept_in_worker, keyed_text, pieces, rows, stored
 from emipanel.llm.wavelet import _WHITE, MEMO_CHARS, PLAIN_LETTERS, ByteEncoder, cut_at_spaces, cut_before_spaces
 
 #: Bytes of text whose pairs are kept in one table (a longer text is a batch of its own).
-BATCH_BYTES = 8 << 20
-#: Words (and parts of such) whose alignment a task keeps, twice at most.
-MEMO_WORDS = 200_000
+BATCH_BYTES = 2 << 20
+#: Batches in a row group of their file: so many are in memory when they are written and read, however long a task's input is.
+GROUP_ROWS = 4
+#: Words (and parts of such) after which a task's memo becomes the older of two generations.
+MEMO_WORDS = 150_000
 LOW = (1 << 32) - 1
+#: What a word's record begins with (tokens of both kinds, groups, links), and its bytes.
+_HEAD, _HEAD_BYTES = "<4I", 16
+#: Words that the second tokenizer reads at a time.
+READ_WORDS = 4096
 
 
 def align(ids_a, sizes_a, ids_b, sizes_b) -> tuple[list, list]:
     """(groups, links) of two id lists over the same bytes. A group is (a ids, b ids) between ends that both lists have; a link is a pair
     of ids whose byte ranges overlap."""
-    ends_a, ends_b = dict(zip(accumulate(sizes_a), count(1))), dict(zip(accumulate(sizes_b), count(1)))
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        i_stop, j_stop = ends_a[end], ends_b[end]
-        a, b = ids_a[i:i_stop], ids_b[j:j_stop]
-        groups.append((a, b))
-        if len(a) == 1 or len(b) == 1:
-            links += [(x, y) for x in a for y in b]
-            i, j = i_stop, j_stop
-            continue
-        # inside a group no ends meet, so the token that ends first passes its partner on to its successor
-        left, right = sizes_a[i], sizes_b[j]
-        while True:
-            links.append((ids_a[i], ids_b[j]))
-            if left == right:
-                break
-            if left < right:
-                right, i = right - left, i + 1
-                left = sizes_a[i]
-            else:
-                left, j = left - right, j + 1
-                right = sizes_b[j]
-        i, j = i_stop, j_stop
-    return groups, links
+    groups, links, i, j, n_a, n_b = [], [], 0, 0, len(ids_a), len(ids_b)
+    from_i = from_j = done = 0
+    left, right = sizes_a[0] if n_a else 0, sizes_b[0] if n_b else 0
+    while i < n_a and j < n_b:
+        links.append((ids_a[i], ids_b[j]))
+        # the token that ends first passes its partner on to its successor; where both end, so does the group
+        if left < right:
+            right, i = right - left, i + 1
+            left = sizes_a[i] if i < n_a else 0
+        elif right < left:
+            left, j = left - right, j + 1
+            right = sizes_b[j] if j < n_b else 0
+        else:
+            i, j = i + 1, j + 1
+            groups.append((ids_a[from_i:i], ids_b[from_j:j]))
+            from_i, from_j, done = i, j, len(links)
+            left, right = sizes_a[i] if i < n_a else 0, sizes_b[j] if j < n_b else 0
+    return groups, links[:done]
 
 
 class Aligner:
@@ -66,7 +67,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a = ByteEncoder(path_a, special=False, most=50_000)
+        self.a = ByteEncoder(path_a, special=False, most=20_000)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         backend = self.a.tokenizer
         self.size_a = [len(backend.id_to_token(i) or "") for i in range(backend.get_vocab_size())]
@@ -108,10 +109,11 @@ class Aligner:
             return [*self.atoms(word[:-1]), word[-1].encode()]
         return [word]
 
-    def learn(self, words: list[str]) -> list[tuple]:
-        """Per word (True, a tokens, b tokens, groups, links, groups as text, link codes as bytes), or (False,) where the bytes differ."""
-        parts = [self.atoms(word) for word in words]
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Per word its record: _HEAD, eight bytes per link (its code) and the groups as text; empty where the bytes differ."""
         new, known, older = [], self.known, self.older
+        # a known word is a part of its own
+        parts = [[word] if word in known else self.atoms(word) for word in words]
         for atom in dict.fromkeys(chain.from_iterable(parts)):
             if atom not in known:
                 if atom in older:
@@ -119,7 +121,8 @@ class Aligner:
                 else:
                     new.append(atom)
         texts = [atom if isinstance(atom, str) else "\n" + atom.decode() for atom in new]
-        for atom, text, ids_b in zip(new, texts, self.b.encode(texts, num_threads=1) if new else []):
+        read = (self.b.encode(texts[i:i + READ_WORDS], num_threads=1) for i in range(0, len(texts), READ_WORDS))
+        for atom, text, ids_b in zip(new, texts, chain.from_iterable(read)):
             known[atom] = self.record(text, " ", ids_b) if isinstance(atom, str) else self.record(text[1:], "", ids_b[2:])
         out = []
         for atoms in parts:
@@ -127,29 +130,65 @@ class Aligner:
                 out.append(known[atoms[0]])
                 continue
             records = [known[atom] for atom in atoms]
-            if all(r[0] for r in records):
-                _, a, b, groups, links, text, codes = zip(*records)
-                out.append((True, sum(a), sum(b), sum(groups), sum(links), b";".join(text), b"".join(codes)))
+            if all(records):
+                heads = [struct.unpack_from(_HEAD, r) for r in records]
+                ends = [_HEAD_BYTES + 8 * h[3] for h in heads]
+                codes, groups = [r[_HEAD_BYTES:e] for r, e in zip(records, ends)], [r[e:] for r, e in zip(records, ends)]
+                out.append(struct.pack(_HEAD, *map(sum, zip(*heads))) + b"".join(codes) + b";".join(groups))
             else:
-                out.append((False,))
+                out.append(b"")
+        for atom in new:
+            if len(atom) > MEMO_CHARS:
+                del known[atom]
         if len(known) > MEMO_WORDS:
-            self.older, self.known = {k: v for k, v in known.items() if len(k) <= MEMO_CHARS}, {}
+            self.older, self.known = known, {}
         return out
 
-    def record(self, word: str, space: str, ids_b: list[int]) -> tuple:
+    def record(self, word: str, space: str, ids_b: list[int]) -> bytes:
         if b"".join([self.bytes_b[i] for i in ids_b]) != (space + word).encode():
-            return (False,)
+            return b""
         ids_a = memoryview(self.a.word(word, space)).cast("I").tolist()
         size_a, size_b, names = self.size_a, self.size_b, self.names
         groups, links = align(ids_a, [size_a[i] for i in ids_a], ids_b, [size_b[i] for i in ids_b])
         text = ";".join([f"{','.join([names[i] for i in a])}|{','.join([names[i] for i in b])}" for a, b in groups])
-        return True, len(ids_a), len(ids_b), len(groups), len(links), text.encode(), array("q", [a << 32 | b for a, b in links]).tobytes()
+        return struct.pack(_HEAD, len(ids_a), len(ids_b), len(groups), len(links)) + array("q", [a << 32 | b for a, b in links]).tobytes() + text.encode()
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are met."""
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        return number
+
+
+def parts_of(records: list[bytes]) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """The numbers (a row per record, zeros for an empty one), the link codes and the groups as text of the records."""
+    sizes = np.frombuffer(b"".join([r[:_HEAD_BYTES] or bytes(_HEAD_BYTES) for r in records]), "<u4").reshape(-1, 4).astype(np.int64)
+    ends = (_HEAD_BYTES + 8 * sizes[:, 3]).tolist()
+    return sizes, [r[_HEAD_BYTES:e] for r, e in zip(records, ends)], [r[e:] for r, e in zip(records, ends)]
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32: how many, then all their lowest bytes, all their second and so on, compressed."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return struct.pack("<I", len(numbers)) + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    n, = struct.unpack_from("<I", raw)
+    planes = pa.Codec("zstd").decompress(raw[4:], decompressed_size=4 * n, asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, n).T.copy().view("<u4")[:, 0]
 
 
 def _aligner(path_a, path_b):
     return kept_in_worker(("aligner", path_a, path_b), lambda: Aligner(path_a, path_b))
 
 
+def _no_aligner(path_a, path_b):
+    forgotten_in_worker(("aligner", path_a, path_b))
+
+
 def _paths(byte_bpe, piece_model):
     return byte_bpe or public_tokenizers.path("byte_bpe_50k.json"), piece_model or public_tokenizers.path("piece_bpe_32k.model")
 
@@ -167,8 +206,8 @@ _NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 def aligned_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str | None = None,
                     piece_model: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per batch of documents: arrays over its documents (doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_words), over its
-    distinct pairs (``pair``: a id shifted by 32 bits and b id, ``n``), and as numbers its documents' words (``words``), each word's links
-    (``word_links``) and each link's pair (``links``)."""
+    distinct pairs (``pair``: a id shifted by 32 bits and b id, ``n``), and squeezed its documents' words (``words``: each document's in
+    ascending order, as steps modulo 2^32), each word's links (``word_links``) and each link's pair (``links``), all as numbers."""
     path_a, path_b = _paths(byte_bpe, piece_model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -184,31 +223,31 @@ def aligned_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 count += 1
 
     def pack(aligner, part):
-        numbers: dict[str, int] = {}
+        numbers = Numbers()
         lists = []
         for text in part["text"]:
             words = aligner.words(text)
-            lists.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
+            lists.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
         records = aligner.learn(list(numbers))
-        good = np.array([r[0] for r in records], bool)
-        sizes = np.array([r[1:5] if r[0] else (0, 0, 0, 0) for r in records], np.int64).reshape(-1, 4)
+        good = np.fromiter(map(bool, records), bool, len(records))
+        sizes, codes, texts = parts_of(records)
         out = {c: [] for c in (*_NUMBERS, "groups_sha256", "n_words")}
         kept = []
         for words in lists:
             ok = len(words) and good[words].all()
             words = words if ok else words[:0]
-            kept.append(words)
+            # sums don't ask for the words' order, and steps between sorted numbers are small
+            kept.append(np.sort(words))
             for c, v in zip(_NUMBERS, sizes[words].sum(axis=0)):
                 out[c].append(int(v))
-            out["groups_sha256"].append(hashlib.sha256(b";".join([records[w][5] for w in words.tolist()])).hexdigest() if ok else "")
+            out["groups_sha256"].append(hashlib.sha256(b";".join([texts[w] for w in words.tolist()])).hexdigest() if ok else "")
             out["n_words"].append(len(words))
         words = np.concatenate([*kept, np.zeros(0, np.int64)])
         often = np.bincount(words, minlength=len(records))
-        links = np.frombuffer(b"".join([r[6] for r in records if r[0]]), np.int64)
-        pairs, place = np.unique(links, return_inverse=True)
+        pairs, place = np.unique(np.frombuffer(b"".join(codes), np.int64), return_inverse=True)
         n = np.bincount(place, weights=np.repeat(often, sizes[:, 3]), minlength=len(pairs)).astype(np.int64)
-        return out | {"doc_id": part["doc_id"], "pair": pairs, "n": n, "words": words.astype("<u4").tobytes(),
-                      "word_links": sizes[:, 3].astype("<u4").tobytes(), "links": place.astype("<u4").tobytes()}
+        return out | {"doc_id": part["doc_id"], "pair": pairs, "n": n, "words": squeezed(np.diff(words, prepend=0)),
+                      "word_links": squeezed(sizes[:, 3]), "links": squeezed(place)}
 
     columns = ", ".join(["batch bigint", f"doc_id array<{id_type}>", *[f"{c} array<bigint>" for c in _NUMBERS], "groups_sha256 array<string>", "n_words array<bigint>",
                          "pair array<bigint>", "n array<bigint>", "words binary", "word_links binary", "links binary"])
@@ -241,17 +280,21 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byt
     pair is among the most frequent of its b id in the corpus, ``count_sum`` the sum of its links' corpus-wide counts.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    batches = stored(aligned_batches(docs, id_col, text_col, byte_bpe, piece_model, batch_bytes), "aligned")
+    paths = _paths(byte_bpe, piece_model)
+    # a little under four batches at a time, so that no small one is left over
+    with arrow_batches_of(docs.sparkSession, 15 * batch_bytes // 4):
+        batches = stored(aligned_batches(docs, id_col, text_col, *paths, batch_bytes), "aligned", GROUP_ROWS)
     looked_up = batch_pairs(batches).drop("n").join(pair_counts(batch_pairs(batches)), "pair").select(F.col("batch").alias("of"), "at", "count", "best")
 
     def finish(key, batch, found):
+        _no_aligner(*paths)
         kind = batch.schema.field("doc_id").type.value_type
         out = {c: [] for c in ("doc_id", *_NUMBERS, "n_best", "count_sum", "groups_sha256")}
         for row in batch.to_pylist():
             at = found.column("at").to_numpy()
-            count, best = np.zeros(len(row["pair"]), np.int64), np.zeros(len(row["pair"]), np.int64)
+            count, best = np.zeros(row["n_pairs"], np.int64), np.zeros(row["n_pairs"], np.int64)
             count[at], best[at] = found.column("count").to_numpy(), found.column("best").to_numpy(zero_copy_only=False)
-            links, per_word, words = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("links", "word_links", "words"))
+            links, per_word, words = unsqueezed(row["links"]), unsqueezed(row["word_links"]), np.cumsum(unsqueezed(row["words"]), dtype=np.uint32)
             n_words = np.array(row["n_words"], np.int64)
             ends = np.cumsum(n_words)
             for name, values in (("count_sum", count), ("n_best", best)):
@@ -265,6 +308,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byt
         return pa.table({c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()})
 
     columns = ", ".join([f"doc_id {id_type}", *[f"{c} bigint" for c in (*_NUMBERS, "n_best", "count_sum")], "groups_sha256 string"])
+    batches = batches.withColumn("n_pairs", F.size("pair")).drop("pair", "n")
     return batches.groupBy("batch").cogroup(looked_up.groupBy("of")).applyInArrow(finish, columns)
 
 
@@ -282,10 +326,11 @@ def token_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for doc, text in zip(part["doc_id"], part["text"]):
                     words = aligner.words(text)
                     distinct = list(dict.fromkeys(words))
-                    found = dict(zip(distinct, aligner.learn(distinct)))
-                    if not words or not all(found[w][0] for w in words):
+                    records = aligner.learn(distinct)
+                    if not words or not all(records):
                         continue
-                    groups = [[[*map(int, side.split(b","))] for side in g.split(b"|")] for w in words for g in found[w][5].split(b";")]
+                    found = dict(zip(distinct, parts_of(records)[2]))
+                    groups = [[[*map(int, side.split(b","))] for side in g.split(b"|")] for w in words for g in found[w].split(b";")]
                     stops = np.cumsum([sum(aligner.size_a[i] for i in a) for a, _ in groups])
                     yield rows(schema, doc_id=[doc] * len(groups), group=range(len(groups)), start=[0, *stops[:-1]], stop=stops,
                                a_ids=[a for a, _ in groups], b_ids=[b for _, b in groups])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,31 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Write an intermediate table to the shared checkpoint folder and read it back: cuts the lineage and
-    keeps the work when executors are lost."""
+    keeps the work when executors are lost. ``group_rows``: rows in a row group at most, for rows of megabytes."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    options = {"parquet.block.row.count.limit": group_rows} if group_rows else {}
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches_of(spark: SparkSession, size: int):
+    """Inside the block Python workers get batches of about ``size`` bytes; for work that ends there."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, f"{size}b")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def split_words(text: bytes | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of a text; none for null. bytes.split() cuts at exactly those six bytes."""
     return text.split() if text else []
@@ -72,6 +89,12 @@ def kept_in_worker(key, make):
     return kept[key]
 
 
+def forgotten_in_worker(key) -> None:
+    """Frees what kept_in_worker has kept, if it has, for work after it that needs the memory."""
+    if vars(sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker"))).pop(key, None) is not None:
+        pa.default_memory_pool().release_unused()
+
+
 def word_memo() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 

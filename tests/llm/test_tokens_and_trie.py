@@ -1,20 +1,23 @@
 """Token files, tokenizer alignment and the conversation trie against brute force."""
 
+import gc
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from emipanel.llm import alignment, trie, wavelet
+from emipanel.llm import alignment, common, trie, wavelet
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PARTS = ["a", "b", "the", "Thé", "'s", "'", "s", "re", "1", "23", ".", ",", "!", " ", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "\xa0", "　", "é", "ß", "中文", "😀",
@@ -173,6 +176,58 @@ def test_alignment(docs):
     assert got[0]["start"] == 0 and got[-1]["stop"] == len(text.encode()) + 1 and all(x["stop"] == y["start"] for x, y in zip(got, got[1:]))
 
 
+@pytest.mark.parametrize("numbers", [[], [0], [1, 255, 256, 65_535, 65_536, (1 << 32) - 1], list(range(3000, 0, -1))])
+def test_squeezed(numbers):
+    assert alignment.unsqueezed(alignment.squeezed(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_aligned_batches_stay_small(spark, monkeypatch):
+    """What a row of the stored batches, a row group of them and a worker's Arrow batch hold doesn't grow with a task's text."""
+    rng = random.Random(4)
+    syllables = ["an", "er", "tion", "the", "ing", "ou", "st", "re", "wh", "é"]
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 5))) for _ in range(60_000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=10_000))) for i in range(90)], "doc_id long, text string").coalesce(1)
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert text_bytes > 7 << 20
+    kept, plain = [], alignment.stored
+    monkeypatch.setattr(alignment, "stored", lambda df, name, *more: kept.append((name, plain(df, name, *more))) or kept[-1][1])
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    got = alignment.aligned(docs)
+    assert spark.conf.get(key) == before
+    batches = dict(kept)["aligned"]
+    sizes = batches.select(F.size("doc_id").alias("n"), sum(F.octet_length(c) for c in ("words", "word_links", "links")).alias("size")).collect()
+    assert len(sizes) > 3 and sum(r["n"] for r in sizes) == 90 and max(r["size"] for r in sizes) < 1 << 20
+    groups = [pq.ParquetFile(re.sub("^file:/+", "/", f)).metadata for f in batches.inputFiles()]
+    assert max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) <= alignment.GROUP_ROWS
+    one = alignment.aligned(docs, batch_bytes=64 << 20)
+    assert sorted(got.collect()) == sorted(one.collect())
+
+
+def test_aligner_keeps_little(monkeypatch):
+    rng = random.Random(5)
+    words = list(dict.fromkeys("".join(rng.choices("aeinrst", k=rng.randint(3, 9))) for _ in range(20_000)))
+    aligner = alignment.Aligner(BYTES, PIECES)
+    first = aligner.learn(words)
+    gc.collect()
+    assert sum(map(sys.getsizeof, [*aligner.known.values(), *(x for r in aligner.known.values() if not isinstance(r, bytes) for x in r)])) < 170 * len(words)
+    monkeypatch.setattr(alignment, "MEMO_WORDS", 1000)
+    long = "x" * (wavelet.MEMO_CHARS + 1)
+    for at in range(0, len(words), 500):
+        assert aligner.learn([*words[at:at + 500], long, words[at] + "."])[:-2] == first[at:at + 500]
+        assert long not in aligner.known
+    assert len(aligner.known) + len(aligner.older) < 3500
+    assert alignment.parts_of([b"", *aligner.learn(["a."])])[0].tolist()[0] == [0, 0, 0, 0]
+
+
+def test_kept_in_worker_can_be_forgotten():
+    assert common.kept_in_worker("kept by a test", lambda: [1]) is common.kept_in_worker("kept by a test", lambda: [2])
+    common.forgotten_in_worker("kept by a test")
+    common.forgotten_in_worker("kept by a test")
+    assert common.kept_in_worker("kept by a test", lambda: [2]) == [2]
+    common.forgotten_in_worker("kept by a test")
+
+
 def test_empty_documents(docs):
     empty = docs.filter("false")
     assert wavelet.token_files(empty).count() == 0 and alignment.aligned(empty).count() == 0 and alignment.token_groups(empty).count() == 0
